@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, pii, secrets, tables, token_output
+from . import decontaminate, line_dedup, mixing, ngram_join, pii, quality, secrets, tables, token_output, toxicity
+
+
+def _id_hash(buckets: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets
+
+
+def _judged(scores: DataFrame, held_out: Column, least: float) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +24,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_join(tables.read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels")
+    return _judged(quality.score_quality(docs, labels, _id_hash(5) != 0), _id_hash(5) == 0, 0.3)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(tables.read(spark, sf_dir, "documents"))
 
@@ -36,16 +53,24 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(spark, path)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels")
+    return _judged(toxicity.score_toxicity(docs, labels, _id_hash(3) != 1), _id_hash(3) == 1, 0.7)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(tables.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_decontaminate": op2_decontaminate,
     "op3_ngram_join": op3_ngram_join,
+    "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_output": op7_token_output,
+    "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }
 
