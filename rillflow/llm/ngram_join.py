@@ -7,7 +7,9 @@ whole numbers, tested without rounding).
 2. Sizes fall into bands. In a band, two linked sets differ in at most D shingles, so of any K > D parts of
    the shingles by hash at least K - D are equal. Sets meet in a tile (band, part, hash of the part). A set
    also enters the band below if it can be the larger set of a pair there. Parts without a shingle are
-   left out while K - D exceeds their number, and stand for themselves else, so no pair is lost.
+   left out while K - D exceeds their number, and stand for themselves else, so no pair is lost. Large sets
+   enter MOST of their K parts: a part is equal with chance 1 / e at least, so that a linked pair shares none
+   with chance (1 - 1 / e) ** MOST, below 1e-9, which is no more than that of two equal hashes.
 3. In each tile all sets are paired with the smallest id. Sizes and the bit counts of parity bitmaps bound
    the overlap from above; pairs that pass are decided by intersecting their sorted arrays.
 4. Only tiles that still hold more than one component are worked on further: blocks of such a tile are
@@ -35,6 +37,8 @@ from . import graph, tables, textbytes
 BAND, BITMAP_WORDS, BLOCK = 1.5, 16, 256
 #: Parts beyond those that can differ.
 SLACK = 2
+#: Parts that a set enters at most.
+MOST = 48
 #: Ids (one number each) up to which they are broadcast to pick texts, once counted.
 WANTED_ROWS = 1_000_000
 
@@ -105,7 +109,7 @@ def _signature(h: np.ndarray, bands: Bands) -> tuple[int, int, bytes, np.ndarray
         each = np.zeros(parts, np.uint64)
         each[filled] = sums
         tile = textbytes.mix(each + textbytes.mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
-        keys.append(tile if parts - len(filled) > bands.spare(band) else tile[filled])
+        keys.append(tile[filled[filled < MOST]] if parts > MOST or parts - len(filled) <= bands.spare(band) else tile)
     with np.errstate(over="ignore"):
         a, b = int(one.sum().view(np.int64)), int(two.sum().view(np.int64))
     return a, b, np.packbits(parity, bitorder="little").tobytes(), np.concatenate(keys).view(np.int64) if keys else _NO_KEYS
@@ -211,3 +215,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     membership = single.join(classes, told, "left").select("id", "n", F.coalesce("head", "id").alias("head"))
     return membership.join(found, F.col("head") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("head").alias("class_id"), F.coalesce("component", "head").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; rows with a null id stay."""
+    found = ngram_join(docs.select(id_col, text_col), id_col, text_col, size, num, den)
+    rest = tables.saved(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_copy")), "copies")
+    return docs.join(tables.small(rest, WANTED_ROWS), docs[id_col] == F.col("_copy"), "left_anti")

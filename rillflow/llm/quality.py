@@ -153,18 +153,17 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", corpus: DataFrame | None = None) -> DataFrame:
-    """id, score (double, 0 to 1) for every row of docs. train: a condition on id_col for rows to learn from.
+def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """The columns that carry names (id_col where it is not given) and a score (double, 0 to 1) for every row of docs.
 
-    corpus: the rows whose texts give the word vectors and the training texts; docs where it is not given.
+    train: a condition on id_col for the rows to learn from.
     """
     named = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
-    base = named if corpus is None else corpus.select(corpus[id_col].alias("_id"), corpus[text_col].alias("text"))
     told = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).cast("int").alias("label"))
     sample = tables.saved(told.orderBy(F.xxhash64(F.lit(3), "_of"), "_of").limit(TRAIN_ROWS), "quality-labels")
-    vectors = word_vectors(base)
+    vectors = word_vectors(named)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
-    seen = base.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("text", "_id", "label")
+    seen = named.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("text", "_id", "label")
     width = vectors.shape[1]
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +178,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     model = Network(x[order], y[order]) if len(np.unique(y)) == 2 else None
     share = float(y.mean()) if len(y) else 0.5
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(id_col, named.schema[0].dataType), T.StructField("score", T.DoubleType())])
+    source = docs.select(docs[text_col].alias("_text"), *(carry or [id_col]))
+    schema = T.StructType([*source.schema[1:], T.StructField(score_col, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pool(b.column(1), held.value)
+            x = pool(b.column(0), held.value)
             p = np.full(len(x), share) if sent.value is None else sent.value(x.astype(float))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.asarray(p, float))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.asarray(p, float))], names=schema.names)
+
+    return tables.map_arrow(source, scored, schema)
+
 
-    return tables.map_arrow(named, scored, schema)
+def keep_quality(docs: DataFrame, labels: DataFrame, train: Column, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs with a score of at least least."""
+    scored = score_quality(docs, labels, train, id_col, text_col, label_col, docs.columns, "_quality_score")
+    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, pii, quality, secrets, tables, token_output, toxicity
+from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, pii, quality, secrets, tables, token_output, toxicity
 
 
 def _id_hash(buckets: int) -> Column:
@@ -53,6 +53,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(spark, path)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(tables.read(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels")
     return _judged(toxicity.score_toxicity(docs, labels, _id_hash(3) != 1), _id_hash(3) == 1, 0.7)
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_output": op7_token_output,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }
