@@ -14,6 +14,7 @@ an id follow one another, ordered by text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -31,24 +32,25 @@ from . import tables
 
 BLOCK_BITS = 512
 #: A unit of text up to this many characters is remembered, and so many units at most.
-UNIT_CHARS, CACHED_UNITS = 48, 500_000
-_HEAD = struct.Struct("<4sIB")
+UNIT_CHARS, CACHED_UNITS = 48, 800_000
+_HEAD, _LEVEL = struct.Struct("<4sIB"), struct.Struct("<II")
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
     """The codes of one document's ids (each below 2**32)."""
     levels: list[bytes] = []
-    rest = ids.astype(np.uint32)
+    rest = ids.astype("<u4")
     while True:
-        low, high = (rest & 255).astype(np.uint8), rest >> 8
-        more = high > 0
+        more = rest > 255
         bits = np.packbits(more, bitorder="little")
-        blocks = np.pad(bits, (0, -len(bits) % (BLOCK_BITS // 8))).reshape(-1, BLOCK_BITS // 8)
-        ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(blocks).sum(1, dtype=np.uint32))))[: len(blocks)].astype("<u4")
-        levels.append(struct.pack("<II", len(low), len(ranks)) + ranks.tobytes() + bits.tobytes() + low.tobytes())
-        rest = high[more]
+        blocks = -(-len(bits) // (BLOCK_BITS // 8))
+        ranks = np.zeros(blocks, "<u4")
+        if blocks > 1:
+            ranks[1:] = np.cumsum(np.add.reduceat(np.bitwise_count(bits), np.arange(blocks) * (BLOCK_BITS // 8), dtype=np.uint32))[:-1]
+        levels += [_LEVEL.pack(len(rest), blocks), ranks.tobytes(), bits.tobytes(), rest.view(np.uint8)[::4].tobytes()]
+        rest = rest[more] >> np.uint32(8)
         if not len(rest):
-            return _HEAD.pack(b"DAC1", len(ids), len(levels)) + b"".join(levels)
+            return b"".join([_HEAD.pack(b"DAC1", len(ids), len(levels) // 4), *levels])
 
 
 def _levels(codes: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,7 +60,7 @@ def _levels(codes: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         raise ValueError("not in this format")
     out, at = [], _HEAD.size
     for _ in range(depth):
-        n, blocks = struct.unpack_from("<II", codes, at)
+        n, blocks = _LEVEL.unpack_from(codes, at)
         at += 8
         ranks = np.frombuffer(codes, "<u4", blocks, at)
         at += 4 * blocks
@@ -94,9 +96,19 @@ def token_of(codes: bytes, i: int) -> int:
     return value
 
 
-#: A single space between two other characters always begins a new pre-token of a byte-level BPE, so the units
-#: between such spaces are encoded on their own.
-_SPLIT, _ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s|\A | \Z")
+#: A single space between two other characters always begins a new pre-token of a byte-level BPE, and so do marks
+#: after letters; the units between such spaces, and the letters and marks of one, are encoded on their own.
+_SPLIT = re.compile(r"(?<=\S) (?=\S)")
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that are encoded as one text.
+_RUN = 512
+
+
+def _units(text: str) -> list[str]:
+    """The text between single spaces; the first unit alone stands without a space in front."""
+    odd = text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _BLANKS)
+    return _SPLIT.split(text) if odd else text.split(" ")
 
 
 class Encoder:
@@ -108,25 +120,80 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_SPLIT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
-        known = self.known
-        fresh = list({u for p in parts for u in p[1:]}.difference(known))
-        codes = dict(zip(fresh, self._encode([f" {u}" for u in fresh]), strict=True))
-        long = {u: x for u, x in codes.items() if len(u) > UNIT_CHARS}
-        known.update((u, x) for u, x in codes.items() if len(u) <= UNIT_CHARS)
-        heads = self._encode([p[0] for p in parts])
+        self.known: dict[str, bytes] = {}  # ids of " " + unit
+        self.bare: dict[str, bytes] = {}  # ids of units and marks without a space in front
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Each word of letters with a space in front: pre-tokens of one text, told apart by the library."""
+        out: list[bytes] = []
+        for k in range(0, len(words), _RUN):
+            run = words[k : k + _RUN]
+            got = self.tokenizer.encode(" " + " ".join(run), add_special_tokens=False)
+            place, ids = np.array(got.word_ids), np.array(got.ids, "<u4").tobytes()
+            cuts = np.flatnonzero(place[1:] != place[:-1]) + 1
+            if len(cuts) + 1 != len(run):
+                out += self._encode([f" {w}" for w in run])
+                continue
+            ends = [0, *(cuts * 4).tolist(), len(ids)]
+            out += [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
+    def _learn_bare(self, units: set[str]) -> dict[str, bytes]:
+        new = list(units - self.bare.keys())
+        if len(self.bare) > CACHED_UNITS // 8:
+            self.bare.clear()
+            new = list(units)
+        self.bare.update(zip(new, self._encode(new), strict=True))
+        return self.bare
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of units that are not known yet."""
+        known, cores, broken, others = self.known, {}, {}, []
+        for u in units:
+            core = u.rstrip(_MARKS)
+            if core.isalpha():
+                cores[u] = core
+                continue
+            a, _, b = u.partition("\n")  # one newline between other characters is a pre-token
+            if a and b and a.split() == [a] and b.split() == [b]:
+                broken[u] = (a, b)
+            else:
+                others.append(u)
+        for a, _ in broken.values():
+            core = a.rstrip(_MARKS)
+            if core.isalpha():
+                cores[a] = core
+            else:
+                others.append(a)
+        new = list({c for c in cores.values() if c not in known})
+        words = dict(zip(new, self._encode_words(new), strict=True))
+        bare = self._learn_bare({u[len(c) :] for u, c in cores.items()} | {b for _, b in broken.values()} | {"\n"})
+        fresh = dict(zip(others, self._encode([f" {u}" for u in others]), strict=True))
+        for u, c in cores.items():
+            fresh[u] = (words[c] if c in words else known[c]) + bare[u[len(c) :]]
+        for u, (a, b) in broken.items():
+            fresh[u] = fresh[a] + bare["\n"] + bare[b]
+        if len(known) + len(words) + len(fresh) > CACHED_UNITS:
+            for u in list(itertools.islice(known, len(known) // 2)):
+                del known[u]
+        known.update((u, x) for told in (words, fresh) for u, x in told.items() if len(u) <= UNIT_CHARS and u not in broken)
+        return fresh
+
+    def __call__(self, texts: list[str], end: bytes = b"") -> list[np.ndarray]:
+        """The ids of each text, with the ids that end holds behind them."""
+        parts = [_units(t) for t in texts]
+        heads = self._encode([p.pop(0) for p in parts])
+        codes = [list(map(self.known.get, p)) for p in parts]
+        missing = {u for p, c in zip(parts, codes, strict=True) if None in c for u, x in zip(p, c, strict=True) if x is None}
+        fresh = self._learn(missing) if missing else {}
         out = []
-        for head, p in zip(heads, parts, strict=True):
-            rest = [long[u] if u in long else known[u] for u in p[1:]] if long else [known[u] for u in p[1:]]
-            out.append(np.frombuffer(b"".join([head, *rest]), "<u4"))
+        for head, p, c in zip(heads, parts, codes, strict=True):
+            if None in c:
+                c = [fresh[u] if x is None else x for u, x in zip(p, c, strict=True)]
+            out.append(np.frombuffer(b"".join([head, *c, end]), "<u4"))
         return out
 
 
@@ -159,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                ids = [np.append(x, np.uint32(end_id)) for x in encode(b.column(1).to_pylist())]
+                ids = encode(b.column(1).to_pylist(), np.uint32(end_id).tobytes())
                 n = np.array([len(x) for x in ids], np.int64)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
