@@ -38,6 +38,15 @@ def _or0(condition: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.lit(0))
 
 
+def _settled(frames: DataFrame) -> DataFrame:
+    """The same rows, as a step that filters are not pushed below.
+
+    A later condition on a decoded field would else be written in terms of the raw bytes, and as every header's
+    place depends on those before it, such conditions grow beyond use.
+    """
+    return frames.select(F.inline(F.array(F.struct(*frames.columns))))
+
+
 def ethernet(frames: DataFrame) -> DataFrame:
     """Adds n, dst_mac, src_mac and eth_proto to frames with a whole Ethernet header."""
     return frames.withColumn("n", F.length("frame")).where("n >= 14").withColumns({"dst_mac": part(_f, 0, 6), "src_mac": part(_f, 6, 6), "eth_proto": _u(12, 2)})
@@ -96,7 +105,7 @@ def gre(frames: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     frames = frames.withColumns({"tunnel_id": _or0(keyed, _u(F.col("g_off"), 4)), "g_off": F.col("g_off") + F.when(keyed, 4).otherwise(0)})
     frames = frames.withColumn("off", F.when(F.col("g_here"), F.col("g_off")).otherwise(F.col("off")))
     found = F.col("g_here") & (F.col("g_proto") == IPV4) & _has(F.col("g_off"), 20)
-    return _inner_v4(frames, F.col("g_off"), found, 1, cfg).drop("g_here", "g_flags", "g_proto", "g_off")
+    return _settled(_inner_v4(frames, F.col("g_off"), found, 1, cfg).drop("g_here", "g_flags", "g_proto", "g_off"))
 
 
 def transport(frames: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
@@ -106,14 +115,14 @@ def transport(frames: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     tcp, udp = F.col("t_tcp"), F.col("is_udp")
     frames = frames.withColumns({"src_port": _or0(tcp | udp, _u(off, 2)), "dst_port": _or0(tcp | udp, _u(off + 2, 2)), "window_size": _or0(tcp, _u(off + 14, 2)), "tcp_flags": _or0(tcp, _u(off + 13))})
     frames = frames.withColumn("off", off + F.when(udp, 8).otherwise(0)).withColumn("x_here", udp & (F.col("dst_port") == VXLAN_PORT) & _has(F.col("off"), 8))
-    here = F.col("x_here")
+    frames, here = _settled(frames), F.col("x_here")
     frames = frames.withColumn("tunnel_id", F.when(here, F.shiftright(_u(off + 4, 4), 8)).otherwise(F.col("tunnel_id")))
     found = here & _has(off, 42) & (F.when(_has(off, 22), _u(off + 20, 2)) == IPV4)
     frames = _inner_v4(frames.withColumn("x_found", F.coalesce(found, F.lit(False))), off + 22, F.col("x_found"), 2, cfg)
     again = F.col("x_found") & (F.col("protocol") == UDP) & _has(off, 8)
     frames = frames.withColumn("x_udp", again)
     frames = frames.withColumns({"src_port": F.when(F.col("x_udp"), _u(off, 2)).otherwise(F.col("src_port")), "dst_port": F.when(F.col("x_udp"), _u(off + 2, 2)).otherwise(F.col("dst_port"))})
-    return frames.withColumn("off", off + F.when(F.col("x_udp"), 8).otherwise(0)).drop("t_tcp", "x_here", "x_found", "x_udp")
+    return _settled(frames.withColumn("off", off + F.when(F.col("x_udp"), 8).otherwise(0)).drop("t_tcp", "x_here", "x_found", "x_udp"))
 
 
 def application(frames: DataFrame) -> DataFrame:
