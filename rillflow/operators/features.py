@@ -132,7 +132,7 @@ def _derived(rows: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 def segment_features(segmented: DataFrame, cfg: FlowConfig = FlowConfig(), names: list[str] | None = None) -> DataFrame:
     """The typed flow row of every segment of packets that assign_segments, or a stream, has cut."""
-    p = packet_deltas(with_flow_first(segmented), cfg)
+    p = packet_deltas(segmented if "first_src_ip" in segmented.columns else with_flow_first(segmented), cfg)
     names = names or SUITES
     folded = suites(p, names, cfg).groupBy(*SEG).agg(F.map_from_entries(F.collect_list(F.struct("suite", F.struct(*STATS)))).alias("suites"))
     joined = counters(p, cfg).join(folded, SEG).join(histograms(p, cfg), SEG)

