@@ -19,15 +19,22 @@ IPV4, IPV6, GRE, TCP, UDP, ICMP, ICMP6 = 0x0800, 0x86DD, 47, 6, 17, 1, 58
 VXLAN_PORT, DNS_PORT, NTP_PORT, SNMP_PORT, SSDP_PORT = 4789, 53, 123, 161, 1900
 DNS_LABELS, HINT_BYTES = 16, 64
 
-_f, _n = F.col("frame"), F.col("n")
+
+def _f() -> Column:
+    return F.col("frame")
+
+
+def _n() -> Column:
+    """The length of the frame."""
+    return F.col("n")
 
 
 def _has(offset: Column, n: int) -> Column:
-    return _n >= offset + n
+    return _n() >= offset + n
 
 
 def _u(offset: Column | int, n: int = 1) -> Column:
-    return uint(_f, offset, n)
+    return uint(_f(), offset, n)
 
 
 def _bits(x: Column, mask: int) -> Column:
@@ -49,12 +56,12 @@ def _settled(frames: DataFrame) -> DataFrame:
 
 def ethernet(frames: DataFrame) -> DataFrame:
     """Adds n, dst_mac, src_mac and eth_proto to frames with a whole Ethernet header."""
-    return frames.withColumn("n", F.length("frame")).where("n >= 14").withColumns({"dst_mac": part(_f, 0, 6), "src_mac": part(_f, 6, 6), "eth_proto": _u(12, 2)})
+    return frames.withColumn("n", F.length("frame")).where("n >= 14").withColumns({"dst_mac": part(_f(), 0, 6), "src_mac": part(_f(), 6, 6), "eth_proto": _u(12, 2)})
 
 
 def ip_only(frames: DataFrame) -> DataFrame:
     """Frames of ethernet() with a whole IPv4 or IPv6 header."""
-    return frames.where(((F.col("eth_proto") == IPV4) & (_n >= 34)) | ((F.col("eth_proto") == IPV6) & (_n >= 54)))
+    return frames.where(((F.col("eth_proto") == IPV4) & (_n() >= 34)) | ((F.col("eth_proto") == IPV6) & (_n() >= 54)))
 
 
 def ip_header(frames: DataFrame) -> DataFrame:
@@ -73,8 +80,8 @@ def ip_header(frames: DataFrame) -> DataFrame:
         "header_len": either(ihl, F.lit(40)),
         "total_bytes": either(_u(16, 2), _u(18, 2) + 40),
         "payload_len": either(F.greatest(_u(16, 2) - ihl, F.lit(0)), _u(18, 2)),
-        "src_ip": either(v4_mapped(part(_f, 26, 4)), part(_f, 22, 16)),
-        "dst_ip": either(v4_mapped(part(_f, 30, 4)), part(_f, 38, 16)),
+        "src_ip": either(v4_mapped(part(_f(), 26, 4)), part(_f(), 22, 16)),
+        "dst_ip": either(v4_mapped(part(_f(), 30, 4)), part(_f(), 38, 16)),
         "off": either(ihl + 14, F.lit(54)),
     })
 
@@ -83,7 +90,7 @@ def _inner_v4(frames: DataFrame, at: Column, found: Column, kind: int, cfg: Flow
     """Takes addresses, protocol and offset from the IPv4 header at an offset where found holds."""
     taken = frames.withColumns({"in_at": at, "in_found": found})
     at, found = F.col("in_at"), F.col("in_found")
-    address = lambda c, k: F.concat(part(F.col(c), 0, 12), part(_f, at + k, 4)) if cfg.mixed_inner_v4 else v4_mapped(part(_f, at + k, 4))
+    address = lambda c, k: F.concat(part(F.col(c), 0, 12), part(_f(), at + k, 4)) if cfg.mixed_inner_v4 else v4_mapped(part(_f(), at + k, 4))
     changed = {
         "src_ip": F.when(found, address("src_ip", 12)).otherwise(F.col("src_ip")),
         "dst_ip": F.when(found, address("dst_ip", 16)).otherwise(F.col("dst_ip")),
@@ -134,30 +141,30 @@ def application(frames: DataFrame) -> DataFrame:
     dns = (F.col("app") == "dns") & _has(off, 12)
 
     def label(a: Column, _: Column) -> Column:
-        p, here = a["p"], _n >= a["p"] + 1
+        p, here = a["p"], _n() >= a["p"] + 1
         size = F.when(here, _u(p)).otherwise(F.lit(0))
         stop = lambda state, to: F.struct(to.alias("p"), F.lit(state).alias("state"))
-        step = F.when(~here, stop(2, p)).when(_bits(size, 0xC0) == 0xC0, stop(1, p + 2)).when(size == 0, stop(1, p + 1)).when(size > 63, stop(2, p)).when(_n < p + size + 1, stop(2, p))
+        step = F.when(~here, stop(2, p)).when(_bits(size, 0xC0) == 0xC0, stop(1, p + 2)).when(size == 0, stop(1, p + 1)).when(size > 63, stop(2, p)).when(_n() < p + size + 1, stop(2, p))
         return F.when(a["state"] != 0, a).otherwise(step.otherwise(stop(0, p + size + 1)))
 
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(DNS_LABELS)), F.struct((off + 12).cast("bigint").alias("p"), F.lit(0).alias("state")), label)
     asks = dns & (F.when(dns, _u(off + 4, 2)) > 0)
     frames = frames.withColumn("d_end", F.when(F.coalesce(asks, F.lit(False)), walked))
-    ends = F.coalesce((F.col("d_end.state") == 1) & (_n >= F.col("d_end.p") + 4), F.lit(False))
+    ends = F.coalesce((F.col("d_end.state") == 1) & (_n() >= F.col("d_end.p") + 4), F.lit(False))
     ntp = (F.col("app") == "ntp") & _has(off, 4)
     # SNMP: sequence tag and length, version, community, then the type of the unit
     snmp = (F.col("app") == "snmp") & _has(off, 5)
     version = F.when(snmp & (_u(off) == 0x30) & (_u(off + 2) == 0x02), off + 4 + _u(off + 3))
-    community = F.when(_n >= version + 2, version)
+    community = F.when(_n() >= version + 2, version)
     unit = F.when(_u(community) == 0x04, community + 2 + _u(community + 1))
-    ssdp = (F.col("app") == "ssdp") & _has(off, 8) & (part(_f, off, 8) == F.lit(b"M-SEARCH"))
+    ssdp = (F.col("app") == "ssdp") & _has(off, 8) & (part(_f(), off, 8) == F.lit(b"M-SEARCH"))
     return frames.withColumns({
         "dns_answer_count": _or0(dns, _u(off + 6, 2)),
         "dns_qtype": _or0(ends, _u(F.col("d_end.p"), 2)),
         "dns_qclass": _or0(ends, _u(F.col("d_end.p") + 2, 2)),
         "ntp_mode": _or0(ntp, _bits(_u(off), 7)),
         "ntp_stratum": _or0(ntp, _u(off + 1)),
-        "snmp_pdu_type": F.coalesce(F.when(_n >= unit + 1, _u(unit)), F.lit(0)),
+        "snmp_pdu_type": F.coalesce(F.when(_n() >= unit + 1, _u(unit)), F.lit(0)),
         "ssdp_method": F.coalesce(ssdp, F.lit(False)).cast("int"),
     }).drop("d_end")
 
@@ -170,7 +177,7 @@ def icmp_and_hint(frames: DataFrame) -> DataFrame:
         "icmp_type": _or0(icmp, _u(off)),
         "icmp_code": _or0(icmp, _u(off + 1)),
         "icmp_id": _or0(icmp, _u(off + 4, 2)),
-        "payload_hint": F.when(_has(off, HINT_BYTES), part(_f, off, HINT_BYTES)).otherwise(F.unhex(F.lit("00" * HINT_BYTES))),
+        "payload_hint": F.when(_has(off, HINT_BYTES), part(_f(), off, HINT_BYTES)).otherwise(F.unhex(F.lit("00" * HINT_BYTES))),
     })
 
 
