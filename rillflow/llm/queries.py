@@ -79,4 +79,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def _uniform(seed: int, key: str) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _shingle_sets(table: str, key: str, size: int) -> str:
+    """(key, n, g) of the distinct shingles of the texts of a table; fewer words are one shingle."""
+    plain = r"regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', '', 'g')"
+    words = f"(SELECT {key}, regexp_extract_all({plain}, {_WORDS}) AS w FROM {table})"
+    sets = f"(SELECT {key}, CASE WHEN len(w) >= {size} THEN list_distinct(list_transform(range(len(w) - {size - 1}), lambda i: array_to_string(w[i + 1:i + {size}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM {words})"
+    return f"SELECT {key}, len(s) AS n, unnest(s) AS g FROM {sets}"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"""WITH b AS ({_shingle_sets("benchmark", "item_id", 5)}), d AS ({_shingle_sets("documents", "doc_id", 5)}),
+m AS (SELECT d.doc_id, b.item_id, count(*) AS shared, max(b.n) AS item_shingles FROM d JOIN b USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, shared, CAST(item_shingles AS BIGINT) AS item_shingles, shared / item_shingles AS containment FROM m WHERE shared >= 0.8 * item_shingles - 1e-9""",
+    "op5_line_dedup": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j, count(*) OVER (PARTITION BY doc_id) AS m, trim(line) AS t FROM l WHERE trim(line) <> ''),
+w AS (SELECT doc_id, j, m, t || chr(10) || coalesce(lead(t) OVER d, '') || chr(10) || coalesce(lead(t, 2) OVER d, '') AS x FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
+v AS (SELECT * FROM w WHERE j = 1 OR j + 2 <= m),
+r AS (SELECT doc_id, j, x, row_number() OVER (PARTITION BY x ORDER BY doc_id, j) AS k FROM v),
+c AS (SELECT DISTINCT f.doc_id, f.pos FROM r JOIN f ON r.doc_id = f.doc_id AND f.j BETWEEN r.j AND r.j + 2 WHERE r.k > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (c.pos IS NULL), '') AS text
+FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos GROUP BY l.doc_id""",
+    "op10_mix_sources": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size, {_uniform(17, "doc_id")} AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, count(*) AS n FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+r AS (SELECT *, 3.0::DOUBLE * ss / w AS r FROM w),
+c AS (SELECT *, (sum(ss) OVER () - 3.0::DOUBLE * coalesce(sum(ss) OVER e, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER e, 0)) AS level FROM r WINDOW e AS (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, ss, n, least(3.0::DOUBLE * ss, max(level) OVER () * w) AS target FROM c),
+p AS (SELECT d.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0 END AS rate, CAST(floor(u * ceil(n / 1024)) AS BIGINT) AS block FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, rate - floor(rate) AS f, row_number() OVER (PARTITION BY source, block ORDER BY size, u) - 1 AS i, {_uniform(18, "block || ':' || coalesce(source, '')")} AS v FROM p)
+SELECT doc_id, size, ss AS source_size, target, CAST(size * (floor(rate) + floor((i + 1) * f + v) - floor(i * f + v)) AS BIGINT) AS taken FROM q""",
+}
