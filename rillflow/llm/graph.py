@@ -21,17 +21,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.where("u > v").distinct()
+        least = large.where("u > v")
         small = least.groupBy("u").agg(F.min("v").alias("m"))
         joined = least.join(small, "u")
         stepped = joined.select(F.col("u"), F.col("m").alias("v")).unionByName(joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
-        stepped = tables.saved(stepped, "edges")
-        heads = stepped.select(F.col("u").alias("head")).distinct()
-        # done when every node points at one node that points nowhere
-        open_ends = stepped.join(heads, F.col("v") == F.col("head"), "left_semi").limit(1).count()
-        several = stepped.groupBy("u").count().where("count > 1").limit(1).count()
-        edges = stepped
-        if not open_ends and not several:
+        edges = tables.saved(stepped, "edges")
+        # done when every node points at one node, which points nowhere
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+        told = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("low"))
+        if not told.where("out > 1 or (out = 1 and low = 0)").limit(1).count():
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

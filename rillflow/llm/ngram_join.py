@@ -211,7 +211,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.i") == F.col("x.j")))
     second = x.alias("x").join(x.alias("y"), meets & apart & _may_link("x", "y", num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = tables.saved(_verified(tables.saved(second, "pairs"), texts, size, num, den), "links")
-    found = graph.components(links.unionByName(more))
+    if more.limit(1).count():
+        found = graph.components(links.unionByName(more))
 
     membership = single.join(classes, told, "left").select("id", "n", F.coalesce("head", "id").alias("head"))
     return membership.join(found, F.col("head") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("head").alias("class_id"), F.coalesce("component", "head").alias("component_id"))
