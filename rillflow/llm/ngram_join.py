@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import graph, tables, textbytes
 
 #: Ratio of the ends of a size band, words of a bitmap, and sets in a block of a tile.
-BAND, BITMAP_WORDS, BLOCK = 1.5, 16, 256
+BAND, BITMAP_WORDS, BLOCK = 1.5, 16, 2048
 #: Parts beyond those that can differ.
 SLACK = 2
 #: Parts that a set enters at most.
