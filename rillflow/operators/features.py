@@ -105,7 +105,7 @@ def counters(prepared_packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> Dat
     aggs += [_when_max(last, c).alias(n) for c, n in LAST.items()]
     aggs += [_when_max(first, c).alias(c) for c in ("ip_ver", "traffic_class", "flow_label")]
     entropy = byte_entropy(F.col("payload_hint")) if cfg.payload_entropy else F.lit(0.0)
-    aggs += [zero(_when_max(first, entropy)).alias("PayloadEntropy"), F.min("ts_ns").alias("start_ts_ns"), F.max("ts_ns").alias("end_ts_ns"), _when_max(last, "active_start").alias("active_start")]
+    aggs += [zero(_when_max(first, entropy)).alias("PayloadEntropy"), F.min("ts_ns").alias("start_ts_ns"), F.max("ts_ns").alias("end_ts_ns"), _when_max(last, "active_start").alias("active_start"), _when_max(last, "tcp_flags").alias("end_flags")]
     held = ["first_src_ip", "first_dst_ip", "first_src_port", "first_dst_port", "first_src_mac", "first_dst_mac", "first_eth_proto"]
     rows = prepared_packets.groupBy(*SEG, *held).agg(*aggs)
     return _derived(rows, cfg)
@@ -115,9 +115,9 @@ def _derived(rows: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Timing, ratios and rates of counters."""
     c = F.col
     # as the last packet's flags and count close a segment at once, only an idle one can wait for the timer
-    ended = (c("PacketsCount") >= cfg.max_packets) | F.lit(False)
+    ended = (c("PacketsCount") >= cfg.max_packets) | (c("end_flags").bitwiseAND(F.lit(cfg.end_flags_mask)) != 0)
     close = c("end_ts_ns") if cfg.idle_close == "last_packet" else F.when(ended, c("end_ts_ns")).otherwise(c("end_ts_ns") + cfg.timeout_ns)
-    rows = rows.withColumn("close_ts_ns", close)
+    rows = rows.withColumn("close_ts_ns", close).drop("end_flags")
     span = (c("close_ts_ns") - c("active_start")) / 1e9
     rows = rows.withColumns({"timestamp": c("close_ts_ns") / 1e9, "duration": F.when(span > 0, span).otherwise(cfg.min_duration_s), "flow_duration": (c("end_ts_ns") - c("start_ts_ns")) / 1e9})
     rate = lambda n: c(n) / c("duration")

@@ -121,6 +121,12 @@ def test_options(spark):
         features.suites(df, cfg=FlowConfig(max_packets=1 << 20))
 
 
+def test_idle_segments_close_at_the_timer(spark):
+    packets = [packet(0, SECOND), packet(1, 2 * SECOND, tcp_flags=17), packet(2, 3 * SECOND)]
+    rows = features.flow_features(frame(spark, packets), FlowConfig(idle_close="timer", median="none"), ["Tot_Pay"]).collect()
+    assert {r.seg_id: r.timestamp for r in rows} == {0: 2.0, 1: 63.0}
+
+
 def test_wide_row(spark):
     names = wide_columns()
     assert len(names) == len(set(names)) == 495
