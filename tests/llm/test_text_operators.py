@@ -200,3 +200,26 @@ def test_scores_do_not_hang_on_other_columns(spark):
     a = {r.doc_id: r.score for r in toxicity.score_toxicity(rows, labels, F.lit(True)).collect()}
     b = {r.doc_id: r.score for r in toxicity.score_toxicity(other, labels, F.lit(True)).collect()}
     assert a == b
+
+
+def test_toxicity_counts_every_word_for_itself(spark, monkeypatch):
+    import string
+
+    rng = random.Random(8)
+    words = list({"".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(3000)})
+    seen = {w.encode(): None for w in words}
+    data, offsets = np.frombuffer(b" ".join(seen), np.uint8), np.array([0, 10 * len(words) - 1])
+    starts, ends, _ = textbytes.words(data, offsets)
+    h = textbytes.word_hashes(data, starts, ends)
+    order = np.argsort(h)
+    close = order[:-1][np.diff(h[order] >> np.uint64(44)) == 0]  # two words that 20 bits do not tell apart
+    assert len(close)
+    mark, plain = words[close[0]], words[order[np.flatnonzero(order == close[0])[0] + 1]]
+    texts = [f"some words {mark}" if i % 10 == 1 else f"some words {plain}" for i in range(200)]
+    rows = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 10 == 1)) for i in range(200)], "doc_id long, toxic int")
+    score = lambda: {r.doc_id: r.score for r in toxicity.score_toxicity(rows, labels, F.lit(True)).collect()}
+    sent = score()
+    assert min(sent[i] for i in range(200) if i % 10 == 1) > 0.5 > max(sent[i] for i in range(200) if i % 10 != 1)
+    monkeypatch.setattr(toxicity, "LIFT_ROWS", 0)  # by joins, with the same scores
+    assert score() == sent
