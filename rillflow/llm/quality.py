@@ -1,15 +1,18 @@
 """Quality by random-indexing word vectors, pooled per document, and a two-layer network.
 
 Tokens are runs of one kind of character: letters as they are, capitals and digits by their number,
-marks as they are. They are hashed into SLOTS slots, each with a fixed sparse index vector. One pass over
+marks as they are. Each has a 64-bit hash, from which its sparse index vector is derived. One pass over
 all documents sums the index vectors of the neighbours of every token (random indexing); a document's
 vector is the mean of its tokens' index vectors and of their unit context vectors. A two-layer numpy network
 is fit on at most TRAIN_ROWS labelled rows, and a temperature, fit on rows that the weights had not seen,
 calibrates its probabilities.
 
-The context sums are whole numbers, so they do not depend on the order of tasks, and their table is of one
-fixed size. Defined results: null and empty texts have the zero vector and its score; rows are scored on
-their own; without training rows of both labels every score is the share of good rows (0.5 without rows).
+The context vectors are a table of all tokens, which grows with the vocabulary and is joined, never sent to
+the driver. What is joined to it are the distinct tokens of blocks of texts with the places where they stand;
+a block comes together again and its texts are pooled. Sums are whole numbers (unit vectors in steps of 1/127),
+so they do not depend on the order of tasks; a text is named by two hashes. Defined results: null and empty
+texts have the zero vector and its score; rows are scored on their own; without training rows of both labels
+every score is the share of good rows (0.5 without rows).
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import types as T
 
 from . import tables, textbytes
 
-SLOTS, DIMS, WINDOW = 4096, 32, 2
+DIMS, WINDOW = 32, 2
 TRAIN_ROWS, HIDDEN, EPOCHS = 20_000, 32, 30
+#: Tokens whose sums a task holds before it passes them on; (text, token) pairs of a block.
+HELD_ROWS, BLOCK_PAIRS = 150_000, 1_500_000
 
 #: Kinds of bytes: 0 blanks, 1 letters, 2 capitals, 3 digits, 4 marks.
 _KIND = np.full(256, 4, np.uint8)
@@ -35,17 +40,24 @@ _KIND[48:58] = 3
 _KIND[textbytes.SPACE] = 0
 
 
-def index_vectors() -> np.ndarray:
-    """SLOTS sparse ternary vectors, four ones and minus ones each."""
-    rng = np.random.default_rng(11)
-    out = np.zeros((SLOTS, DIMS), np.int8)
-    at = np.argsort(rng.random((SLOTS, DIMS)), 1)[:, :4]
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), at.shape), 1)
+def _index_places(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place and sign of each of the four entries of the index vectors of hashes."""
+    m, step = textbytes.mix(h.view(np.uint64) ^ np.uint64(11)), DIMS // 4
+    for k in range(4):
+        bits = (m >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF
+        yield k * step + (bits >> 1) % step, ((bits & 1) * 2 - 1).astype(np.int8)
+
+
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """Sparse ternary vectors of hashes, four ones and minus ones each."""
+    out = np.zeros((len(h), DIMS), np.int8)
+    for place, sign in _index_places(h):
+        out[np.arange(len(h)), place] = sign
     return out
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of the tokens, and the first of each row."""
+    """The hashes of the tokens, and the first of each row."""
     kind = _KIND[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -59,58 +71,169 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for k, most in ((2, 3), (3, 4)):
         own = kind[starts] == k
         h[own] = textbytes.mix(np.minimum(ends[own] - starts[own], most).astype(np.uint64) + np.uint64(k << 8))
-    return (h >> np.uint64(52)).astype(np.uint16), np.searchsorted(starts, offsets)
+    return h.view(np.int64), np.searchsorted(starts, offsets)
+
+
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their rows."""
+    key, each = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(key, kind="stable")
+    own, at = np.unique(key[order], return_index=True)
+    return own, np.add.reduceat(each[order], at, axis=0) if len(own) else each
+
+
+def _packed(sums: np.ndarray) -> list[bytes]:
+    """Each row as bytes where its numbers are small, else as 64-bit numbers."""
+    little = np.abs(sums).max(1, initial=0) < 128
+    return [(r.astype(np.int8) if few else r.astype(np.int64)).tobytes() for r, few in zip(sums, little, strict=True)]
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    held = column.to_pylist()
+    little = np.array([len(v) == DIMS for v in held], bool)
+    out = np.zeros((len(held), DIMS), np.int64)
+    out[little] = np.frombuffer(b"".join(v for v in held if len(v) == DIMS), np.int8).reshape(-1, DIMS)
+    out[~little] = np.frombuffer(b"".join(v for v in held if len(v) != DIMS), np.int64).reshape(-1, DIMS)
+    return out
+
+
+_VECTOR = T.StructType([T.StructField("h", T.LongType()), T.StructField("v", T.BinaryType())])
+
 
+def _contexts(docs: DataFrame) -> DataFrame:
+    """(h, v): sums of the index vectors around each token, several rows a token, over all rows."""
 
-def _contexts(docs: DataFrame) -> np.ndarray:
-    """The summed index vectors around each slot's tokens, over all rows: a table of SLOTS x DIMS."""
-    names = [f"d{i}" for i in range(DIMS)]
-    schema = T.StructType([T.StructField("slot", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
+    def told(own: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(own), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 20_000]), pa.array(_packed(sums[k : k + 20_000]), pa.binary())], names=_VECTOR.names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sums = index_vectors(), np.zeros((SLOTS, DIMS), np.int64)
+        keys, sums, n = [np.zeros(0, np.int64)], [np.zeros((0, DIMS), np.int64)], 0
         for b in batches:
             for _, _, data, offsets in textbytes.slices(b.column(0)):
-                slots, first = _tokens(data, offsets)
-                if not len(slots):
+                h, first = _tokens(data, offsets)
+                if not len(h):
                     continue
-                vectors, around = index[slots], np.zeros((len(slots), DIMS), np.int8)
+                own, at, of = np.unique(h, return_index=True, return_inverse=True)
+                vectors, around = index_vectors(own)[of], np.zeros((len(h), DIMS), np.int8)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for step in range(1, WINDOW + 1):
                     near = (row[step:] == row[:-step])[:, None]
                     around[step:] += vectors[:-step] * near
                     around[:-step] += vectors[step:] * near
-                order = np.argsort(slots, kind="stable")
-                own, at = np.unique(slots[order], return_index=True)
-                sums[own] += np.add.reduceat(around[order], at, axis=0, dtype=np.int64)
-        used = np.flatnonzero(sums.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[used, i])) for i in range(DIMS))], names=schema.names)
-
-    total = tables.map_arrow(docs.select("text"), summed, schema).groupBy("slot").agg(*[F.sum(n).alias(n) for n in names])
-    got, out = total.toArrow(), np.zeros((SLOTS, DIMS), np.float64)
-    out[got["slot"].to_numpy()] = np.stack([got[n].to_numpy() for n in names], 1)
-    return out
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Index and unit context vector of each slot, side by side."""
-    contexts = _contexts(docs)
-    length = np.linalg.norm(contexts, axis=1, keepdims=True)
-    return np.concatenate([index_vectors() / 2, contexts / np.maximum(length, 1)], 1).astype(np.float32)
-
-
-def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """The mean of the vectors of each text's tokens; zeros without tokens."""
-    out = [np.zeros((0, vectors.shape[1]), np.float32)]
-    for row, end, data, offsets in textbytes.slices(texts):
-        slots, first = _tokens(data, offsets)
-        n = np.diff(first)
-        for a in range(0, end - row, 256):
-            b = min(a + 256, end - row)
-            own = slots[first[a] : first[b]].astype(np.int64) + np.repeat(np.arange(b - a), n[a:b]) * SLOTS
-            counts = np.bincount(own, minlength=(b - a) * SLOTS).reshape(b - a, SLOTS).astype(np.float32)
-            out.append(counts @ vectors / np.maximum(n[a:b], 1)[:, None].astype(np.float32))
-    return np.concatenate(out)
+                order = np.argsort(of, kind="stable")
+                starts = np.concatenate(([0], np.cumsum(np.bincount(of))[:-1]))
+                keys.append(own)
+                sums.append(np.add.reduceat(around[order], starts, axis=0, dtype=np.int64))
+                n += len(own)
+                if n > 2 * HELD_ROWS:
+                    own, each = _summed(keys, sums)
+                    if len(own) > HELD_ROWS:
+                        yield from told(own, each)
+                        own, each = own[:0], each[:0]
+                    keys, sums, n = [own], [each], len(own)
+        yield from told(*_summed(keys, sums))
+
+    return tables.map_arrow(docs.select("text"), summed, _VECTOR)
+
+
+def word_vectors(docs: DataFrame) -> DataFrame:
+    """(h, v): the unit context vector of every token, in steps of 1/127."""
+
+    def unit(own: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        length = np.linalg.norm(sums.astype(float), axis=1, keepdims=True)
+        v = np.rint(sums * 127 / np.maximum(length, 1)).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array([r.tobytes() for r in v], pa.binary())], names=_VECTOR.names)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of h; the last token of a batch can go on in the next."""
+        key, sums = np.zeros(0, np.int64), np.zeros((0, DIMS), np.int64)
+        for b in batches:
+            key, sums = _summed([key, b.column(0).to_numpy()], [sums, _unpacked(b.column(1))])
+            if len(key) > 1:
+                yield unit(key[:-1], sums[:-1])
+                key, sums = key[-1:], sums[-1:]
+        if len(key):
+            yield unit(key, sums)
+
+    return tables.map_arrow(_contexts(docs).repartition("h").sortWithinPartitions("h"), merged, _VECTOR)
+
+
+_PLACES = np.dtype([("text", np.int32), ("count", np.int32)])
+_PAIRS = "block long, h long, places binary, texts binary"
+_POOLED = "k1 long, k2 long, x binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, k1, k2) -> a block's tokens with their places in its texts, and one row with the names of the texts."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 32
+    names, texts, hashes, counts = [], [], [], []
+    held = n_texts = 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        own, at = np.unique(h[order], return_index=True)
+        places = np.empty(len(h), _PLACES)
+        places["text"], places["count"] = np.concatenate(texts)[order], np.concatenate(counts)[order]
+        ends, data = np.append(at[1:], len(h)), places.tobytes()
+        for k in range(0, len(own), 20_000):
+            each = [data[a * 8 : z * 8] for a, z in zip(at[k : k + 20_000], ends[k : k + 20_000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), block)), pa.array(own[k : k + 20_000]), pa.array(each, pa.binary()), pa.nulls(len(each), pa.binary())], names=["block", "h", "places", "texts"])
+        named = np.concatenate(names).astype(np.int64).tobytes()
+        some = textbytes.mix(np.array([block], np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array(some), pa.nulls(1, pa.binary()), pa.array([named], pa.binary())], names=["block", "h", "places", "texts"])
+
+    for b in batches:
+        keys = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1)
+        for row, end, data, offsets in textbytes.slices(b.column(0)):
+            h, first = _tokens(data, offsets)
+            of = np.repeat(np.arange(end - row), np.diff(first))
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            at = np.flatnonzero(new)
+            names.append(keys[row:end])
+            texts.append(of[at] + n_texts)
+            hashes.append(h[at])
+            counts.append(np.diff(np.append(at, len(h))))
+            held, n_texts = held + len(at), n_texts + end - row
+            if held > BLOCK_PAIRS or n_texts > BLOCK_PAIRS:
+                yield from told()
+                names, texts, hashes, counts = [], [], [], []
+                held, n_texts, block = 0, 0, block + 1
+    if n_texts:
+        yield from told()
+
+
+def _pool_block(rows: pa.Table) -> pa.Table:
+    """The mean of the vectors of the tokens of each text of a block; zeros without tokens."""
+    rows = rows.combine_chunks()
+    named = next(v for v in rows["texts"].to_pylist() if v is not None)
+    names = np.frombuffer(named, np.int64).reshape(-1, 2)
+    held = rows.filter(rows["places"].is_valid())
+    h, places, v = held["h"].to_numpy(), held["places"].to_pylist(), held["v"].to_pylist()
+    each = np.frombuffer(b"".join(places), _PLACES)
+    of = np.repeat(np.arange(len(h)), [len(p) // 8 for p in places])
+    text, count = each["text"].astype(np.int64), each["count"].astype(float)
+    vectors = np.frombuffer(b"".join(x or bytes(DIMS) for x in v), np.int8).reshape(-1, DIMS)
+    x = np.zeros((len(names), 2 * DIMS))
+    for place, sign in _index_places(h):
+        x[:, :DIMS] += np.bincount(text * DIMS + place[of], count * sign[of] / 2, len(names) * DIMS).reshape(-1, DIMS)
+    for d in range(DIMS):
+        x[:, DIMS + d] = np.bincount(text, count * vectors[of, d], len(names)) / 127
+    x = (x / np.maximum(np.bincount(text, count, len(names)), 1)[:, None]).astype(np.float32)
+    return pa.table([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in x], pa.binary())], names=["k1", "k2", "x"])
+
+
+def pooled(docs: DataFrame) -> DataFrame:
+    """(k1, k2, x): the vector of each distinct text of docs (text, k1, k2), as bytes of 32-bit floats."""
+    vectors = tables.saved(word_vectors(docs), "quality-vectors")
+    pairs = tables.map_arrow(docs.select("text", "k1", "k2"), _blocks, _PAIRS)
+    return pairs.join(vectors, "h", "left").groupBy("block").applyInArrow(_pool_block, _POOLED).dropDuplicates(["k1", "k2"])
 
 
 class Network:
@@ -153,6 +276,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
 
 
+def _names(text_col: str) -> dict[str, Column]:
+    """Two hashes that name a text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """The columns that carry names (id_col where it is not given) and a score (double, 0 to 1) for every row of docs.
 
@@ -161,33 +290,27 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     named = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
     told = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).cast("int").alias("label"))
     sample = tables.saved(told.orderBy(F.xxhash64(F.lit(3), "_of"), "_of").limit(TRAIN_ROWS), "quality-labels")
-    vectors = word_vectors(named)
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
-    seen = named.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("text", "_id", "label")
-    width = vectors.shape[1]
-
-    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = pool(b.column(0), held.value)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "label", "x"])
-
-    got = tables.map_arrow(seen, pooled, T.StructType([*seen.schema[1:], T.StructField("x", T.BinaryType())])).toPandas().sort_values(["_id", "x"])
+    named = named.withColumns(_names("text"))
+    vectors = tables.saved(pooled(named), "quality-pooled")
+    seen = named.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("k1", "k2", "_id", "label")
+    got = vectors.join(F.broadcast(seen), ["k1", "k2"]).select("_id", "label", "x").toPandas().sort_values(["_id", "x"])
     y = got["label"].to_numpy(float)
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(-1, width).astype(float)
+    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(-1, 2 * DIMS).astype(float)
     order = np.random.default_rng(0).permutation(len(y))
     model = Network(x[order], y[order]) if len(np.unique(y)) == 2 else None
     share = float(y.mean()) if len(y) else 0.5
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(docs[text_col].alias("_text"), *(carry or [id_col]))
-    schema = T.StructType([*source.schema[1:], T.StructField(score_col, T.DoubleType())])
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField(score_col, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pool(b.column(0), held.value)
+            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(-1, 2 * DIMS)
             p = np.full(len(x), share) if sent.value is None else sent.value(x.astype(float))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.asarray(p, float))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.asarray(p, float))], names=schema.names)
 
-    return tables.map_arrow(source, scored, schema)
+    scores = tables.small(tables.saved(tables.map_arrow(vectors, scored, schema), "quality-scores"))
+    kept = carry or [id_col]
+    return docs.select(*kept, *[c.alias(n) for n, c in _names(text_col).items()]).join(scores, ["k1", "k2"]).select(*kept, score_col)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, train: Column, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -223,3 +223,21 @@ def test_toxicity_counts_every_word_for_itself(spark, monkeypatch):
     assert min(sent[i] for i in range(200) if i % 10 == 1) > 0.5 > max(sent[i] for i in range(200) if i % 10 != 1)
     monkeypatch.setattr(toxicity, "LIFT_ROWS", 0)  # by joins, with the same scores
     assert score() == sent
+
+
+def test_quality_has_a_vector_for_every_word(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_PAIRS", 40)
+    monkeypatch.setattr(quality, "HELD_ROWS", 5)
+    rng = random.Random(9)
+    words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(400)})
+    data, ends = np.frombuffer("".join(words).encode(), np.uint8), np.arange(1, len(words) + 1) * 9
+    h = textbytes.word_hashes(data, ends - 9, ends, np.arange(256, dtype=np.uint8))
+    order = np.argsort(h)
+    k = np.flatnonzero(np.diff(h[order] >> np.uint64(52)) == 0)[0]  # two words that 12 bits do not tell apart
+    good, bad = words[order[k]], words[order[k + 1]]
+    rows = docs(spark, [f"{good if i % 2 == 0 else bad} {good if i % 2 == 0 else bad}" for i in range(120)] + [None, ""])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score_quality(rows, labels, F.lit(True)).collect()}
+    assert len(got) == 122
+    assert min(got[i] for i in range(0, 120, 2)) > 0.7 > 0.3 > max(got[i] for i in range(1, 120, 2))
+    assert got[120] == got[121]
