@@ -2,6 +2,7 @@
 
 Windows of consecutive lines are hashed, windows that stand at more than one place are found globally,
 and every later occurrence is removed: the positions that its windows cover are merged and those lines go.
+With a number of words as passage, every shorter run of lines that holds so many words is a window as well.
 
 Defined results: lines are what newlines separate, compared after trimming; blank lines are in no window
 and stay; a document with fewer lines than a window has all of them as one window; null is the empty
@@ -12,10 +13,15 @@ still stands at an earlier place, since the first occurrence of a window is neve
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -26,16 +32,22 @@ def _filled(lines: Column) -> Column:
     return F.filter(told, lambda x: x["line"] != "")
 
 
-def _windows(filled: Column, size: int) -> Column:
-    """(first, last, h1, h2) of each window; first and last are places among the non-blank lines."""
+def _windows(filled: Column, size: int, passage: int | None = None) -> Column:
+    """(j, k, h1, h2) of each window: its first place among the non-blank lines, and its lines."""
     last = F.greatest(F.size(filled) - size, F.lit(0))
     starts = F.when(F.size(filled) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    def window(j: Column) -> Column:
-        each = [F.get(filled, j + k)["line"] for k in range(size)]
-        return F.struct(j.alias("j"), F.xxhash64(*each).alias("h1"), F.xxhash64(F.lit(size), *each[::-1]).alias("h2"))
+    def window(j: Column, n: int) -> Column:
+        each = [F.get(filled, j + k)["line"] for k in range(n)]
+        return F.struct(j.alias("j"), F.lit(n).alias("k"), F.xxhash64(*each).alias("h1"), F.xxhash64(F.lit(size), *each[::-1]).alias("h2"))
+
+    def run(n: int) -> Column:
+        words = lambda j: reduce(lambda a, b: a + b, [F.regexp_count(F.get(filled, j + k)["line"], F.lit(_WORD)) for k in range(n)])
+        own = F.when(F.size(filled) >= n, F.sequence(F.lit(0), F.size(filled) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(own, lambda j: words(j) >= passage), lambda j: window(j, n))
 
-    return F.transform(starts, window)
+    whole = F.transform(starts, lambda j: window(j, size))
+    return F.concat(whole, *[run(n) for n in range(1, size)]) if passage else whole
 
 
 def _flags(covered: Column, n: Column) -> Column:
@@ -44,26 +56,26 @@ def _flags(covered: Column, n: Column) -> Column:
     return F.concat(F.flatten(runs), F.array_repeat(F.lit(False), n - F.element_at(covered, -1) - 1))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(_id, _text, places): the places of the windows of each document that stand earlier somewhere."""
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, passage: int | None = None) -> DataFrame:
+    """(_id, _text, places): the places (j, k) of the windows of each document that stand earlier somewhere."""
     text = F.coalesce(docs[text_col], F.lit(""))
     named = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_text"), _filled(_lines(text)).alias("filled"))
-    windows = named.select("_id", "_text", F.inline(_windows(F.col("filled"), size)))
+    windows = named.select("_id", "_text", F.inline(_windows(F.col("filled"), size, passage)))
     place = F.struct("_id", "_text", "j")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    return later.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("j")).alias("places"))
+    return later.groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("j", "k"))).alias("places"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, passage: int | None = None) -> DataFrame:
     """id, n_lines, n_removed, text: each document without the lines that later occurrences of windows cover."""
-    found = repeated_windows(docs, id_col, text_col, size)
+    found = repeated_windows(docs, id_col, text_col, size, passage)
     named = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_whole"))
     named = named.withColumn("_text", F.xxhash64("_whole"))
     joined = named.join(found, named["_id"].eqNullSafe(found["_id"]) & (named["_text"] == found["_text"]), "left").select(named["_id"], "_whole", "places")
     lines, filled = _lines(F.col("_whole")), F.col("filled")
     split = joined.select("_id", "_whole", "places", lines.alias("lines"), F.when(F.col("places").isNotNull(), _filled(lines)).alias("filled"))
-    reach = F.array_distinct(F.flatten(F.transform("places", lambda j: F.filter(F.array(*[j + k for k in range(size)]), lambda x: x < F.size(filled)))))
+    reach = F.array_distinct(F.flatten(F.transform("places", lambda w: F.filter(F.sequence(w["j"], w["j"] + w["k"] - 1), lambda x: x < F.size(filled)))))
     merged = split.select("_id", "_whole", "lines", F.transform(F.array_sort(reach), lambda k: F.get(filled, k)["at"]).alias("covered"))
     kept = F.when(F.col("covered").isNull(), F.col("_whole")).otherwise(F.array_join(F.filter(F.arrays_zip("lines", "flag"), lambda x: ~x["flag"])["lines"], "\n"))
     flagged = merged.withColumn("flag", _flags(F.col("covered"), F.size("lines")))

@@ -283,3 +283,10 @@ def test_pipeline_stages(spark):
     assert out.count() == docs.count() and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert corpus_pipeline.run(spark, sf).count() == out.count()
     assert out.agg(F.max(F.col("start") + F.col("n_tokens")).alias("n")).first().n == out.agg(F.sum("n_tokens").alias("n")).first().n
+
+
+def test_line_dedup_of_long_passages(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), "\n".join(" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    texts = [f"x\n{one}\ny", f"p\n{one}\nq", f"r\n{two}\ns\nt", f"u\n{two}\nv\nz", "p\nshort line\nv", "q\nshort line\nz", one]
+    kept = [x.text for x in line_dedup.line_dedup(table(spark, texts), passage=50).orderBy("doc_id").collect()]
+    assert kept == [texts[0], "p\nq", texts[2], "u\nv\nz", texts[4], texts[5], ""]
