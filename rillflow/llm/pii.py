@@ -4,10 +4,12 @@ Four base patterns give spans that always stay. High-recall generators propose f
 candidates; boosted trees score them from their format and their context, and those above a calibrated
 threshold of their generator are added.
 
-The trees learn from the table itself (distant supervision): a candidate that a base span covers counts as
-personal, any other one does not; no feature tells whether the base checks pass. Candidates are gathered
-into distinct feature vectors with weights before they are learnt from, at most TRAIN_ROWS of them. The
-trees become SQL expressions, so that scoring is one projection of a document's row, without a shuffle.
+The trees learn from the table itself (distant supervision): a candidate that a base span overlaps counts as
+personal, and so does a spelt address that is a valid base match once its signs are put in; any other one does not.
+No feature tells whether the base checks pass. A candidate is added unless a base span covers all of it
+but marks at its ends.
+Candidates are gathered into distinct feature vectors with weights before they are learnt from, at most TRAIN_ROWS
+of them. The trees become SQL expressions, so that scoring is one projection of a document's row, without a shuffle.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; every row is scored on its
 own, so repeated rows repeat; without candidates of both labels no span is added.
@@ -33,6 +35,7 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_PLAIN_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -101,6 +104,19 @@ def _overlaps(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda b: (b["from"] < c["to"]) & (b["to"] > c["from"]))
 
 
+def _covered(spans: Column, c: Column) -> Column:
+    """Whether one span holds all of a candidate but marks at its ends."""
+    start = c["to"] - F.length(F.regexp_replace(c["hit"], r"^[^\p{L}\p{N}]+", ""))
+    end = c["from"] + F.length(F.regexp_replace(c["hit"], r"[^\p{L}\p{N}]++$", ""))
+    return F.exists(spans, lambda b: (b["from"] <= start) & (b["to"] >= end))
+
+
+def _spelt_out(hit: Column) -> Column:
+    """Whether a spelt address is an address with '@' and '.' for its words."""
+    at = F.regexp_replace(hit, r"(?i) ?[\[({] ?at ?[\])}] ?", "@")
+    return F.regexp_replace(at, r"(?i) ?[\[({] ?dot ?[\])}] ?", ".").rlike("^" + _PLAIN_EMAIL + "$")
+
+
 def _features(generator: int, c: Column) -> Column:
     """The numbers of FEATURES for one candidate, as integers within small bounds."""
     hit, digits = c["hit"], _digits(c["hit"])
@@ -134,7 +150,7 @@ def _of_kind(spans: Column, kind: str) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, base (kind, from, to of the base spans) and proposed (kind, from, to, x, label) of each row."""
+    """_id, base (kind, from, to of the base spans) and proposed (kind, from, to, x, label, covered) of each row."""
     df = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     for kind, pattern in BASE.items():
         df = _found(df, "_text", f"m_{kind}", pattern, F.lit(True) if NEEDS[kind] is None else F.contains("_text", F.lit(NEEDS[kind])))
@@ -147,7 +163,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def proposed(i: int, name: str) -> Column:
         def one(c: Column) -> Column:
             kind = F.when(~c["hit"].startswith("+") & (F.length(_digits(c["hit"])) >= 13), "card").otherwise("phone") if name == "number" else F.lit(GENERATORS[name][0])
-            return F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), _overlaps(F.col("base"), c).alias("label"))
+            label = _overlaps(F.col("base"), c)
+            label = label | _spelt_out(c["hit"]) if name == "spelt" else label
+            return F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), label.alias("label"), _covered(F.col("base"), c).alias("covered"))
 
         return F.transform(f"g_{name}", one)
 
@@ -199,7 +217,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if learnt:
         score, thresholds = learnt
         least = F.array(*map(F.lit, thresholds))
-        chosen = F.filter("proposed", lambda c: ~c["label"] & (score(c["x"]) >= F.get(least, F.get(c["x"], F.lit(0)))))
+        chosen = F.filter("proposed", lambda c: ~c["covered"] & (score(c["x"]) >= F.get(least, F.get(c["x"], F.lit(0)))))
         added = F.array_distinct(F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["from"].alias("from"), c["to"].alias("to"))))
     told = found.select("_id", "base", added.alias("added"))
     every = F.concat(*[F.array_sort(_of_kind(F.concat("base", "added"), k)) for k in KINDS])

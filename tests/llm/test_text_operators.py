@@ -241,3 +241,16 @@ def test_quality_has_a_vector_for_every_word(spark, monkeypatch):
     assert len(got) == 122
     assert min(got[i] for i in range(0, 120, 2)) > 0.7 > 0.3 > max(got[i] for i in range(1, 120, 2))
     assert got[120] == got[121]
+
+
+def test_pii_adds_spelt_and_wider_candidates(spark):
+    plain = [f"mail me at user{i}@host{i % 7}.example.com, please" for i in range(60)]
+    spelt = [f"mail user{i} [at] host{i % 7} [dot] com now" for i in range(40)]
+    other = ["look [at] this", "what?@home! now", "10 20 30 40 50 60 70"] * 10
+    texts = [*plain, *spelt, "mail j\u00f6rg.a@b.co, please", *other]
+    rows = pii.find_pii(docs(spark, texts)).collect()
+    spans = {r.doc_id: [(s["kind"], s["from"], s["to"]) for s in r.spans] for r in rows}
+    assert spans[0] == [("email", 11, 34)]  # without the comma behind it
+    assert spans[60] == [("email", 5, len("mail user0 [at] host0 [dot] com"))]
+    assert ("email", 5, 16) in [(k, a, min(z, 16)) for k, a, z in spans[100]]
+    assert pii.redact(docs(spark, texts)).where("doc_id = 100").first().text.startswith("mail ***********")
