@@ -8,8 +8,8 @@ The trees learn from the table itself (distant supervision): a candidate that a
 personal, and so does a spelt address that is a valid base match once its signs are put in; any other one does not.
 No feature tells whether the base checks pass. A candidate is added unless a base span covers all of it
 but marks at its ends.
-Candidates are gathered into distinct feature vectors with weights before they are learnt from, at most TRAIN_ROWS
-of them. The trees become SQL expressions, so that scoring is one projection of a document's row, without a shuffle.
+Candidates are gathered into distinct feature vectors with weights; the trees are fit on at most TRAIN_ROWS of them, a
+sample by hash, and the thresholds cover all. The trees become SQL expressions, so that scoring is one projection of a document's row, without a shuffle.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; every row is scored on its
 own, so repeated rows repeat; without candidates of both labels no span is added.
@@ -183,10 +183,11 @@ def _tree(node, x: Column) -> Column:
 def train(found: DataFrame):
     """(score of the array x, threshold by generator), or None without candidates of both labels."""
     vectors = found.select(F.explode("proposed").alias("c")).groupBy("c.x", "c.label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    vectors = tables.saved(vectors.orderBy(F.desc("weight"), "x", "label").limit(TRAIN_ROWS), "pii-vectors")
-    if vectors.select("label").distinct().count() < 2:
+    vectors = tables.saved(vectors, "pii-vectors")
+    fit = vectors.orderBy(F.xxhash64("x", "label"), "x", "label").limit(TRAIN_ROWS)
+    if fit.select("label").distinct().count() < 2:
         return None
-    named = vectors.select(F.col("label").cast("double").alias("label"), "weight", *[F.get("x", F.lit(i)).cast("double").alias(n) for i, n in enumerate(FEATURES)])
+    named = fit.select(F.col("label").cast("double").alias("label"), "weight", *[F.get("x", F.lit(i)).cast("double").alias(n) for i, n in enumerate(FEATURES)])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(named)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="weight", seed=5, minInstancesPerNode=1).fit(rows)
     trees = [(w, t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]

@@ -254,3 +254,12 @@ def test_pii_adds_spelt_and_wider_candidates(spark):
     assert spans[60] == [("email", 5, len("mail user0 [at] host0 [dot] com"))]
     assert ("email", 5, 16) in [(k, a, min(z, 16)) for k, a, z in spans[100]]
     assert pii.redact(docs(spark, texts)).where("doc_id = 100").first().text.startswith("mail ***********")
+
+
+def test_pii_thresholds_cover_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 25)
+    bad = [f"{'x' * (k + 1)}?@home!" for k in range(20)] * 3
+    good = [f"{'y' * (k + 1)}@b.example" for k in range(5)] * 6
+    rare = [f"{'z' * (k % 38 + 2)} [at] host [dot] {'c' * (k // 38 + 2)}" for k in range(60)]
+    rows = pii.find_pii(docs(spark, [*bad, *good, *rare])).where("doc_id >= 90").collect()
+    assert len(rows) == 60 and all(len(r.spans) == 1 for r in rows)
