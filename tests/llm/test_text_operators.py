@@ -221,7 +221,7 @@ def test_toxicity_counts_every_word_for_itself(spark, monkeypatch):
     score = lambda: {r.doc_id: r.score for r in toxicity.score_toxicity(rows, labels, F.lit(True)).collect()}
     sent = score()
     assert min(sent[i] for i in range(200) if i % 10 == 1) > 0.5 > max(sent[i] for i in range(200) if i % 10 != 1)
-    monkeypatch.setattr(toxicity, "LIFT_ROWS", 0)  # by joins, with the same scores
+    monkeypatch.setattr(toxicity, "SENT_ROWS", 0)  # by joins, with the same scores
     assert score() == sent
 
 
