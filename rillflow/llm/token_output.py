@@ -5,16 +5,19 @@ ids that go on; level 1 holds the next chunk of those, and so on. A rank directo
 bits before each block of 512, so token i is reached level by level, without decoding its neighbours.
 
 The table `tokens` has one row per document in ascending id order over its part files: id, part, the start
-within the part, n_tokens and the codes; starts over all parts come from a sum per part. It is Parquet
-with the codes as a binary column, so that it lies in any store that Spark writes, task retries included.
+within the part, n_tokens and the codes; the table `parts` has the ids of each part, from which starts over all
+parts are summed. Both are Parquet with the codes as a binary column, so that they lie in any store that Spark
+writes, task retries included. Within a document any token is read without decoding others.
 
-Defined results: null is the empty text, which has the end id alone; null ids come first; rows that repeat
-an id follow one another, ordered by text; an empty table gives an empty result.
+Texts are encoded as the library does by itself, added tokens in them included. Defined results: null is the empty
+text, which has the end id alone; null ids come first; rows that repeat an id follow one another, ordered by text;
+a text of any length is one row; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -96,12 +99,12 @@ def token_of(codes: bytes, i: int) -> int:
     return value
 
 
-#: A single space between two other characters always begins a new pre-token of a byte-level BPE, and so do marks
-#: after letters; the units between such spaces, and the letters and marks of one, are encoded on their own.
+#: A single space between two other characters always begins a new pre-token of a byte-level BPE, so the units
+#: between such spaces are encoded on their own.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words that are encoded as one text.
+#: Units that are encoded as one text.
 _RUN = 512
 
 
@@ -112,88 +115,84 @@ def _units(text: str) -> list[str]:
 
 
 class Encoder:
-    """A tokenizer that encodes each distinct unit of text once and remembers it, up to a bound."""
+    """A tokenizer that encodes each distinct unit of text once and remembers it, up to a bound.
+
+    Only a plain byte-level BPE lets texts be cut into units; with any other tokenizer, and where a text holds
+    the string of one of its added tokens, whole texts go to the library.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        told = json.loads(self.tokenizer.to_str())
+        before, model = told.get("pre_tokenizer") or {}, told["model"]
+        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model.get("type") == "BPE" and not any([model.get("dropout"), told.get("normalizer"), told.get("truncation"), told.get("padding")])
+        self.added = [x["content"] for x in told.get("added_tokens") or []]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}  # ids of " " + unit
-        self.bare: dict[str, bytes] = {}  # ids of units and marks without a space in front
+        self.marks: dict[str, bytes] = {}  # ids of marks without a space in front
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Each word of letters with a space in front: pre-tokens of one text, told apart by the library."""
-        out: list[bytes] = []
-        for k in range(0, len(words), _RUN):
-            run = words[k : k + _RUN]
-            got = self.tokenizer.encode(" " + " ".join(run), add_special_tokens=False)
-            place, ids = np.array(got.word_ids), np.array(got.ids, "<u4").tobytes()
-            cuts = np.flatnonzero(place[1:] != place[:-1]) + 1
-            if len(cuts) + 1 != len(run):
-                out += self._encode([f" {w}" for w in run])
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units with a space in front: a run of them is one text, cut where an id begins with a space."""
+        out: dict[str, bytes] = {}
+        runs = [units[k : k + _RUN] for k in range(0, len(units), _RUN)]
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self.spaced[ids]) * 4
+            if len(cuts) != len(run):
+                out.update(zip(run, self._encode([f" {u}" for u in run]), strict=True))
                 continue
-            ends = [0, *(cuts * 4).tolist(), len(ids)]
-            out += [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            data, starts = ids.tobytes(), cuts.tolist()
+            out.update(zip(run, [data[a:z] for a, z in zip(starts, [*starts[1:], len(data)], strict=True)], strict=True))
         return out
 
-    def _learn_bare(self, units: set[str]) -> dict[str, bytes]:
-        new = list(units - self.bare.keys())
-        if len(self.bare) > CACHED_UNITS // 8:
-            self.bare.clear()
-            new = list(units)
-        self.bare.update(zip(new, self._encode(new), strict=True))
-        return self.bare
-
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """The ids of units that are not known yet."""
-        known, cores, broken, others = self.known, {}, {}, []
+        """The ids of units that are not known yet; marks behind letters are pre-tokens of their own."""
+        known, whole, tailed = self.known, [], []
         for u in units:
             core = u.rstrip(_MARKS)
-            if core.isalpha():
-                cores[u] = core
-                continue
-            a, _, b = u.partition("\n")  # one newline between other characters is a pre-token
-            if a and b and a.split() == [a] and b.split() == [b]:
-                broken[u] = (a, b)
-            else:
-                others.append(u)
-        for a, _ in broken.values():
-            core = a.rstrip(_MARKS)
-            if core.isalpha():
-                cores[a] = core
+            if len(core) < len(u) and core.isalpha():
+                tailed.append((u, core, u[len(core) :]))
             else:
-                others.append(a)
-        new = list({c for c in cores.values() if c not in known})
-        words = dict(zip(new, self._encode_words(new), strict=True))
-        bare = self._learn_bare({u[len(c) :] for u, c in cores.items()} | {b for _, b in broken.values()} | {"\n"})
-        fresh = dict(zip(others, self._encode([f" {u}" for u in others]), strict=True))
-        for u, c in cores.items():
-            fresh[u] = (words[c] if c in words else known[c]) + bare[u[len(c) :]]
-        for u, (a, b) in broken.items():
-            fresh[u] = fresh[a] + bare["\n"] + bare[b]
-        if len(known) + len(words) + len(fresh) > CACHED_UNITS:
+                whole.append(u)
+        whole += {c for _, c, _ in tailed if c not in known and c not in units}
+        fresh = self._runs(whole)
+        marks = list({m for _, _, m in tailed} - self.marks.keys())
+        if len(self.marks) > CACHED_UNITS // 8:
+            self.marks.clear()
+            marks = list({m for _, _, m in tailed})
+        self.marks.update(zip(marks, self._encode(marks), strict=True))
+        ids = self.marks
+        fresh.update([(u, (known.get(c) or fresh[c]) + ids[m]) for u, c, m in tailed])
+        if len(known) + len(fresh) > CACHED_UNITS:
             for u in list(itertools.islice(known, len(known) // 2)):
                 del known[u]
-        known.update((u, x) for told in (words, fresh) for u, x in told.items() if len(u) <= UNIT_CHARS and u not in broken)
+        known.update([x for x in fresh.items() if len(x[0]) <= UNIT_CHARS])
         return fresh
 
     def __call__(self, texts: list[str], end: bytes = b"") -> list[np.ndarray]:
         """The ids of each text, with the ids that end holds behind them."""
-        parts = [_units(t) for t in texts]
+        whole = [not self.cuts or any(a in t for a in self.added) for t in texts]
+        parts = [[t] if w else _units(t) for t, w in zip(texts, whole, strict=True)]
         heads = self._encode([p.pop(0) for p in parts])
-        codes = [list(map(self.known.get, p)) for p in parts]
-        missing = {u for p, c in zip(parts, codes, strict=True) if None in c for u, x in zip(p, c, strict=True) if x is None}
-        fresh = self._learn(missing) if missing else {}
-        out = []
-        for head, p, c in zip(heads, parts, codes, strict=True):
-            if None in c:
-                c = [fresh[u] if x is None else x for u, x in zip(p, c, strict=True)]
-            out.append(np.frombuffer(b"".join([head, *c, end]), "<u4"))
+        flat = list(itertools.chain.from_iterable(parts))
+        codes = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(codes) if x is None]
+        if missing:
+            fresh = self._learn({flat[i] for i in missing})
+            for i in missing:
+                codes[i] = fresh[flat[i]]
+        out, at = [], 0
+        for head, p in zip(heads, parts, strict=True):
+            out.append(np.frombuffer(b"".join([head, *codes[at : at + len(p)], end]), "<u4"))
+            at += len(p)
         return out
 
 
@@ -232,16 +231,21 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array([encode_codes(x) for x in ids], pa.binary())], names=schema.names)
 
-    tables.map_arrow(ordered, encoded, schema).write.parquet(path)
+    tables.map_arrow(ordered, encoded, schema).write.parquet(f"{path}/tokens")
+    counted = docs.sparkSession.read.schema(schema).parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    counted.coalesce(1).write.parquet(f"{path}/parts")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The table at path with the start of each document among all ids. The window runs over one row a part file."""
-    stored = spark.read.parquet(path)
-    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def _offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(part, n, offset): the ids of each part file and of all before it. The window runs over one row a part file."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return stored.join(tables.small(offsets), "part").withColumn("start", F.col("offset") + F.col("local_start")).drop("offset")
+    return spark.read.schema("part int, n long").parquet(f"{path}/parts").select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The table of tokens at path with the start of each document among all ids."""
+    stored = spark.read.parquet(f"{path}/tokens")
+    return stored.join(tables.small(_offsets(spark, path).drop("n")), "part").withColumn("start", F.col("offset") + F.col("local_start")).drop("offset")
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -272,6 +276,10 @@ def _decoded(index: DataFrame, id_col: str, field: T.StructField, told) -> DataF
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int | None:
-    """The id at a position among all ids: one row is found by its start, one code is read."""
-    row = read_index(spark, path).where((F.col("start") <= position) & (F.col("start") + F.col("n_tokens") > position)).select("start", "codes").first()
-    return None if row is None else token_of(row.codes, position - row.start)
+    """The id at a position among all ids: its part file by the small table, its document by a pushed filter, one code."""
+    part = _offsets(spark, path).where((F.col("offset") <= position) & (F.col("offset") + F.col("n") > position)).first()
+    if part is None:
+        return None
+    at = position - part.offset
+    row = spark.read.parquet(f"{path}/tokens").where((F.col("part") == part.part) & (F.col("local_start") <= at) & (F.col("local_start") + F.col("n_tokens") > at)).select("local_start", "codes").first()
+    return token_of(row.codes, at - row.local_start)

@@ -115,8 +115,7 @@ def test_token_output(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_output.vocabulary("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = [None, "", " ", "  a", "a  b", "a \n b", "x.\nStart of it's", "tab\t tab \x1c \x85z", "<|endoftext|> a", "é. \U0001f600 １２ ａ．ｂ", "y" * 5000 + " z", "\n\n\n"]
+    texts = [None, "", " ", "  a", "a  b", "a \n b", "x.\nStart of it's", "tab\t tab \x1c \x85z", "<|endoftext|> a", "hello <|endoftext|> world", "b<|endoftext|>  ", "Ġ Ġa Ġ", "long " * 3000, "é. \U0001f600 １２ ａ．ｂ", "y" * 5000 + " z", "\n\n\n"]
     texts += odd_texts([" ", "\n", "\t", ".", ",", "'s", "'", "a", "b", "É", "1", "***", "The", "　"], 400, 30)
     rows = docs(spark, texts).select(F.when(F.col("doc_id") == 0, None).otherwise(F.col("doc_id")).alias("doc_id"), "text")
     rows = rows.unionByName(rows.where("doc_id = 7"))  # a row that repeats
@@ -263,3 +262,12 @@ def test_pii_thresholds_cover_all_candidates(spark, monkeypatch):
     rare = [f"{'z' * (k % 38 + 2)} [at] host [dot] {'c' * (k // 38 + 2)}" for k in range(60)]
     rows = pii.find_pii(docs(spark, [*bad, *good, *rare])).where("doc_id >= 90").collect()
     assert len(rows) == 60 and all(len(r.spans) == 1 for r in rows)
+
+
+def test_token_output_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = token_output.vocabulary("word_bpe_49k.json")
+    texts = ["Some  text. It's", "", "<|startoftext|> a b", "x y z"]
+    plain = Tokenizer.from_file(path)
+    assert [x.tolist() for x in token_output.Encoder(path)(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
