@@ -2,15 +2,15 @@
 
 Tokens (words) per source are summed, targets are filled up by weight below a cap, and each document
 is taken floor(rate) times plus one hash-seeded Bernoulli copy with probability equal to the fraction.
+The draw is a projection of the document's row: only sums by source are shuffled, never a text.
 
-The draws of a stratum (a hash-dealt block of about STRATUM documents of one source) share one uniform
-number: ordered by size, document i has the copy if a multiple of one lies in (i * f + v, (i + 1) * f + v].
-Each document has it with probability f exactly, as with separate draws, but a source's words come far
-nearer to their target, and no stratum holds more than a bounded share of a hot source.
+A source's taken words have its target as their mean; they differ from it by the chance of the draws, which
+falls with the square root of its number of documents.
 
 Defined results: a null or empty text has size 0 and costs nothing; a null source is a source of its
-own, last in order; rows that repeat an id draw the same number, so reruns and repeats agree; an empty
-table gives an empty result; columns beyond the named ones are carried by `mix` and ignored by `mix_plan`.
+own, last in order; rows that repeat an id draw the same number, so reruns and repeats agree, and so do rows with
+a null id; equal sizes need no order; a text of any length counts as a whole; an empty table gives an empty result;
+columns beyond the named ones, whatever their names, are carried by `mix` and ignored by `mix_plan`.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-#: Documents in a stratum, about.
-STRATUM = 1024
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -38,14 +36,14 @@ def uniform(seed: int, key: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """(_source, _size) rows of documents -> (_source, _source_size, _n, _target), one row a source.
+    """(_source, _size) rows of documents -> (_source, _source_size, _target), one row a source.
 
     The weights go to the sources in code-point order, null last, and repeat. With r = cap * size / weight
     ascending, the sources below the water level stop at their cap; the level after capping the first k is
     (total - caps of k) / (weights of the rest), and it is highest exactly where capping ends.
     The windows without a partition run over one row a source, not over documents.
     """
-    by_source = sizes.groupBy("_source").agg(F.sum("_size").alias("_source_size"), F.count(F.lit(1)).alias("_n"))
+    by_source = sizes.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
     named = Window.orderBy(F.col("_source").asc_nulls_last())
     rank = F.row_number().over(named) - 1
     by_source = by_source.select("*", F.element_at(F.array(*map(F.lit, weights)), rank % len(weights) + 1).alias("w"))
@@ -56,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     rest = F.sum("w").over(every) - F.coalesce(F.sum("w").over(earlier), F.lit(0))
     by_source = by_source.select("*", (left / rest).alias("level"))
     level = F.max("level").over(every)
-    return by_source.select("_source", "_source_size", "_n", F.least(F.lit(cap) * F.col("_source_size"), level * F.col("w")).alias("_target"))
+    return by_source.select("_source", "_source_size", F.least(F.lit(cap) * F.col("_source_size"), level * F.col("w")).alias("_target"))
 
 
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: float, seed: int) -> DataFrame:
@@ -65,13 +63,8 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     sized = docs.select(F.struct(*docs.columns).alias("row"), docs[source_col].alias("_of"), word_count(docs[text_col]).alias("_size"), uniform(seed, docs[id_col]).alias("_u"))
     joined = sized.join(targets, sized["_of"].eqNullSafe(targets["_source"]), "left")
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    block = F.floor(F.col("_u") * F.ceil(F.col("_n") / F.lit(STRATUM)))
-    dealt = joined.select("*", (rate - F.floor(rate)).alias("_f"), F.floor(rate).alias("_whole"), block.alias("_block"))
-    stratum = Window.partitionBy("_source", "_block").orderBy("_size", "_u", F.xxhash64("row"))
-    v = uniform(seed + 1, F.concat_ws(":", F.col("_block"), F.coalesce(F.col("_source"), F.lit(""))))
-    placed = dealt.select("*", (F.row_number().over(stratum) - 1).alias("_i"), v.alias("_v"))
-    drawn = F.floor((F.col("_i") + 1) * F.col("_f") + F.col("_v")) - F.floor(F.col("_i") * F.col("_f") + F.col("_v"))
-    return placed.select("row", "_size", "_source_size", "_target", (F.col("_whole") + drawn).alias("_copies"))
+    copies = F.floor(rate) + (F.col("_u") < rate - F.floor(rate)).cast("long")
+    return joined.select("row", "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:

@@ -76,7 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_output": op7_token_output,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
-    "op10_mix_sources": op10_mix_sources,
+    "op10_mix_sources": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size, {_uniform(17, "doc_id")} AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+r AS (SELECT *, 3.0::DOUBLE * ss / w AS r FROM w),
+c AS (SELECT *, (sum(ss) OVER () - 3.0::DOUBLE * coalesce(sum(ss) OVER e, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER e, 0)) AS level FROM r WINDOW e AS (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, ss, least(3.0::DOUBLE * ss, max(level) OVER () * w) AS target FROM c),
+p AS (SELECT d.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, ss AS source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
