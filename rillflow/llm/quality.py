@@ -7,12 +7,18 @@ vector is the mean of its tokens' index vectors and of their unit context vector
 is fit on at most TRAIN_ROWS labelled rows, and a temperature, fit on rows that the weights had not seen,
 calibrates its probabilities.
 
-The context vectors are a table of all tokens, which grows with the vocabulary and is joined, never sent to
-the driver. What is joined to it are the distinct tokens of blocks of texts with the places where they stand;
-a block comes together again and its texts are pooled. Sums are whole numbers (unit vectors in steps of 1/127),
-so they do not depend on the order of tasks; a text is named by two hashes. Defined results: null and empty
-texts have the zero vector and its score; rows are scored on their own; without training rows of both labels
-every score is the share of good rows (0.5 without rows).
+The context vectors are a table of all tokens that stand at MIN_COUNT places at least (rarer ones have no context to
+speak of, and count by their index vectors), which grows with the vocabulary. It is sent to the tasks if a count
+proves it to be at most SENT_ROWS rows, and scoring is then one projection of a document's row. Beyond that it is
+joined: to the distinct tokens of blocks of texts with the places where they stand; a block comes together again and
+its texts are pooled. Sums are whole numbers (unit vectors in steps of 1/127), so they depend neither on the order of
+tasks nor on the way. A text is named by two hashes.
+
+Defined results: null and empty texts have the zero vector and its score; every row is scored on its own, so
+repeated rows repeat; rows that repeat a labelled id are learnt from as one (the smallest text), and of several
+labels of an id the largest counts; ties of scores need no order; without training rows of both labels every score is
+the share of good rows (0.5 without rows); a text of any length is one slice of its own; an empty table gives an empty
+result; other columns, whatever their names, are carried by `keep_quality` and not read.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from . import tables, textbytes
 
 DIMS, WINDOW = 32, 2
 TRAIN_ROWS, HIDDEN, EPOCHS = 20_000, 32, 30
+#: Places that a token must stand at to have a context vector; vectors up to which they are sent to the tasks.
+MIN_COUNT, SENT_ROWS = 5, 1_000_000
 #: Tokens whose sums a task holds before it passes them on; (text, token) pairs of a block.
 HELD_ROWS, BLOCK_PAIRS = 150_000, 1_500_000
 
@@ -98,29 +106,32 @@ def _unpacked(column: pa.Array) -> np.ndarray:
 
 
 _VECTOR = T.StructType([T.StructField("h", T.LongType()), T.StructField("v", T.BinaryType())])
+_SUMS = T.StructType([*_VECTOR, T.StructField("n", T.LongType())])
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(h, v): sums of the index vectors around each token, several rows a token, over all rows."""
+    """(h, v, n): sums of the index vectors around each token and its places, several rows a token, over all rows."""
 
     def told(own: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(own), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 20_000]), pa.array(_packed(sums[k : k + 20_000]), pa.binary())], names=_VECTOR.names)
+            part = sums[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 20_000]), pa.array(_packed(part[:, :DIMS]), pa.binary()), pa.array(np.ascontiguousarray(part[:, DIMS]))], names=_SUMS.names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, n = [np.zeros(0, np.int64)], [np.zeros((0, DIMS), np.int64)], 0
+        keys, sums, n = [np.zeros(0, np.int64)], [np.zeros((0, DIMS + 1), np.int64)], 0
         for b in batches:
             for _, _, data, offsets in textbytes.slices(b.column(0)):
                 h, first = _tokens(data, offsets)
                 if not len(h):
                     continue
-                own, at, of = np.unique(h, return_index=True, return_inverse=True)
-                vectors, around = index_vectors(own)[of], np.zeros((len(h), DIMS), np.int8)
+                own, of = np.unique(h, return_inverse=True)
+                vectors, around = index_vectors(own)[of], np.zeros((len(h), DIMS + 1), np.int8)
+                around[:, DIMS] = 1
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for step in range(1, WINDOW + 1):
                     near = (row[step:] == row[:-step])[:, None]
-                    around[step:] += vectors[:-step] * near
-                    around[:-step] += vectors[step:] * near
+                    around[step:, :DIMS] += vectors[:-step] * near
+                    around[:-step, :DIMS] += vectors[step:] * near
                 order = np.argsort(of, kind="stable")
                 starts = np.concatenate(([0], np.cumsum(np.bincount(of))[:-1]))
                 keys.append(own)
@@ -134,22 +145,25 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     keys, sums, n = [own], [each], len(own)
         yield from told(*_summed(keys, sums))
 
-    return tables.map_arrow(docs.select("text"), summed, _VECTOR)
+    return tables.map_arrow(docs.select("text"), summed, _SUMS)
 
 
 def word_vectors(docs: DataFrame) -> DataFrame:
-    """(h, v): the unit context vector of every token, in steps of 1/127."""
+    """(h, v): the unit context vector of every token with MIN_COUNT places, in steps of 1/127."""
 
     def unit(own: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        enough = sums[:, DIMS] >= MIN_COUNT
+        own, sums = own[enough], sums[enough, :DIMS]
         length = np.linalg.norm(sums.astype(float), axis=1, keepdims=True)
         v = np.rint(sums * 127 / np.maximum(length, 1)).astype(np.int8)
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array([r.tobytes() for r in v], pa.binary())], names=_VECTOR.names)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of h; the last token of a batch can go on in the next."""
-        key, sums = np.zeros(0, np.int64), np.zeros((0, DIMS), np.int64)
+        key, sums = np.zeros(0, np.int64), np.zeros((0, DIMS + 1), np.int64)
         for b in batches:
-            key, sums = _summed([key, b.column(0).to_numpy()], [sums, _unpacked(b.column(1))])
+            told = np.concatenate([_unpacked(b.column(1)), b.column(2).to_numpy()[:, None]], 1)
+            key, sums = _summed([key, b.column(0).to_numpy()], [sums, told])
             if len(key) > 1:
                 yield unit(key[:-1], sums[:-1])
                 key, sums = key[-1:], sums[-1:]
@@ -159,6 +173,27 @@ def word_vectors(docs: DataFrame) -> DataFrame:
     return tables.map_arrow(_contexts(docs).repartition("h").sortWithinPartitions("h"), merged, _VECTOR)
 
 
+def pool_texts(texts: pa.Array, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The vector of each text: the means of its tokens' index and context vectors; zeros without tokens."""
+    x = np.zeros((len(texts), 2 * DIMS))
+    for row, end, data, offsets in textbytes.slices(texts):
+        h, first = _tokens(data, offsets)
+        n = np.diff(first)
+        some = np.flatnonzero(n)
+        if not len(some):
+            continue
+        own, of = np.unique(h, return_inverse=True)
+        both = np.zeros((len(own), 2 * DIMS), np.int8)
+        both[:, :DIMS] = index_vectors(own)
+        place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+        hit = known[place] == own if len(known) else np.zeros(len(own), bool)
+        both[hit, DIMS:] = vectors[place[hit]]
+        x[row + some] = np.add.reduceat(both[of], first[:-1][some], axis=0, dtype=np.int64) / n[some, None]
+    x[:, :DIMS] /= 2
+    x[:, DIMS:] /= 127
+    return x.astype(np.float32)
+
+
 _PLACES = np.dtype([("text", np.int32), ("count", np.int32)])
 _PAIRS = "block long, h long, places binary, texts binary"
 _POOLED = "k1 long, k2 long, x binary"
@@ -229,9 +264,8 @@ def _pool_block(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in x], pa.binary())], names=["k1", "k2", "x"])
 
 
-def pooled(docs: DataFrame) -> DataFrame:
+def pooled(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(k1, k2, x): the vector of each distinct text of docs (text, k1, k2), as bytes of 32-bit floats."""
-    vectors = tables.saved(word_vectors(docs), "quality-vectors")
     pairs = tables.map_arrow(docs.select("text", "k1", "k2"), _blocks, _PAIRS)
     return pairs.join(vectors, "h", "left").groupBy("block").applyInArrow(_pool_block, _POOLED).dropDuplicates(["k1", "k2"])
 
@@ -282,25 +316,62 @@ def _names(text_col: str) -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
 
 
+def _fitted(got: list[tuple[int, bytes]]) -> tuple[Network | None, float]:
+    """The network of (label, vector) rows and their share of good ones."""
+    y = np.array([label for label, _ in got], float)
+    x = np.frombuffer(b"".join(bytes(v) for _, v in got), np.float32).reshape(-1, 2 * DIMS).astype(float)
+    order = np.random.default_rng(0).permutation(len(y))
+    return (Network(x[order], y[order]) if len(np.unique(y)) == 2 else None), (float(y.mean()) if len(y) else 0.5)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """The columns that carry names (id_col where it is not given) and a score (double, 0 to 1) for every row of docs.
 
     train: a condition on id_col for the rows to learn from.
     """
-    named = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
+    spark, kept = docs.sparkSession, carry or [id_col]
+    named = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text")).withColumns(_names("text"))
     told = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).cast("int").alias("label"))
     sample = tables.saved(told.orderBy(F.xxhash64(F.lit(3), "_of"), "_of").limit(TRAIN_ROWS), "quality-labels")
-    named = named.withColumns(_names("text"))
-    vectors = tables.saved(pooled(named), "quality-pooled")
-    seen = named.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("k1", "k2", "_id", "label")
-    got = vectors.join(F.broadcast(seen), ["k1", "k2"]).select("_id", "label", "x").toPandas().sort_values(["_id", "x"])
-    y = got["label"].to_numpy(float)
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(-1, 2 * DIMS).astype(float)
-    order = np.random.default_rng(0).permutation(len(y))
-    model = Network(x[order], y[order]) if len(np.unique(y)) == 2 else None
-    share = float(y.mean()) if len(y) else 0.5
+    seen = named.join(F.broadcast(sample), F.col("_id") == F.col("_of")).groupBy("_id").agg(F.min(F.struct("text", "label", "k1", "k2")).alias("x"))
+    seen = tables.saved(seen.select("_id", "x.*"), "quality-training")  # at most TRAIN_ROWS documents
+    vectors = tables.saved(word_vectors(named), "quality-vectors")
+    if vectors.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        return _joined_scores(docs, text_col, kept, score_col, named, seen, vectors)
+    got = vectors.toArrow()
+    h, v = got["h"].to_numpy(), np.frombuffer(b"".join(got["v"].to_pylist()), np.int8).reshape(-1, DIMS)
+    order = np.argsort(h)
+    held = spark.sparkContext.broadcast((h[order], v[order]))
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pool_texts(b.column(2), *held.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "label", "x"])
+
+    rows = tables.map_arrow(seen.select("_id", "label", "text"), pool, T.StructType([seen.schema["_id"], seen.schema["label"], T.StructField("x", T.BinaryType())])).collect()
+    model, share = _fitted([(r.label, r.x) for r in sorted(rows, key=lambda r: r._id)])
+    sent = spark.sparkContext.broadcast(model)
+    text = kept.index(text_col) if text_col in kept else len(kept)
+    source = docs.select(*kept) if text < len(kept) else docs.select(*kept, docs[text_col].alias(tables.unused("_text", kept)))
+    schema = T.StructType([*source.schema[: len(kept)], T.StructField(score_col, T.DoubleType())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pool_texts(b.column(text), *held.value)
+            p = np.full(len(x), share) if sent.value is None else sent.value(x.astype(float))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(np.asarray(p, float))], names=schema.names)
+
+    return tables.map_arrow(source, scored, schema)
+
+
+def _joined_scores(docs: DataFrame, text_col: str, kept: list[str], score_col: str, named: DataFrame, seen: DataFrame, vectors: DataFrame) -> DataFrame:
+    """score_quality where the vectors are joined."""
+    pools = tables.saved(pooled(named, vectors), "quality-pooled")
+    rows = pools.join(F.broadcast(seen.select("k1", "k2", "_id", "label")), ["k1", "k2"]).select("_id", "label", "x").collect()  # at most TRAIN_ROWS
+    model, share = _fitted([(r.label, r.x) for r in sorted(rows, key=lambda r: r._id)])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField(score_col, T.DoubleType())])
+    keys = [tables.unused(n, [*docs.columns, score_col]) for n in ("k1", "k2")]
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in keys], T.StructField(score_col, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,12 +379,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
             p = np.full(len(x), share) if sent.value is None else sent.value(x.astype(float))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.asarray(p, float))], names=schema.names)
 
-    scores = tables.small(tables.saved(tables.map_arrow(vectors, scored, schema), "quality-scores"))
-    kept = carry or [id_col]
-    return docs.select(*kept, *[c.alias(n) for n, c in _names(text_col).items()]).join(scores, ["k1", "k2"]).select(*kept, score_col)
+    scores = tables.small(tables.saved(tables.map_arrow(pools, scored, schema), "quality-scores"))
+    return docs.select(*kept, *[c.alias(k) for k, c in zip(keys, _names(text_col).values(), strict=True)]).join(scores, keys).select(*kept, score_col)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, train: Column, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of docs with a score of at least least."""
-    scored = score_quality(docs, labels, train, id_col, text_col, label_col, docs.columns, "_quality_score")
-    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)
+    name = tables.unused("_score", docs.columns)
+    scored = score_quality(docs, labels, train, id_col, text_col, label_col, docs.columns, name)
+    return scored.where(F.col(name) >= least).select(*docs.columns)

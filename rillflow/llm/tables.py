@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..scratch import new_path, saved, shared_dir
 from ..shipping import ship
 
-__all__ = ["map_arrow", "new_path", "read", "saved", "shared_dir", "small"]
+__all__ = ["map_arrow", "new_path", "read", "saved", "shared_dir", "small", "unused"]
 
 #: Rows of (at most a few hundred bytes) up to which a side is broadcast, once counted.
 BROADCAST_ROWS = 100_000
@@ -36,3 +36,11 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves that it has at most that many rows; as it is beyond."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called so (in either case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -224,9 +224,11 @@ def test_toxicity_counts_every_word_for_itself(spark, monkeypatch):
     assert score() == sent
 
 
-def test_quality_has_a_vector_for_every_word(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_quality_has_a_vector_for_every_word(spark, monkeypatch, sent):
     monkeypatch.setattr(quality, "BLOCK_PAIRS", 40)
     monkeypatch.setattr(quality, "HELD_ROWS", 5)
+    monkeypatch.setattr(quality, "SENT_ROWS", sent)
     rng = random.Random(9)
     words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(400)})
     data, ends = np.frombuffer("".join(words).encode(), np.uint8), np.arange(1, len(words) + 1) * 9
