@@ -132,5 +132,6 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that hold no item; a null id holds none by definition of the join, unless its row is found."""
     found = contained_items(docs, items, id_col, text_col, item_col, item_text_col, size, threshold)
-    marked = tables.saved(found.select(F.col(id_col).alias("_held")).distinct(), "contaminated")
-    return docs.join(tables.small(marked, 1_000_000), docs[id_col].eqNullSafe(F.col("_held")), "left_anti")
+    name = tables.unused("_held", docs.columns)
+    marked = tables.saved(found.select(F.col(id_col).alias(name)).distinct(), "contaminated")
+    return docs.join(tables.small(marked, 1_000_000), docs[id_col].eqNullSafe(marked[name]), "left_anti")

@@ -6,19 +6,21 @@ whole numbers, tested without rounding).
 1. Texts with equal sets are one class, told by two 64-bit sums over the set; one member stands for it.
 2. Sizes fall into bands. In a band, two linked sets differ in at most D shingles, so of any K > D parts of
    the shingles by hash at least K - D are equal. Sets meet in a tile (band, part, hash of the part). A set
-   also enters the band below if it can be the larger set of a pair there. Parts without a shingle are
-   left out while K - D exceeds their number, and stand for themselves else, so no pair is lost. Large sets
-   enter MOST of their K parts: a part is equal with chance 1 / e at least, so that a linked pair shares none
-   with chance (1 - 1 / e) ** MOST, below 1e-9, which is no more than that of two equal hashes.
+   also enters the band below if it can be the larger set of a pair there. A set leaves out its parts without a
+   shingle if they are fewer than the parts that are equal in each of its linked pairs; else they stand for
+   themselves. A set enters all its parts, whatever its size, so no pair is lost.
 3. In each tile all sets are paired with the smallest id. Sizes and the bit counts of parity bitmaps bound
    the overlap from above; pairs that pass are decided by intersecting their sorted arrays.
 4. Only tiles that still hold more than one component are worked on further: blocks of such a tile are
    paired with each other under the same bounds, leaving out what is connected already.
 
+The members of a hot tile are dealt to several tasks, and so are the pairs of a text that leads many.
+
 Component ids are the smallest ids that links reach. Defined results: null and empty texts have size 0 and
 link with nothing; a text with fewer words than a shingle has its whole sequence as one; rows that repeat
 an id are one document with the smallest of their texts; a null id leads no class and gets the component
-of an equal text, or null; an empty table gives an empty result.
+of an equal text, or null; very long texts have as many parts as their size asks for; an empty table gives an
+empty result; other columns, whatever their names, are not read, and `keep_one` carries them.
 """
 
 from __future__ import annotations
@@ -35,10 +37,8 @@ from . import graph, tables, textbytes
 
 #: Ratio of the ends of a size band, words of a bitmap, and sets in a block of a tile.
 BAND, BITMAP_WORDS, BLOCK = 1.5, 16, 2048
-#: Parts beyond those that can differ.
+#: Parts beyond those that can differ, at least.
 SLACK = 2
-#: Parts that a set enters at most.
-MOST = 48
 #: Ids (one number each) up to which they are broadcast to pick texts, once counted.
 WANTED_ROWS = 1_000_000
 
@@ -61,8 +61,11 @@ class Bands:
         """The size of the largest set that links with one of size n."""
         return n * self.den // self.num
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(band, parts) of the bands that a set of size n enters: its own, and those whose sets can be smaller partners."""
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, parts, spare) of the bands that a set of size n enters: its own, and those whose sets can be smaller partners.
+
+        spare: the parts that are equal in each of its linked pairs of the band, less one.
+        """
         self._grow(n)
         own = int(np.searchsorted(self.low, n, "right")) - 1
         out = []
@@ -70,22 +73,26 @@ class Bands:
             top = min(self.low[band + 1] - 1, n)  # the largest smaller set in this band
             if band < own and self.largest(top) < n:
                 break
-            out.append((band, self.parts(band)))
+            parts = self.parts(band)
+            out.append((band, parts, parts - 1 - self._differ(top, self.largest(n) if band == own else n)))
         return out
 
     def parts(self, band: int) -> int:
-        return self.differing(band) + 1 + self.spare(band)
+        """More than can differ in a linked pair of the band."""
+        differ = self.differing(band)
+        load = self.num / (self.den - self.num) if self.num < self.den else 0.0  # shingles a part; exp(-load) of the parts are empty
+        return differ + 1 + min(differ, max(SLACK, int(np.ceil(differ * min(0.1, 2 * np.exp(-load))))))
 
-    def spare(self, band: int) -> int:
-        """Parts of the band that are equal in every linked pair, less one."""
-        return min(SLACK, self.differing(band))
+    def _differ(self, small: int, large: int) -> int:
+        """The most shingles in which linked sets of these sizes differ: (1 - t) / (1 + t) of both."""
+        return (self.den - self.num) * (small + large) // (self.den + self.num)
 
     def differing(self, band: int) -> int:
-        """The most shingles in which a linked pair of the band differs: (1 - t) / (1 + t) of both sizes."""
+        """The most shingles in which a linked pair of the band differs."""
         while band + 1 >= len(self.low):
             self._grow(self.low[-1])
         small = self.low[band + 1] - 1
-        return (self.den - self.num) * (small + self.largest(small)) // (self.den + self.num)
+        return self._differ(small, self.largest(small))
 
 
 _NO_KEYS = np.zeros(0, np.int64)
@@ -98,7 +105,7 @@ def _signature(h: np.ndarray, bands: Bands) -> tuple[int, int, bytes, np.ndarray
     bits = BITMAP_WORDS * 64
     parity = (np.bincount((one % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     keys: list[np.ndarray] = []
-    for band, parts in bands.of(len(h)):
+    for band, parts, spare in bands.of(len(h)):
         if parts == 1:
             continue  # only equal sets link here
         part = ((two >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
@@ -109,7 +116,7 @@ def _signature(h: np.ndarray, bands: Bands) -> tuple[int, int, bytes, np.ndarray
         each = np.zeros(parts, np.uint64)
         each[filled] = sums
         tile = textbytes.mix(each + textbytes.mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
-        keys.append(tile[filled[filled < MOST]] if parts > MOST or parts - len(filled) <= bands.spare(band) else tile)
+        keys.append(tile[filled] if parts - len(filled) <= spare else tile)
     with np.errstate(over="ignore"):
         a, b = int(one.sum().view(np.int64)), int(two.sum().view(np.int64))
     return a, b, np.packbits(parity, bitorder="little").tobytes(), np.concatenate(keys).view(np.int64) if keys else _NO_KEYS
@@ -153,7 +160,10 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts link, by intersecting sorted arrays."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    leads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    leads = tables.saved(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(leads, "a"), "lead-texts")
+    both = tables.join_hot(with_b, leads, ["a"], ["b"], "m").select("a", "b", "ta", "tb")
     schema = T.StructType(both.schema[:2])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +195,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keyed = standing.select("id", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m")).where("lead <> last").drop("last")
-    tiles = tables.saved(keyed.join(leaders, "key").where("id <> lead"), "tiles")
+    leaders = tables.saved(leaders, "leaders")
+    tiles = tables.saved(tables.join_hot(keyed, leaders, ["key"], ["id"], "m").where("id <> lead").select("key", "id", "lead", "m"), "tiles")
 
     first = tiles.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     wanted = tables.saved(tiles.select("id").union(tiles.select("lead")).distinct(), "wanted")
@@ -197,12 +208,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # tiles with more than one component left: their members by block, without the leader
     comp = F.coalesce("component", "id")
-    labelled = tiles.join(found, tiles["id"] == found["node"], "left").select("key", "lead", "m", "id", comp.alias("comp"))
-    lead_of = found.select(F.col("node").alias("lead_node"), F.col("component").alias("lead_component"))
-    labelled = labelled.where("m > 2").join(lead_of, F.col("lead") == F.col("lead_node"), "left").select("key", "m", "id", "comp", F.coalesce("lead_component", "lead").alias("lead_comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    labelled = tiles.where("m > 2").join(found, tiles["id"] == found["node"], "left").select("key", "m", "id", comp.alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo <> hi").select("key", "held")
+    mixed = tables.saved(mixed, "mixed")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    left = labelled.join(mixed, "key", "left_semi").select("key", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    left = tables.join_hot(labelled, mixed, ["key"], ["id"], "held").select("key", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     left = tables.saved(left.join(sketch, "id"), "mixed-tiles")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     x = left.select("*", others.alias("other"), F.col("block").alias("own"))
@@ -219,7 +229,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; rows with a null id stay."""
+    """The rows of docs whose id is the smallest of its component; rows with a null id stay.
+
+    Of rows that repeat an id one stays, that with the smallest text (then the smallest other columns).
+    """
     found = ngram_join(docs.select(id_col, text_col), id_col, text_col, size, num, den)
-    rest = tables.saved(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_copy")), "copies")
-    return docs.join(tables.small(rest, WANTED_ROWS), docs[id_col] == F.col("_copy"), "left_anti")
+    name = tables.unused("_copy", docs.columns)
+    rest = tables.saved(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)), "copies")
+    kept = docs.join(tables.small(rest, WANTED_ROWS), docs[id_col] == rest[name], "left_anti")
+    again = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name)).count().where("count > 1").select(name)
+    again = tables.saved(again, "repeated")
+    if not again.limit(1).count():
+        return kept
+    told = tables.small(again, WANTED_ROWS)
+    once = kept.join(told, kept[id_col] == again[name], "left_anti")
+    row = F.struct(F.col(text_col).alias("first"), F.struct(*docs.columns).alias("row"))
+    one = kept.join(told, kept[id_col] == again[name], "left_semi").groupBy(id_col).agg(F.min(row).alias(name))
+    return once.unionByName(one.select(F.col(f"{name}.row").alias(name)).select(f"{name}.*"))

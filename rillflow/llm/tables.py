@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 from ..scratch import new_path, saved, shared_dir
 from ..shipping import ship
 
-__all__ = ["map_arrow", "new_path", "read", "saved", "shared_dir", "small", "unused"]
+__all__ = ["join_hot", "map_arrow", "new_path", "read", "saved", "shared_dir", "small", "unused"]
 
 #: Rows of (at most a few hundred bytes) up to which a side is broadcast, once counted.
 BROADCAST_ROWS = 100_000
+#: Rows of a key from which a join deals them to several tasks, and hot keys that there can be at most.
+HOT_ROWS, HOT_KEYS = 1_000, 1_000_000
 #: Rows of a batch that goes to a Python worker.
 ARROW_ROWS = 1_000
 
@@ -44,3 +46,24 @@ def unused(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def join_hot(rows: DataFrame, sized: DataFrame, on: list[str], by: list[str], count: str) -> DataFrame:
+    """rows joined to sized, a written table with one row a key and the number of the key's rows in count.
+
+    The rows of a hot key are dealt to several tasks by a hash of the columns by, and its row of sized goes to each of
+    them. Hot is what holds more than a HOT_KEYS-th of all rows (and more than HOT_ROWS), so there are at most
+    HOT_KEYS hot keys, which are broadcast.
+    """
+    total = sized.agg(F.sum(count).alias("n")).first().n or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    names = [*rows.columns, *sized.columns]
+    salt, salts = unused("salt", names), unused("salts", names)
+    tasks = F.greatest(F.ceil(F.col(count) / F.lit(most)), F.lit(1)).cast("int")
+    hot = sized.where(F.col(count) > most).select(*[F.col(c).alias(unused(f"hot_{c}", names)) for c in on], tasks.alias(salts))
+    if not hot.limit(1).count():
+        return rows.join(sized, on)
+    same = [rows[c] == hot[unused(f"hot_{c}", names)] for c in on]
+    dealt = rows.join(F.broadcast(hot), same, "left").select(*rows.columns, F.coalesce(F.pmod(F.xxhash64(*by), F.col(salts)), F.lit(0)).cast("int").alias(salt))
+    each = sized.select("*", F.explode(F.sequence(F.lit(0), tasks - 1)).alias(salt))
+    return dealt.join(each, [*on, salt]).drop(salt)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontaminate, embedding_dedup, graph, line_dedup, mixing, ngram_join
+from rillflow.llm import decontaminate, embedding_dedup, graph, line_dedup, mixing, ngram_join, quality, tables
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -87,13 +87,54 @@ def test_bands_give_enough_parts():
     for num in (60, 80, 90, 97):
         bands = ngram_join.Bands(num, 100)
         for n in (*range(1, 60), 500, 4001):
-            entered = {b for b, _ in bands.of(n)}
+            entered = {b for b, _, _ in bands.of(n)}
             for m in range(1, n + 1):
                 if m * 100 >= n * num:
-                    common = entered & {b for b, _ in bands.of(m)}
+                    common = entered & {b for b, _, _ in bands.of(m)}
                     small = int(np.searchsorted(bands.low, m, "right")) - 1
                     assert small in common
                     assert bands.parts(small) > bands.differing(small) >= (100 - num) * (n + m) // (100 + num)
+                    for x in (n, m):  # parts that are equal, less one, are no fewer than told
+                        assert {b: p - 1 - (100 - num) * (n + m) // (100 + num) >= s for b, p, s in bands.of(x)}[small]
+
+
+@pytest.mark.parametrize(("num", "size"), [(90, 3), (80, 5)])
+def test_ngram_join_of_long_texts(spark, monkeypatch, num, size):
+    """Sets of 400 to 5,000 shingles at similarities just above and below the threshold, around hot tiles."""
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    r = random.Random(num)
+    texts = []
+    for n in (400, 401, 640, 1000, 1700, 5000):
+        text = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(text))
+        differ = (100 - num) / (100 + num) * n  # shingles of each side that differ at the threshold
+        for k in (0.3, 0.9, 1.0, 1.02, 1.1):
+            t = list(text)
+            for at in r.sample(range(n // (2 * size) - 1), int(differ * k / size)):
+                t[at * 2 * size + size] += f"z{k}"
+            texts += [" ".join(t), " ".join(t[: int(len(t) * (num + 1) / 100)])]
+    sets = sets_of(texts, size)
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    want = roots(len(texts), links)
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_join(table(spark, texts), size=size, num=num).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 6
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    names = ["_held", "_copy", "_score", "_quality_score", "_text", "k1", "k2", "key", "row", "score", "label", "_size", "_of", "n"]
+    texts = ["one two three four five six seven", "one two three four five six seven", None, "", "other words here now and then too"]
+    docs = spark.createDataFrame([(i, t, "s", *["x"] * len(names)) for i, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "other words here now and then")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, quality int")
+    for kept in (decontaminate.decontaminate(docs, items), ngram_join.keep_one(docs), quality.keep_quality(docs, labels, F.lit(True), 0.0), mixing.mix(docs)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r["_held"] == "x" and r["n"] == "x" for r in rows)
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {0, 2, 3, 4}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()} == {0, 1, 2, 3}
+    assert ngram_join.keep_one(docs.unionByName(docs)).count() == 4  # rows that repeat an id
+    for empty in (decontaminate.decontaminate(docs.limit(0), items), ngram_join.keep_one(docs.limit(0)), quality.keep_quality(docs.limit(0), labels, F.lit(True)), mixing.mix(docs.limit(0))):
+        assert empty.count() == 0 and empty.columns == docs.columns
 
 
 def test_components(spark):
