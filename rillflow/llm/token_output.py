@@ -35,7 +35,7 @@ from . import tables
 
 BLOCK_BITS = 512
 #: A unit of text up to this many characters is remembered, and so many units at most.
-UNIT_CHARS, CACHED_UNITS = 48, 800_000
+UNIT_CHARS, CACHED_UNITS = 48, 1_200_000
 _HEAD, _LEVEL = struct.Struct("<4sIB"), struct.Struct("<II")
 
 
@@ -104,6 +104,9 @@ def token_of(codes: bytes, i: int) -> int:
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters that a byte-level BPE writes for the bytes 128 to 255: those that print stand for themselves.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 #: Units that are encoded as one text.
 _RUN = 512
 
@@ -133,7 +136,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
         self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}  # ids of " " + unit
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}  # ids of " " + letters, and of " " + other units
         self.marks: dict[str, bytes] = {}  # ids of marks without a space in front
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -153,28 +157,43 @@ class Encoder:
             out.update(zip(run, [data[a:z] for a, z in zip(starts, [*starts[1:], len(data)], strict=True)], strict=True))
         return out
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a space and letters, which are one pre-token: the model takes it as it is."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = [x.id for x in self.model.tokenize("\u0120" + piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """The ids of units that are not known yet; marks behind letters are pre-tokens of their own."""
-        known, whole, tailed = self.known, [], []
+        """The ids of units that are not known yet; letters, and marks behind them, are pre-tokens of their own."""
+        known, marks, fresh, others = self.known, self.marks, {}, []
         for u in units:
             core = u.rstrip(_MARKS)
-            if len(core) < len(u) and core.isalpha():
-                tailed.append((u, core, u[len(core) :]))
-            else:
-                whole.append(u)
-        whole += {c for _, c, _ in tailed if c not in known and c not in units}
-        fresh = self._runs(whole)
-        marks = list({m for _, _, m in tailed} - self.marks.keys())
-        if len(self.marks) > CACHED_UNITS // 8:
-            self.marks.clear()
-            marks = list({m for _, _, m in tailed})
-        self.marks.update(zip(marks, self._encode(marks), strict=True))
-        ids = self.marks
-        fresh.update([(u, (known.get(c) or fresh[c]) + ids[m]) for u, c, m in tailed])
-        if len(known) + len(fresh) > CACHED_UNITS:
+            if not core.isalpha():
+                others.append(u)
+                continue
+            ids = known.get(core)
+            seen = ids is not None
+            if not seen:
+                ids = self._letters(core)
+                if len(core) <= UNIT_CHARS:
+                    known[core] = ids
+            if len(core) < len(u):
+                tail = u[len(core) :]
+                if tail not in marks:
+                    if len(marks) > CACHED_UNITS // 8:
+                        marks.clear()
+                    marks[tail] = self._encode([tail])[0]
+                ids += marks[tail]
+                if seen and len(u) <= UNIT_CHARS:  # what comes again is likely to do so with its marks
+                    known[u] = ids
+            fresh[u] = ids
+        if others:
+            told = self._runs(others)
+            fresh.update(told)
+            known.update([x for x in told.items() if len(x[0]) <= UNIT_CHARS])
+        if len(known) > CACHED_UNITS:
             for u in list(itertools.islice(known, len(known) // 2)):
                 del known[u]
-        known.update([x for x in fresh.items() if len(x[0]) <= UNIT_CHARS])
         return fresh
 
     def __call__(self, texts: list[str], end: bytes = b"") -> list[np.ndarray]:
