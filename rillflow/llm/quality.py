@@ -109,8 +109,40 @@ _VECTOR = T.StructType([T.StructField("h", T.LongType()), T.StructField("v", T.B
 _SUMS = T.StructType([*_VECTOR, T.StructField("n", T.LongType())])
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
-    """(h, v, n): sums of the index vectors around each token and its places, several rows a token, over all rows."""
+def _frequent(docs: DataFrame) -> DataFrame:
+    """(h): the tokens that stand at MIN_COUNT places at least, counted over all rows."""
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
+
+    def told(own: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(own), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 50_000]), pa.array(n[k : k + 50_000, 0].astype(np.int64))], names=schema.names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros((0, 1), np.int64)], 0
+        for b in batches:
+            for _, _, data, offsets in textbytes.slices(b.column(0)):
+                own, n = np.unique(_tokens(data, offsets)[0], return_counts=True)
+                keys.append(own)
+                counts.append(n[:, None])
+                held += len(own)
+                if held > 8 * HELD_ROWS:
+                    own, n = _summed(keys, counts)
+                    if len(own) > 4 * HELD_ROWS:
+                        yield from told(own, n)
+                        own, n = own[:0], n[:0]
+                    keys, counts, held = [own], [n], len(own)
+        yield from told(*_summed(keys, counts))
+
+    each = tables.map_arrow(docs.select("text"), counted, schema)
+    return each.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT).select("h")
+
+
+def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
+    """(h, v, n): sums of the index vectors around each token and its places, several rows a token, over all rows.
+
+    frequent: the tokens to sum for, where they are few enough to be sent; else all.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def told(own: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(own), 20_000):
@@ -132,6 +164,13 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     near = (row[step:] == row[:-step])[:, None]
                     around[step:, :DIMS] += vectors[:-step] * near
                     around[:-step, :DIMS] += vectors[step:] * near
+                if sent.value is not None:
+                    place = np.minimum(np.searchsorted(sent.value, own), max(len(sent.value) - 1, 0))
+                    wanted = sent.value[place] == own if len(sent.value) else np.zeros(len(own), bool)
+                    left = wanted[of]
+                    of, around, own = (np.cumsum(wanted) - 1)[of[left]], around[left], own[wanted]
+                    if not len(own):
+                        continue
                 order = np.argsort(of, kind="stable")
                 starts = np.concatenate(([0], np.cumsum(np.bincount(of))[:-1]))
                 keys.append(own)
@@ -149,7 +188,13 @@ def _contexts(docs: DataFrame) -> DataFrame:
 
 
 def word_vectors(docs: DataFrame) -> DataFrame:
-    """(h, v): the unit context vector of every token with MIN_COUNT places, in steps of 1/127."""
+    """(h, v): the unit context vector of every token with MIN_COUNT places, in steps of 1/127.
+
+    The tokens are counted first: what is summed and shuffled after that are the frequent ones alone.
+    """
+    counted = tables.saved(_frequent(docs), "quality-tokens")
+    few = counted.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    frequent = np.sort(counted.toArrow()["h"].to_numpy()) if few else None
 
     def unit(own: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
         enough = sums[:, DIMS] >= MIN_COUNT
@@ -170,7 +215,7 @@ def word_vectors(docs: DataFrame) -> DataFrame:
         if len(key):
             yield unit(key, sums)
 
-    return tables.map_arrow(_contexts(docs).repartition("h").sortWithinPartitions("h"), merged, _VECTOR)
+    return tables.map_arrow(_contexts(docs, frequent).repartition("h").sortWithinPartitions("h"), merged, _VECTOR)
 
 
 def pool_texts(texts: pa.Array, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
