@@ -112,6 +112,10 @@ w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1)
 r AS (SELECT *, 3.0::DOUBLE * ss / w AS r FROM w),
 c AS (SELECT *, (sum(ss) OVER () - 3.0::DOUBLE * coalesce(sum(ss) OVER e, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER e, 0)) AS level FROM r WINDOW e AS (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, ss, least(3.0::DOUBLE * ss, max(level) OVER () * w) AS target FROM c),
-p AS (SELECT d.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, ss AS source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
+p AS (SELECT d.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT p.*, k, u + k * 0.6180339887498949::DOUBLE AS v FROM p, range({mixing.SEEDS}) AS x(k)),
+b AS (SELECT *, size * (floor(rate) + CASE WHEN v - floor(v) < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM k),
+o AS (SELECT source, k, abs(sum(taken) - any_value(target)) AS away FROM b GROUP BY source, k),
+m AS (SELECT source, arg_min(k, (away, k)) AS k FROM o GROUP BY source)
+SELECT doc_id, size, ss AS source_size, target, CAST(taken AS BIGINT) AS taken FROM b JOIN m ON b.source IS NOT DISTINCT FROM m.source AND b.k = m.k""",
 }

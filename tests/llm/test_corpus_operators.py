@@ -247,18 +247,20 @@ def test_mixing(spark):
     order = [*sorted((s for s in size if s is not None), key=lambda s: s.encode()), None]
     target = dict(zip(order, water_level([size[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))]), strict=True))
     source = {i: s for i, _, s, _ in rows}
-    taken, spread = defaultdict(int), defaultdict(float)
+    draws = defaultdict(lambda: [0] * mixing.SEEDS)
+    drawn = {}
     for x in got:
         s = source[x.doc_id]
         assert x.size == len((texts[x.doc_id] or "").split()) and x.source_size == size[s]
         assert x.target == pytest.approx(target[s]) and x.taken <= 3 * x.size
         rate = target[s] / size[s] if size[s] else 0
-        draw = int(hashlib.md5(f"17:{x.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
-        assert x.copies == int(rate) + (draw < rate - int(rate))
-        taken[s] += x.taken
-        spread[s] += (rate % 1) * (1 - rate % 1) * x.size**2
+        u = int(hashlib.md5(f"17:{x.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        drawn[x.doc_id] = [int(rate) + ((u + k * mixing.STEP) % 1 < rate - int(rate)) for k in range(mixing.SEEDS)]
+        draws[s] = [a + x.size * n for a, n in zip(draws[s], drawn[x.doc_id], strict=True)]
+    best = {s: min(range(mixing.SEEDS), key=lambda k: abs(draws[s][k] - target[s])) for s in order}
+    assert all(x.copies == drawn[x.doc_id][best[source[x.doc_id]]] for x in got)
     for s in order:
-        assert abs(taken[s] - target[s]) <= 4 * spread[s] ** 0.5
+        assert abs(draws[s][best[s]] - target[s]) <= 0.02 * target[s] + 300 * (s == "tiny")
     again = {x.doc_id: x.taken for x in mixing.mix_plan(docs.repartition(3)).collect()}
     assert again == {x.doc_id: x.taken for x in got}
     mixed = mixing.mix(docs)
