@@ -62,6 +62,15 @@ def p2_median(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(p2_medians([np.asarray(v, float) if v is not None else np.zeros(0) for v in s]), index=s.index)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def p2_medians_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The estimates of several arrays of values a row."""
+    for s in batches:
+        counts = [len(r) for r in s]
+        told = p2_medians([np.asarray(v, float) for r in s for v in r])
+        yield pd.Series(np.split(told, np.cumsum(counts)[:-1]) if counts else [], index=s.index)
+
+
 def small_median(values: Column) -> Column:
     """The upper median of an array: sorted[n div 2], 0 for none."""
     ordered = F.array_sort(values)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import FlowConfig
 from ..functions.bytes import byte_entropy, ip_text, mac_text
-from ..functions.median import histogram_median, p2_median
+from ..functions.median import histogram_median, p2_median, p2_medians_of
 from ..schema import FLAGS, LAST, SEG, STATS, SUITES, wide_columns
 from ..shipping import ship
 from .deltas import packet_deltas, with_flow_first
@@ -21,12 +22,23 @@ def prepared(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     return packet_deltas(assign_segments(with_direction(packets, cfg), cfg), cfg)
 
 
+#: What a packet gives to the suites and histograms.
+_GIVEN = ("payload_len", "header_len", "iat", "dir_iat", "delta_len", "dir_delta_len", "window_size", "ip_id", "frag_off", "ttl", "active_s", "idle_s", "is_fwd", "hist_bin")
+#: Packets of a segment up to which they are held as one array.
+HELD_PACKETS = 10_000
+
+
+def _suite_inputs(col: Callable[[str], Column]) -> dict[str, Column]:
+    """What each suite takes of a packet, whose values col gives by name; null where it takes nothing."""
+    fwd = col("is_fwd")
+    split = lambda total, direction: {"Tot": col(total), "Fwd": F.when(fwd, col(direction)), "Bwd": F.when(~fwd, col(direction))}
+    inputs = {f"{d}_{s}": x for s, (t, k) in {"Pay": ("payload_len", "payload_len"), "Hdr": ("header_len", "header_len"), "IAT": ("iat", "dir_iat"), "DeltaLen": ("delta_len", "dir_delta_len")}.items() for d, x in split(t, k).items()}
+    return inputs | {"Win": col("window_size"), "IpId": col("ip_id"), "Frag": col("frag_off"), "TTL_Var": col("ttl"), "Active": col("active_s"), "Idle": col("idle_s")}
+
+
 def suite_values(names: list[str]) -> Column:
     """An array of (suite, x) of a packet, for the suites asked for."""
-    fwd = F.col("is_fwd")
-    split = lambda total, direction: {"Tot": F.col(total), "Fwd": F.when(fwd, F.col(direction)), "Bwd": F.when(~fwd, F.col(direction))}
-    inputs = {f"{d}_{s}": x for s, (t, k) in {"Pay": ("payload_len", "payload_len"), "Hdr": ("header_len", "header_len"), "IAT": ("iat", "dir_iat"), "DeltaLen": ("delta_len", "dir_delta_len")}.items() for d, x in split(t, k).items()}
-    inputs |= {"Win": F.col("window_size"), "IpId": F.col("ip_id"), "Frag": F.col("frag_off"), "TTL_Var": F.col("ttl"), "Active": F.col("active_s"), "Idle": F.col("idle_s")}
+    inputs = _suite_inputs(F.col)
     return F.array(*[F.struct(F.lit(SUITES.index(n)).alias("suite"), inputs[n].cast("double").alias("x")) for n in names])
 
 
@@ -44,7 +56,7 @@ def suites(prepared_packets: DataFrame, names: list[str] | None = None, cfg: Flo
     """
     names = names or SUITES
     p2 = cfg.median == "p2"
-    if p2 and cfg.max_packets > 10_000:
+    if p2 and cfg.max_packets > HELD_PACKETS:
         raise ValueError("the P-square median keeps a segment's values; take median='exact' for such long segments")
     rows = prepared_packets.select(*SEG, "ts_ns", "pkt_id", F.inline(suite_values(names))).where("x is not null")
     floor = F.floor if cfg.floor_extrema else lambda c: c
@@ -87,8 +99,8 @@ def _ratio(a: Column, b: Column, none: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(none.cast("double"))
 
 
-def counters(prepared_packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
-    """Everything of a segment but suites and histograms, one row each."""
+def counters(prepared_packets: DataFrame, cfg: FlowConfig = FlowConfig(), more: tuple[Column, ...] = ()) -> DataFrame:
+    """Everything of a segment but suites and histograms, one row each. more: further aggregates to carry."""
     fwd, first, last = F.col("is_fwd"), F.col("is_first"), F.col("is_last")
     zero = lambda c: F.coalesce(c, F.lit(0))
     count = lambda c: F.sum(c.cast("long"))
@@ -107,7 +119,7 @@ def counters(prepared_packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> Dat
     entropy = byte_entropy(F.col("payload_hint")) if cfg.payload_entropy else F.lit(0.0)
     aggs += [zero(_when_max(first, entropy)).alias("PayloadEntropy"), F.min("ts_ns").alias("start_ts_ns"), F.max("ts_ns").alias("end_ts_ns"), _when_max(last, "active_start").alias("active_start"), _when_max(last, "tcp_flags").alias("end_flags")]
     held = ["first_src_ip", "first_dst_ip", "first_src_port", "first_dst_port", "first_src_mac", "first_dst_mac", "first_eth_proto"]
-    rows = prepared_packets.groupBy(*SEG, *held).agg(*aggs)
+    rows = prepared_packets.groupBy(*SEG, *held).agg(*aggs, *more)
     return _derived(rows, cfg)
 
 
@@ -130,13 +142,92 @@ def _derived(rows: DataFrame, cfg: FlowConfig) -> DataFrame:
     })
 
 
+def _array_stats(values: Column, cfg: FlowConfig) -> Column:
+    """Arrays of values to structs of their statistics but the median (and with it the mode, which is constant here)."""
+    floor = F.floor if cfg.floor_extrema else lambda c: c
+    total = F.transform(values, lambda v: F.struct(v.alias("v"), F.size(v).alias("n"), (F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(v), F.lit(0))).alias("mean")))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+
+    def powers(mean: Column) -> Callable[[Column, Column], Column]:
+        d = lambda x: x - mean
+        return lambda a, x: F.struct((a["a"] + d(x) * d(x)).alias("a"), (a["b"] + d(x) * d(x) * d(x)).alias("b"), (a["c"] + d(x) * d(x) * d(x) * d(x)).alias("c"))
+
+    summed = F.transform(total, lambda s: F.struct(s["v"].alias("v"), s["n"].alias("n"), s["mean"].alias("mean"), F.aggregate(s["v"], zero, powers(s["mean"])).alias("m")))
+    zeroed = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def told(s: Column) -> Column:
+        n, mean, m2 = s["n"], s["mean"], s["m"]["a"]
+        var = F.when(n > 1, m2 / (n - 1)).otherwise(0.0)
+        return F.struct(
+            zeroed(floor(F.array_max(s["v"])).cast("double")).alias("Max"),
+            floor(F.array_min(s["v"])).cast("double").alias("Min"),
+            zeroed(mean).alias("Mean"),
+            F.sqrt(var).alias("Std"),
+            var.alias("Var"),
+            F.when(m2 > cfg.moment_epsilon, F.sqrt(n) * s["m"]["b"] / (m2 * F.sqrt(m2))).otherwise(0.0).alias("Skew"),
+            F.when(m2 > cfg.moment_epsilon, n * s["m"]["c"] / (m2 * m2) - 3).otherwise(0.0).alias("Kurt"),
+            F.when(mean > 0, F.sqrt(var) / mean).otherwise(0.0).alias("CoV"),
+            F.lit(0.0).alias("Mode"),
+        )
+
+    return F.transform(summed, told)
+
+
+def _middle(v: Column) -> Column:
+    """The exact median of an array; 0 for none."""
+    held, n = F.array_sort(v), F.size(v)
+    return F.coalesce((F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2, F.lit(0.0))
+
+
+_HIST_MEDIANS = {"Tot_Pay": "Hist_Tot", "Fwd_Pay": "Hist_Fwd", "Bwd_Pay": "Hist_Bwd"}
+
+
+def _folded_features(p: DataFrame, cfg: FlowConfig, names: list[str]) -> DataFrame:
+    """The flow rows from one aggregation: a segment's packets are an array, which max_packets bounds."""
+    held = F.array_sort(F.collect_list(F.struct("ts_ns", "pkt_id", *_GIVEN))).alias("packets")
+    rows = counters(p, cfg, (held,))
+    chosen = lambda condition: F.filter("packets", condition) if condition else F.col("packets")
+    for name, condition in (("Hist_Tot", None), ("Hist_Fwd", lambda q: q["is_fwd"]), ("Hist_Bwd", lambda q: ~q["is_fwd"])):
+        rows = rows.withColumn(f"bins_{name}", F.transform(chosen(condition), lambda q: q["hist_bin"]))
+    bins = lambda h: F.transform(F.sequence(F.lit(0), F.lit(cfg.hist_bins - 1)), lambda i: F.size(F.filter(f"bins_{h}", lambda b: b == i)).cast("bigint"))
+    taken = lambda n: lambda q: _suite_inputs(lambda c: q[c])[n].cast("double")
+    values = F.array(*[F.filter(F.transform("packets", taken(n)), lambda x: x.isNotNull()) for n in names])
+    rows = rows.withColumns({h: bins(h) for h in _HIST_MEDIANS.values()} | {"values": values}).drop("packets", *[f"bins_{h}" for h in _HIST_MEDIANS.values()])
+    of_hist = {i: _HIST_MEDIANS[n] for i, n in enumerate(names) if cfg.median == "p2" and n in _HIST_MEDIANS}
+    estimated = [i for i in range(len(names)) if i not in of_hist]
+    if cfg.median == "p2" and estimated:
+        ship(p.sparkSession)
+        medians = p2_medians_of(F.array(*[F.get("values", F.lit(i)) for i in estimated]))
+    else:
+        medians = F.array(*[_middle(F.get("values", F.lit(i))) if cfg.median == "exact" else F.lit(0.0) for i in estimated]) if estimated else F.array().cast("array<double>")
+    rows = rows.withColumn("medians", medians)
+    rows = rows.withColumn("stats", _array_stats(F.col("values"), cfg)).drop("values")
+
+    def stat(i: int, t: str) -> Column:
+        if t == "Median":
+            return histogram_median(F.col(of_hist[i]), cfg.hist_step) if i in of_hist else F.get("medians", F.lit(estimated.index(i)))
+        return F.get("stats", F.lit(i))[t]
+
+    kept = [x for x in rows.columns if x not in ("stats", "medians")]
+    return rows.select(*kept, *[stat(i, t).alias(f"{n}_{t}") for i, n in enumerate(names) for t in STATS])
+
+
 def segment_features(segmented: DataFrame, cfg: FlowConfig = FlowConfig(), names: list[str] | None = None) -> DataFrame:
-    """The typed flow row of every segment of packets that assign_segments, or a stream, has cut."""
+    """The typed flow row of every segment of packets that assign_segments, or a stream, has cut.
+
+    Segments of at most HELD_PACKETS packets are aggregated once; longer ones, and exact modes, by joining
+    aggregates of packets.
+    """
     p = packet_deltas(segmented if "first_src_ip" in segmented.columns else with_flow_first(segmented), cfg)
     names = names or SUITES
+    return _joined_features(p, cfg, names) if cfg.max_packets > HELD_PACKETS or cfg.exact_mode else _folded_features(p, cfg, names)
+
+
+def _joined_features(p: DataFrame, cfg: FlowConfig, names: list[str]) -> DataFrame:
+    """The flow rows by joining counters, suites and histograms."""
     folded = suites(p, names, cfg).groupBy(*SEG).agg(F.map_from_entries(F.collect_list(F.struct("suite", F.struct(*STATS)))).alias("suites"))
     joined = counters(p, cfg).join(folded, SEG).join(histograms(p, cfg), SEG)
-    hist_medians = {"Tot_Pay": "Hist_Tot", "Fwd_Pay": "Hist_Fwd", "Bwd_Pay": "Hist_Bwd"} if cfg.median == "p2" else {}
+    hist_medians = _HIST_MEDIANS if cfg.median == "p2" else {}
     joined = joined.withColumns({f"{s}_row": F.element_at("suites", F.lit(s)) for s in names} | {f"{s}_hist_median": histogram_median(F.col(h), cfg.hist_step) for s, h in hist_medians.items() if s in names})
 
     def stat(s: str, t: str) -> Column:
