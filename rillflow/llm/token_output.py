@@ -137,8 +137,12 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
         self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are remembered here
         self.known: dict[str, bytes] = {}  # ids of " " + letters, and of " " + other units
         self.marks: dict[str, bytes] = {}  # ids of marks without a space in front
+        self.bare: dict[str, bytes] = {}  # ids of letters without a space in front
+        self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -157,43 +161,61 @@ class Encoder:
             out.update(zip(run, [data[a:z] for a, z in zip(starts, [*starts[1:], len(data)], strict=True)], strict=True))
         return out
 
-    def _letters(self, word: str) -> bytes:
-        """The ids of a space and letters, which are one pre-token: the model takes it as it is."""
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = [x.id for x in self.model.tokenize("\u0120" + piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _word(self, u: str, known: dict[str, bytes], space: str) -> bytes | None:
+        """The ids of letters and marks behind them, which are pre-tokens of their own; None for other units.
+
+        The model takes a pre-token as it is. known: what has been told with space (or nothing) in front.
+        """
+        core = u.rstrip(_MARKS)
+        if not core.isalpha():
+            return None
+        ids = known.get(core)
+        seen = ids is not None
+        if not seen:
+            piece = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS)
+            told = [x.id for x in self.model.tokenize(space + piece)]
+            ids = struct.pack(f"<{len(told)}I", *told)
+            if len(core) <= UNIT_CHARS:
+                known[core] = ids
+        if len(core) == len(u):
+            return ids
+        tail = u[len(core) :]
+        if tail not in self.marks:
+            if len(self.marks) > CACHED_UNITS // 8:
+                self.marks.clear()
+            self.marks[tail] = self._encode([tail])[0]
+        ids += self.marks[tail]
+        if seen and len(u) <= UNIT_CHARS:  # what comes again is likely to do so with its marks
+            known[u] = ids
+        return ids
+
+    def _lines(self, u: str) -> bytes | None:
+        """The ids of words with one newline between each two; None for other units."""
+        parts = u.split("\n")
+        if len(parts) < 2 or u.split() != parts:
+            return None
+        told = [self._word(parts[0], self.known, "\u0120"), *(self._word(x, self.bare, "") for x in parts[1:])]
+        return None if None in told else self.newline.join(told)
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """The ids of units that are not known yet; letters, and marks behind them, are pre-tokens of their own."""
-        known, marks, fresh, others = self.known, self.marks, {}, []
+        """The ids of units that are not known yet."""
+        known, fresh, others, word = self.known, {}, [], self._word
         for u in units:
-            core = u.rstrip(_MARKS)
-            if not core.isalpha():
+            ids = word(u, known, "\u0120")
+            if ids is None and "\n" in u:
+                ids = self._lines(u)
+            if ids is None:
                 others.append(u)
-                continue
-            ids = known.get(core)
-            seen = ids is not None
-            if not seen:
-                ids = self._letters(core)
-                if len(core) <= UNIT_CHARS:
-                    known[core] = ids
-            if len(core) < len(u):
-                tail = u[len(core) :]
-                if tail not in marks:
-                    if len(marks) > CACHED_UNITS // 8:
-                        marks.clear()
-                    marks[tail] = self._encode([tail])[0]
-                ids += marks[tail]
-                if seen and len(u) <= UNIT_CHARS:  # what comes again is likely to do so with its marks
-                    known[u] = ids
-            fresh[u] = ids
+            else:
+                fresh[u] = ids
         if others:
             told = self._runs(others)
             fresh.update(told)
             known.update([x for x in told.items() if len(x[0]) <= UNIT_CHARS])
-        if len(known) > CACHED_UNITS:
-            for u in list(itertools.islice(known, len(known) // 2)):
-                del known[u]
+        for held, most in ((known, CACHED_UNITS), (self.bare, CACHED_UNITS // 8)):
+            if len(held) > most:
+                for u in list(itertools.islice(held, len(held) // 2)):
+                    del held[u]
         return fresh
 
     def __call__(self, texts: list[str], end: bytes = b"") -> list[np.ndarray]:
