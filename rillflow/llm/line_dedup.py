@@ -2,13 +2,18 @@
 
 Windows of consecutive lines are hashed, windows that stand at more than one place are found globally,
 and every later occurrence is removed: the positions that its windows cover are merged and those lines go.
-With a number of words as passage, every shorter run of lines that holds so many words is a window as well.
+With a number of words as passage, every shorter run of lines that holds so many words is a window as well, so
+that a long passage on one or two lines is found between different neighbours.
+
+Windows are grouped by hash with partial sums; the places of a hot window are dealt to several tasks. The places to
+remove are sent to the documents if a count proves them few, and joined by id and hash of the text beyond.
 
 Defined results: lines are what newlines separate, compared after trimming; blank lines are in no window
 and stay; a document with fewer lines than a window has all of them as one window; null is the empty
 text and empty texts have no window. Order is by id (null first), then by a hash of the text, then by
 position, so rows that repeat a document entirely are one document and share its fate. Every removed line
-still stands at an earlier place, since the first occurrence of a window is never a later one.
+still stands at an earlier place, since the first occurrence of a window is never a later one. A document of any
+length is cut as a whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +23,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
 
+#: Places up to which those to remove are sent to all documents.
+SENT_PLACES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,14 +70,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_text"), _filled(_lines(text)).alias("filled"))
     windows = named.select("_id", "_text", F.inline(_windows(F.col("filled"), size, passage)))
     place = F.struct("_id", "_text", "j")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where(place > F.col("first"))
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = tables.join_hot(windows, tables.saved(first, "windows"), ["h1", "h2"], ["_id", "_text", "j"], "n").where(place > F.col("first"))
     return later.groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("j", "k"))).alias("places"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, passage: int | None = None) -> DataFrame:
     """id, n_lines, n_removed, text: each document without the lines that later occurrences of windows cover."""
-    found = repeated_windows(docs, id_col, text_col, size, passage)
+    found = tables.saved(repeated_windows(docs, id_col, text_col, size, passage), "places")
+    if (found.agg(F.sum(F.size("places") + 4).alias("n")).first().n or 0) <= SENT_PLACES:
+        found = F.broadcast(found)
     named = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_whole"))
     named = named.withColumn("_text", F.xxhash64("_whole"))
     joined = named.join(found, named["_id"].eqNullSafe(found["_id"]) & (named["_text"] == found["_text"]), "left").select(named["_id"], "_whole", "places")

@@ -6,20 +6,29 @@ threshold of their generator are added.
 
 The trees learn from the table itself (distant supervision): a candidate that a base span overlaps counts as
 personal, and so does a spelt address that is a valid base match once its signs are put in; any other one does not.
-No feature tells whether the base checks pass. A candidate is added unless a base span covers all of it
-but marks at its ends.
-Candidates are gathered into distinct feature vectors with weights; the trees are fit on at most TRAIN_ROWS of them, a
-sample by hash, and the thresholds cover all. The trees become SQL expressions, so that scoring is one projection of a document's row, without a shuffle.
+No feature tells whether the base checks pass, so the trees learn how personal data looks and what stands around it,
+from those that the base can vouch for; what they add are candidates that look like these and that the base cannot
+vouch for (a card with a wrong check digit, a phone without its plus, a wider or a spelt address). A candidate is
+added unless a base span covers all of it but marks at its ends.
+
+Candidates are saved once, and gathered into distinct feature vectors with weights, which a hash deals into
+FOLDS folds. Each is scored by trees that were fit on the others (at most TRAIN_ROWS vectors, a sample by hash), so
+thresholds are calibrated on vectors that the trees had not seen, over all candidates. The trees become SQL expressions, so that
+scoring is one projection of a document's row, without a shuffle. Work grows in proportion to a text's spans: sums
+over them and tests between them go by blocks of BLOCK.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; every row is scored on its
-own, so repeated rows repeat; without candidates of both labels no span is added.
+own, so repeated rows and null ids repeat; base spans of different kinds may overlap and all stay; without candidates of
+both labels no span is added; texts of any length are searched whole; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +56,9 @@ GENERATORS = {
 }
 FEATURES = ("generator", "length", "digits", "letters", "marks", "dots", "spaces", "plus", "longest", "groups", "cue", "open", "closed")
 CUES = r"(?i)(mail|contact|write|tel|phone|call|mobile|fax|card|visa|account|ip|host|address|addr)\W{0,4}$"
-TRAIN_ROWS, TREES, DEPTH = 20_000, 12, 3
+TRAIN_ROWS, TREES, DEPTH = 20_000, 8, 3
+#: Folds of the feature vectors, and spans of a block.
+FOLDS, BLOCK = 3, 128
 #: Share of personal candidates that those above a threshold must have, and their least number.
 PRECISION, SUPPORT = 0.9, 20
 
@@ -84,31 +95,47 @@ def _found(df: DataFrame, text: str, name: str, pattern: str, needs: Column) ->
     df = df.withColumn("hits", F.regexp_extract_all(searched, F.lit(pattern), F.lit(0)))
     some = F.size("hits") > 0
     df = df.withColumn("pieces", F.when(some, F.split(F.col(text), pattern, -1)).otherwise(F.array().cast("array<string>")))
-    lengths = F.transform("hits", lambda h, i: F.struct(F.length(F.get("pieces", i)).alias("skip"), F.length(h).alias("n")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    # where each match begins: the lengths of the blocks before its own, and those within it
+    df = df.withColumn("lengths", F.transform("hits", lambda h, i: F.length(F.get("pieces", i)) + F.length(h)))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    blocks = F.when(some, F.sequence(F.lit(0), F.floor((F.size("hits") - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("sums", F.transform(blocks, lambda k: total(F.slice("lengths", k * BLOCK + 1, BLOCK))))
+    df = df.withColumn("before", F.transform("sums", lambda x, k: total(F.slice("sums", F.lit(1), k))))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["skip"]
-        return F.struct((start + x["n"]).alias("at"), F.concat(a["starts"], F.array(start)).alias("starts"))
+    def start_of(i: Column) -> Column:
+        k = F.floor(i / BLOCK).cast("int")
+        return F.get("before", k) + total(F.slice("lengths", k * BLOCK + 1, i - k * BLOCK)) + F.length(F.get("pieces", i))
 
-    df = df.withColumn("starts", F.aggregate(lengths, zero, step, lambda a: a["starts"]))
+    df = df.withColumn("starts", F.transform("hits", lambda h, i: start_of(i)))
 
     def told(h: Column, i: Column) -> Column:
         start, after = F.get("starts", i), F.get("pieces", i + 1)
         return F.struct(start.alias("from"), (start + F.length(h)).alias("to"), h.alias("hit"), F.right(F.get("pieces", i), F.lit(24)).alias("before"), F.left(after, F.lit(1)).alias("after"))
 
-    return df.withColumn(name, F.transform("hits", told)).drop("hits", "pieces", "starts")
+    return df.withColumn(name, F.transform("hits", told)).drop("hits", "pieces", "lengths", "sums", "before", "starts")
+
+
+def _blocks(spans: Column) -> Column:
+    """Spans by block, with the reach of each block, so that a test against all of them passes over most."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda k: F.slice(spans, k * BLOCK + 1, BLOCK))
+    told = F.transform(parts, lambda p: F.struct(F.array_min(F.transform(p, lambda s: s["from"])).alias("from"), F.array_max(F.transform(p, lambda s: s["to"])).alias("to"), p.alias("spans")))
+    return F.when(F.size(spans) > 0, told).otherwise(F.slice(told, 1, 0))
+
+
+def _any(blocks: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether any span passes a test that its block passes as well."""
+    return F.exists(blocks, lambda b: test(b) & F.exists(b["spans"], test))
 
 
-def _overlaps(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda b: (b["from"] < c["to"]) & (b["to"] > c["from"]))
+def _overlaps(blocks: Column, c: Column) -> Column:
+    return _any(blocks, lambda b: (b["from"] < c["to"]) & (b["to"] > c["from"]))
 
 
-def _covered(spans: Column, c: Column) -> Column:
+def _covered(blocks: Column, c: Column) -> Column:
     """Whether one span holds all of a candidate but marks at its ends."""
     start = c["to"] - F.length(F.regexp_replace(c["hit"], r"^[^\p{L}\p{N}]+", ""))
     end = c["from"] + F.length(F.regexp_replace(c["hit"], r"[^\p{L}\p{N}]++$", ""))
-    return F.exists(spans, lambda b: (b["from"] <= start) & (b["to"] >= end))
+    return _any(blocks, lambda b: (b["from"] <= start) & (b["to"] >= end))
 
 
 def _spelt_out(hit: Column) -> Column:
@@ -155,7 +182,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for kind, pattern in BASE.items():
         df = _found(df, "_text", f"m_{kind}", pattern, F.lit(True) if NEEDS[kind] is None else F.contains("_text", F.lit(NEEDS[kind])))
     base = [_valid_spans(k) for k in KINDS]
-    df = df.select("_id", "_text", F.concat(*base).alias("base"))
+    df = df.select("_id", "_text", F.concat(*base).alias("base")).withColumn("blocks", _blocks(F.col("base")))
     needs = {"mail": F.contains("_text", F.lit("@")), "spelt": F.col("_text").rlike(r"(?i)[\[({] ?at ?[\])}]"), "number": F.lit(True)}
     for name, (_, pattern) in GENERATORS.items():
         df = _found(df, "_text", f"g_{name}", pattern, needs[name])
@@ -163,9 +190,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def proposed(i: int, name: str) -> Column:
         def one(c: Column) -> Column:
             kind = F.when(~c["hit"].startswith("+") & (F.length(_digits(c["hit"])) >= 13), "card").otherwise("phone") if name == "number" else F.lit(GENERATORS[name][0])
-            label = _overlaps(F.col("base"), c)
+            label = _overlaps(F.col("blocks"), c)
             label = label | _spelt_out(c["hit"]) if name == "spelt" else label
-            return F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), label.alias("label"), _covered(F.col("base"), c).alias("covered"))
+            return F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), label.alias("label"), _covered(F.col("blocks"), c).alias("covered"))
 
         return F.transform(f"g_{name}", one)
 
@@ -180,21 +207,38 @@ def _tree(node, x: Column) -> Column:
     return F.when(F.get(x, F.lit(split.featureIndex())) <= split.threshold(), _tree(node.leftChild(), x)).otherwise(_tree(node.rightChild(), x))
 
 
-def train(found: DataFrame):
-    """(score of the array x, threshold by generator), or None without candidates of both labels."""
-    vectors = found.select(F.explode("proposed").alias("c")).groupBy("c.x", "c.label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    vectors = tables.saved(vectors, "pii-vectors")
+def fold_of(x: Column) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(FOLDS))
+
+
+def fit_trees(vectors: DataFrame) -> GBTClassificationModel | None:
+    """Trees over (x, label, weight) rows, a sample by hash; None without both labels."""
     fit = vectors.orderBy(F.xxhash64("x", "label"), "x", "label").limit(TRAIN_ROWS)
     if fit.select("label").distinct().count() < 2:
         return None
     named = fit.select(F.col("label").cast("double").alias("label"), "weight", *[F.get("x", F.lit(i)).cast("double").alias(n) for i, n in enumerate(FEATURES)])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(named)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="weight", seed=5, minInstancesPerNode=1).fit(rows)
-    trees = [(w, t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, weightCol="weight", seed=5, minInstancesPerNode=1).fit(rows)
+
+
+def score_of(model: GBTClassificationModel, x: Column) -> Column:
+    """The probability that the trees give to the array x, as an expression."""
+    margin = reduce(lambda a, b: a + b, [F.lit(w) * _tree(t._call_java("rootNode"), x) for w, t in zip(model.treeWeights, model.trees, strict=True)])
+    return 1 / (1 + F.exp(-2 * margin))
+
+
+def train(found: DataFrame):
+    """(score of the array x, threshold by generator), or None without candidates of both labels."""
+    vectors = found.select(F.explode("proposed").alias("c")).groupBy("c.x", "c.label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    vectors = tables.saved(vectors.withColumn("fold", fold_of(F.col("x"))), "pii-vectors")
+    models = [fit_trees(vectors.where(F.col("fold") != k)) for k in range(FOLDS)]  # that of k has not seen fold k
+    if None in models:  # a fold lacks a label: one set of trees for all
+        models = [fit_trees(vectors)] * FOLDS
+        if None in models:
+            return None
 
     def score(x: Column) -> Column:
-        margin = reduce(lambda a, b: a + b, [F.lit(w) * _tree(t, x) for w, t in trees])
-        return 1 / (1 + F.exp(-2 * margin))
+        return F.coalesce(*[F.when(fold_of(x) == k, score_of(m, x)) for k, m in enumerate(models)])
 
     binned = vectors.select(F.get("x", F.lit(0)).alias("generator"), F.floor(score(F.col("x")) * 100).cast("int").alias("bin"), "weight", F.when(F.col("label"), F.col("weight")).otherwise(0.0).alias("good"))
     bins = binned.groupBy("generator", "bin").agg(F.sum("weight").alias("weight"), F.sum("good").alias("good")).collect()  # at most 3 x 101 rows
@@ -212,7 +256,7 @@ def train(found: DataFrame):
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone (base spans), base and spans (all): arrays of (kind, from, to), by kind, then place."""
-    found = candidates(docs, id_col, text_col)
+    found = tables.saved(candidates(docs, id_col, text_col), "pii-candidates")
     learnt = train(found)
     added = F.array().cast("array<struct<kind:string,from:int,to:int>>")
     if learnt:

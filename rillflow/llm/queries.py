@@ -39,7 +39,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(tables.read(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(tables.read(spark, sf_dir, "documents"), passage=50)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +98,14 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""WITH b AS ({_shingle_sets("benchmark", "item_id", 5)}), d AS ({_shingle_sets("documents", "doc_id", 5)}),
 m AS (SELECT d.doc_id, b.item_id, count(*) AS shared, max(b.n) AS item_shingles FROM d JOIN b USING (g) GROUP BY ALL)
 SELECT doc_id, item_id, shared, CAST(item_shingles AS BIGINT) AS item_shingles, shared / item_shingles AS containment FROM m WHERE shared >= 0.8 * item_shingles - 1e-9""",
-    "op5_line_dedup": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j, count(*) OVER (PARTITION BY doc_id) AS m, trim(line) AS t FROM l WHERE trim(line) <> ''),
-w AS (SELECT doc_id, j, m, t || chr(10) || coalesce(lead(t) OVER d, '') || chr(10) || coalesce(lead(t, 2) OVER d, '') AS x FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
-v AS (SELECT * FROM w WHERE j = 1 OR j + 2 <= m),
-r AS (SELECT doc_id, j, x, row_number() OVER (PARTITION BY x ORDER BY doc_id, j) AS k FROM v),
-c AS (SELECT DISTINCT f.doc_id, f.pos FROM r JOIN f ON r.doc_id = f.doc_id AND f.j BETWEEN r.j AND r.j + 2 WHERE r.k > 1)
+    "op5_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j, count(*) OVER (PARTITION BY doc_id) AS m, trim(line) AS t, len(regexp_extract_all(trim(line), {_WORDS})) AS words FROM l WHERE trim(line) <> ''),
+w AS (SELECT doc_id, j, m, t, words, lead(t) OVER d AS t2, lead(t, 2) OVER d AS t3, lead(words) OVER d AS words2 FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
+v AS (SELECT doc_id, j, 3 AS k, concat_ws(chr(10), t, t2, t3) AS x FROM w WHERE j = 1 OR j + 2 <= m
+  UNION ALL SELECT doc_id, j, 1, t FROM w WHERE words >= 50
+  UNION ALL SELECT doc_id, j, 2, concat_ws(chr(10), t, t2) FROM w WHERE words + words2 >= 50),
+r AS (SELECT *, doc_id * 4294967296 + j AS place, min(doc_id * 4294967296 + j) OVER (PARTITION BY x) AS first FROM v),
+c AS (SELECT DISTINCT f.doc_id, f.pos FROM r JOIN f ON r.doc_id = f.doc_id AND f.j BETWEEN r.j AND r.j + r.k - 1 WHERE r.place > r.first)
 SELECT l.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (c.pos IS NULL), '') AS text
 FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos GROUP BY l.doc_id""",
     "op10_mix_sources": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size, {_uniform(17, "doc_id")} AS u FROM documents),

@@ -339,3 +339,37 @@ def test_line_dedup_of_long_passages(spark):
     texts = [f"x\n{one}\ny", f"p\n{one}\nq", f"r\n{two}\ns\nt", f"u\n{two}\nv\nz", "p\nshort line\nv", "q\nshort line\nz", one]
     kept = [x.text for x in line_dedup.line_dedup(table(spark, texts), passage=50).orderBy("doc_id").collect()]
     assert kept == [texts[0], "p\nq", texts[2], "u\nv\nz", texts[4], texts[5], ""]
+
+
+def plain_passage_dedup(texts, passage):
+    first, windows = {}, []
+    for i, t in enumerate(texts):
+        filled = [(p, x.strip(" ")) for p, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+        runs = [(0, len(filled))] if 0 < len(filled) < 3 else [(j, 3) for j in range(len(filled) - 2)]
+        runs += [(j, k) for k in (1, 2) for j in range(len(filled) - k + 1) if sum(len(x.split()) for _, x in filled[j : j + k]) >= passage]
+        for j, k in runs:
+            key = tuple(x for _, x in filled[j : j + k])
+            first[key] = min(first.get(key, (i, j)), (i, j))
+            windows.append((i, j, key, [p for p, _ in filled[j : j + k]]))
+    gone = {(i, p) for i, j, key, places in windows if (i, j) > first[key] for p in places}
+    return ["\n".join(x for p, x in enumerate((t or "").split("\n")) if (i, p) not in gone) for i, t in enumerate(texts)]
+
+
+def test_line_dedup_of_passages_and_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HOT_ROWS", 4)
+    r = random.Random(12)
+    lines = ["a b c", "one two three four five six", "x y", "p q r s", "", " u v w "]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(0, 9))) for _ in range(80)] + ["l1\nl2\nl3\n" + str(i) for i in range(30)]
+    docs = table(spark, texts)
+    want = plain_passage_dedup(texts, 5)
+    for most in (1_000_000, 0):  # sent, and joined
+        monkeypatch.setattr(line_dedup, "SENT_PLACES", most)
+        assert [x.text for x in line_dedup.line_dedup(docs, passage=5).orderBy("doc_id").collect()] == want
+    clash = docs.select("doc_id", "text", *[F.lit("z").alias(n) for n in ("places", "_whole", "lines", "filled", "covered", "h1", "j")])
+    assert [x.text for x in line_dedup.line_dedup(clash, passage=5).orderBy("doc_id").collect()] == want
+
+
+def test_line_dedup_of_a_very_long_document(spark):
+    long = "\n".join(f"line {i}" for i in range(100_000))
+    got = {x.doc_id: (x.n_lines, x.n_removed) for x in line_dedup.line_dedup(table(spark, [long, long, "a"])).collect()}
+    assert got == {0: (100_000, 0), 1: (100_000, 100_000), 2: (1, 0)}

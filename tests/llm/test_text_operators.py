@@ -273,3 +273,137 @@ def test_token_output_of_another_tokenizer():
     texts = ["Some  text. It's", "", "<|startoftext|> a b", "x y z"]
     plain = Tokenizer.from_file(path)
     assert [x.tolist() for x in token_output.Encoder(path)(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pii_of_many_spans_and_odd_rows(spark):
+    import time
+
+    many = " ".join(f"a{i}@b.co +1 555 01{i % 100:02d} 99{i % 10}" for i in range(6000))
+    names = ["base", "spans", "blocks", "proposed", "_text", "hits"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(1, many), (None, "x a@b.co"), (2, "p 10.1.2.3 q"), (2, "p 10.1.2.3 q"), (3, None), (4, "")]
+    began = time.time()
+    got = pii.find_pii(spark.createDataFrame([(*r, *["z"] * len(names)) for r in rows], schema)).collect()
+    assert time.time() - began < 120
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == 6 and [(s["kind"], s["from"], s["to"]) for s in by_id[1].base] == plain_pii(many)
+    assert [(s["kind"], s["from"], s["to"]) for s in by_id[None].base] == [("email", 2, 8)]
+    assert sum(r.doc_id == 2 and [tuple(s) for s in r.base] == [("ip", 2, 10)] for r in got) == 2
+    assert by_id[3].base == by_id[4].base == []
+
+
+def test_pii_scores_are_those_of_the_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    r = random.Random(3)
+    rows = [([r.randrange(3), *(r.randrange(20) for _ in pii.FEATURES[1:])], r.random() < 0.5, 1.0) for _ in range(200)]
+    vectors = spark.createDataFrame(rows, "x array<int>, label boolean, weight double")
+    model = pii.fit_trees(vectors)
+    named = vectors.select("x", *[F.get("x", F.lit(i)).cast("double").alias(n) for i, n in enumerate(pii.FEATURES)])
+    told = model.transform(VectorAssembler(inputCols=list(pii.FEATURES), outputCol="features").transform(named)).select("probability", pii.score_of(model, F.col("x")).alias("score")).collect()
+    assert all(abs(t.probability[1] - t.score) < 1e-9 for t in told)
+
+
+def test_secrets_of_odd_rows(spark):
+    names = ["base", "spans", "_text", "n_hex"]
+    rows = [(None, "token=abcdefghijkl0"), (1, "key zX9kQ2mV7pL4tR8wB1nC5yD3 end"), (1, "key zX9kQ2mV7pL4tR8wB1nC5yD3 end"), (2, None), (3, " ".join(f"{i:016x}" for i in range(10_000)))]
+    df = spark.createDataFrame([(*r, *["z"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = secrets.secret_scan(df).collect()
+    assert len(got) == 5 and secrets.secret_scan(df.limit(0)).count() == 0
+    assert [r.spans for r in got if r.doc_id == 1] == ["entropy:4:28"] * 2
+    assert next(r.n_hex for r in got if r.doc_id == 3) == 10_000 and next(r.n_assign for r in got if r.doc_id is None) == 1
+
+
+def plain_toxicity(docs, use):
+    """What expressions add, by the formulas of the module's text; docs: (words, label, fold)."""
+    import math
+    from collections import Counter, defaultdict
+
+    own = [(w, y) for w, y, f in docs if y is not None and (use == 2 or f != use)]
+    df, cont, n, after = Counter(), defaultdict(set), Counter(), defaultdict(set)
+    by = {k: {True: Counter(), False: Counter()} for k in ("stem", "word", "pair")}
+    for w, _, _ in docs:
+        df.update(set(w))
+    for w, y in own:
+        by["stem"][y].update({x[:6] for x in w})
+        by["word"][y].update(set(w))
+        pairs = list(zip(w, w[1:], strict=False))
+        by["pair"][y].update(set(pairs))
+        n.update(pairs)
+        for u, v in pairs:
+            cont[v].add(u)
+            after[u].add(v)
+    share = {k: sum(c[True].values()) / (sum(c[True].values()) + sum(c[False].values())) for k, c in by.items()}
+
+    def ratios(kind, key, z, below):
+        s, t, o = share[kind], by[kind][True][key], by[kind][False][key]
+        p = below[0] * s / (below[0] * s + below[1] * (1 - s))
+        mean, error = (t + o) * p, math.sqrt((t + o) * p * (1 - p) + 0.5)
+        high, low = ((t + o) * p * k / (p * k + 1 - p) for k in (toxicity.MARGIN, 1 / toxicity.MARGIN))
+        kept = mean + max(t - high - z * error, 0) - max(low - t - z * error, 0)
+        return (kept + 0.5) / (mean + 0.5), (t + o - kept + 0.5) / (t + o - mean + 0.5)
+
+    def discount(counts):
+        c = Counter(counts)
+        return min(max(c[1] / max(c[1] + 2 * c[2], 1) or 0.5, 0.1), 0.95)
+
+    d1, d2 = discount(len(x) for x in cont.values()), discount(n.values())
+    total, kinds = sum(len(x) for x in cont.values()), len(cont)
+    p0 = lambda v: (df[v] + 1) / (sum(df.values()) + len(df) + 1)
+    out, word = {}, {}
+    for k in set(by["stem"][True]) | set(by["stem"][False]):
+        st = ratios("stem", k, toxicity.Z_STEM, (1, 1))
+        out["stem", k] = math.log(st[0] / st[1])
+    for v in set(by["word"][True]) | set(by["word"][False]):
+        st = ratios("stem", v[:6], toxicity.Z_STEM, (1, 1))
+        r = [a * b for a, b in zip(ratios("word", v, toxicity.Z_WORD, st), st, strict=True)]
+        low = [(max(len(cont[v]) * a - d1, 0) + d1 * kinds * p0(v) * b) / total for a, b in zip(r, st, strict=True)]
+        word[v] = r, low, math.log(low[0] / low[1])
+        out["word", v] = word[v][2] - math.log(st[0] / st[1])
+    for u, v in n:
+        r, low, alone = word[v]
+        b = ratios("pair", (u, v), toxicity.Z_PAIR, r)
+        if r == [1, 1] and abs(b[0] - 1) <= 1e-9:
+            continue
+        nu = sum(n[u, x] for x in after[u])
+        high = [(max(n[u, v] * a * c - d2, 0) + d2 * len(after[u]) * e) / nu for a, c, e in zip(r, b, low, strict=True)]
+        out["pair", (u, v)] = math.log(high[0] / high[1]) - alone
+    return {k: round(x * 1e6) for k, x in out.items() if round(x * 1e6)}
+
+
+def test_toxicity_adds_by_its_formulas(spark):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcde") for _ in range(r.randint(2, 9))) for _ in range(60)]
+    docs_ = []
+    for i in range(160):
+        w = [r.choice(vocabulary) for _ in range(r.randint(0, 30))]
+        y = None if i % 5 == 4 else i % 5 == 0
+        w += r.choice([["vilenesses"], ["vileness", "vilenesses"], ["go", "away"]]) if y else ["go", "far", "away"] if i % 2 else []
+        docs_.append((w, y, i // 5 % 2))
+    rows = spark.createDataFrame([(" ".join(w), None if y is None else (1 - y) * 2 + f) for w, y, f in docs_], '`text` string, `group` int')
+    own = rows.where("group is not null")
+    for use in (0, 2):
+        got = toxicity.additions(toxicity.corpus_counts(rows), toxicity.stem_counts(own), toxicity.word_counts(own), toxicity.pair_counts(own), use).collect()
+        want = plain_toxicity(docs_, use)
+        assert len(got) == len(want) and sum(k == "pair" for k, _ in want) and sum(k == "stem" for k, _ in want)
+        names = sorted({w for d, _, _ in docs_ for w in d})
+        h, s = next((h, s) for _, h, s in toxicity._words(pa.array([" ".join(names)])))
+        hashes = dict(zip(names, h.view(np.int64).tolist(), strict=True))
+        stems = dict(zip((w[:6] for w in names), s.view(np.int64).tolist(), strict=True))
+        key = {**{("stem", k): (0, x) for k, x in stems.items()}, **{("word", k): (0, x) for k, x in hashes.items()}}
+        told = {(a.u, a.v): a.lift for a in got}
+        for k, lift in want.items():
+            assert abs(told[key[k] if k[0] != "pair" else (hashes[k[1][0]], hashes[k[1][1]])] - lift) <= 2
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("quality", "quality", 0.95), ("toxicity", "toxic", 0.9)])
+def test_held_out_accuracy(spark, name, label, least):
+    """Area under the curve on the given labels, of rows that were not learnt from."""
+    from rillflow.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    query = {"quality": queries.op4_quality, "toxicity": queries.op9_toxicity}[name]
+    known = {x.doc_id: x[label] for x in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label).collect()}
+    told = [(x.score, known[x.doc_id]) for x in query(spark, sf).collect() if x.held_out and known.get(x.doc_id) is not None]
+    good, bad = ([s for s, y in told if y == k] for k in (1, 0))
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) >= least
