@@ -150,7 +150,8 @@ def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 20_000]), pa.array(_packed(part[:, :DIMS]), pa.binary()), pa.array(np.ascontiguousarray(part[:, DIMS]))], names=_SUMS.names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, n = [np.zeros(0, np.int64)], [np.zeros((0, DIMS + 1), np.int64)], 0
+        keys, sums, n, known = [np.zeros(0, np.int64)], [np.zeros((0, DIMS + 1), np.int64)], 0, sent.value
+        held = np.zeros((0 if known is None else len(known), DIMS + 1), np.int32)
         for b in batches:
             for _, _, data, offsets in textbytes.slices(b.column(0)):
                 h, first = _tokens(data, offsets)
@@ -164,13 +165,15 @@ def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
                     near = (row[step:] == row[:-step])[:, None]
                     around[step:, :DIMS] += vectors[:-step] * near
                     around[:-step, :DIMS] += vectors[step:] * near
-                if sent.value is not None:
-                    place = np.minimum(np.searchsorted(sent.value, own), max(len(sent.value) - 1, 0))
-                    wanted = sent.value[place] == own if len(sent.value) else np.zeros(len(own), bool)
-                    left = wanted[of]
-                    of, around, own = (np.cumsum(wanted) - 1)[of[left]], around[left], own[wanted]
-                    if not len(own):
-                        continue
+                if known is not None:  # sums in place, a row for each frequent token
+                    place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                    wanted = known[place] == own if len(known) else np.zeros(len(own), bool)
+                    left = np.flatnonzero(wanted[of])
+                    left = left[np.argsort(of[left], kind="stable")]
+                    if len(left):
+                        new = np.flatnonzero(np.diff(of[left], prepend=-1))
+                        held[place[of[left[new]]]] += np.add.reduceat(around[left], new, axis=0, dtype=np.int32)
+                    continue
                 order = np.argsort(of, kind="stable")
                 starts = np.concatenate(([0], np.cumsum(np.bincount(of))[:-1]))
                 keys.append(own)
@@ -183,6 +186,9 @@ def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
                         own, each = own[:0], each[:0]
                     keys, sums, n = [own], [each], len(own)
         yield from told(*_summed(keys, sums))
+        seen = np.flatnonzero(held[:, DIMS])
+        for k in range(0, len(seen), 20_000):
+            yield from told(known[seen[k : k + 20_000]], held[seen[k : k + 20_000]].astype(np.int64))
 
     return tables.map_arrow(docs.select("text"), summed, _SUMS)
 
