@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..schema import SUITES
 from .fixtures import PACKETS_SQL
 
 _FLOW = "PARTITION BY ep_a, ep_b, protocol ORDER BY ts_ns, pkt_id"
@@ -141,3 +142,59 @@ SQL: dict[str, str] = {
 }
 SQL["flow_id_format"] = f"""{SEGMENTS}, t AS (SELECT *, {_IP} AS src_text, {_IP.replace("src_ip", "dst_ip")} AS dst_text FROM p)
 SELECT DISTINCT concat_ws('-', src_text, dst_text, src_port, dst_port, protocol) AS flow_id FROM t"""
+
+
+def _marker(i: int, inner: str) -> str:
+    """One step of the P-square rule for marker i (2 to 4), as a subquery over inner: parabola if it keeps the order, else a line."""
+    a, b, e = i - 1, i, i + 1
+    s = f"CASE WHEN 1 + {i - 1} * c / 4.0::DOUBLE - n{b} >= 1 AND n{e} - n{b} > 1 THEN 1.0::DOUBLE WHEN 1 + {i - 1} * c / 4.0::DOUBLE - n{b} <= -1 AND n{a} - n{b} < -1 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    curve = f"q{b} + s / (n{e} - n{a}) * ((n{b} - n{a} + s) * (q{e} - q{b}) / (n{e} - n{b}) + (n{e} - n{b} - s) * (q{b} - q{a}) / (n{b} - n{a}))"
+    line = f"q{b} + s * ((CASE WHEN s > 0 THEN q{e} ELSE q{a} END) - q{b}) / ((CASE WHEN s > 0 THEN n{e} ELSE n{a} END) - n{b})"
+    moved = f"SELECT *, CASE WHEN s <> 0 THEN {curve} END AS p FROM (SELECT *, {s} AS s FROM ({inner}))"
+    return f"SELECT * EXCLUDE (s, p) REPLACE (CASE WHEN s = 0 THEN q{b} WHEN q{a} < p AND p < q{e} THEN p ELSE {line} END AS q{b}, n{b} + s AS n{b}) FROM ({moved})"
+
+
+_TAKEN = """SELECT g, c, q1, q2, q3, q4, q5, n1, n2 + CASE WHEN cell < 1 THEN 1 ELSE 0 END AS n2, n3 + CASE WHEN cell < 2 THEN 1 ELSE 0 END AS n3,
+  n4 + CASE WHEN cell < 3 THEN 1 ELSE 0 END AS n4, n5 + 1 AS n5, xs FROM (SELECT g, xs, c + 1 AS c, least(q1, xs[c + 1]) AS q1, q2, q3, q4, greatest(q5, xs[c + 1]) AS q5, n1, n2, n3, n4, n5,
+  CASE WHEN xs[c + 1] >= q4 THEN 3 WHEN xs[c + 1] >= q3 THEN 2 WHEN xs[c + 1] >= q2 THEN 1 ELSE 0 END AS cell FROM p2 WHERE c < len(xs))"""
+_STEP = _marker(4, _marker(3, _marker(2, _TAKEN)))
+#: The five-marker median estimate of the values of each suite in order; up to five values have their upper median.
+P2 = f"""{MOMENTS.replace("WITH ", "WITH RECURSIVE ", 1)},
+lists AS (SELECT {K}, suite, list(x ORDER BY ts_ns, pkt_id) AS xs FROM v GROUP BY {K}, suite),
+numbered AS (SELECT *, row_number() OVER () AS g FROM lists),
+p2 AS (SELECT g, 5 AS c, o[1] AS q1, o[2] AS q2, o[3] AS q3, o[4] AS q4, o[5] AS q5, 1.0::DOUBLE AS n1, 2.0::DOUBLE AS n2, 3.0::DOUBLE AS n3, 4.0::DOUBLE AS n4, 5.0::DOUBLE AS n5, xs
+  FROM (SELECT g, xs, list_sort(xs[1:5]) AS o FROM numbered WHERE len(xs) > 5)
+  UNION ALL ({_STEP})),
+med AS (SELECT {K}, suite, len(xs) AS n, list_sort(xs)[len(xs) // 2 + 1] AS p2 FROM numbered WHERE len(xs) <= 5
+  UNION ALL SELECT {K}, suite, len(numbered.xs) AS n, q3 AS p2 FROM p2 JOIN numbered USING (g) WHERE c = len(numbered.xs))"""
+SQL["p2_median"] = f'{P2} SELECT {K}, suite, CAST(n AS BIGINT) AS n, round(p2, 6) AS "Median" FROM med'
+
+_HIST = ", ".join(f'{bin_counts(c)} AS "{n}"' for c, n in (("a", "Hist_Tot"), ("f", "Hist_Fwd"), ("b", "Hist_Bwd")))
+_PAY = " UNION ALL ".join(f"SELECT {K}, '{d}_Pay' AS suite, hist_bin, count(*) AS h FROM x{w} GROUP BY {K}, hist_bin" for d, w in (("Tot", ""), ("Fwd", " WHERE is_fwd"), ("Bwd", " WHERE NOT is_fwd")))
+
+
+def _row_sql(suites: list[str]) -> str:
+    """The flow row: what the single queries tell, joined by segment."""
+    stats = {"Max": "floor(hi)", "Mean": "round(mean, 4) + 0.0", "Std": "round(std, 3) + 0.0", "Var": VARIANCE.format("var"), "Median": "round(median, 6)", "Skew": "round(skew, 4) + 0.0", "Kurt": "round(kurt, 4) + 0.0", "CoV": "round(cov, 4) + 0.0"}
+    pivot = ", ".join([f"""coalesce(max(CASE WHEN suite = '{s}' THEN {e} END), {"round(0.000000123, 5)" if t == "Var" else "0"})::DOUBLE AS "{s}_{t}\"""" for s in suites for t, e in stats.items()] + [f"""max(CASE WHEN suite = '{s}' THEN floor(lo) END)::DOUBLE AS "{s}_Min", 0.0::DOUBLE AS "{s}_Mode\"""" for s in suites])
+    flags = ", ".join(f'count(*) FILTER ((tcp_flags & {1 << i}) <> 0) AS "{n}_Cnt", count(*) FILTER ((tcp_flags & {1 << i}) <> 0 AND is_fwd) AS "{n}_Fwd_Cnt", count(*) FILTER ((tcp_flags & {1 << i}) <> 0 AND NOT is_fwd) AS "{n}_Bwd_Cnt"' for i, n in enumerate(_FLAGS))
+    last = ", ".join(f"CAST(arg_max({c}, ts_ns) AS BIGINT) AS {c}" for c in _LAST)
+    rates = ", ".join(f'round({c} / dur, 4) AS "{n}"' for c, n in (("bytes", "BytesRate"), ("fb", "FwdBytesRate"), ("bb", "BwdBytesRate"), ("pkts", "PacketsRate"), ("fp", "FwdPacketsRate"), ("bp", "BwdPacketsRate")))
+    bulks = ", ".join(f'coalesce({d}.bulk_{c.lower()}, 0) AS "{n}Bulk{c}"' for d, n in (("bf", "Fwd"), ("bw", "Bwd")) for c in ("Bytes", "Pkts", "Cnt"))
+    return f"""{P2}{COUNTS[len(DELTAS) :]}{HISTOGRAM[len(DELTAS) :]},
+pay1 AS ({_PAY}), pay2 AS (SELECT *, sum(h) OVER (PARTITION BY {K}, suite ORDER BY hist_bin) AS acc, (sum(h) OVER (PARTITION BY {K}, suite) + 1) // 2 AS half FROM pay1),
+pay AS (SELECT {K}, suite, arg_min(hist_bin * 20 + 20.0 * (half - (acc - h)) / h, hist_bin) AS hm FROM pay2 WHERE acc >= half GROUP BY {K}, suite),
+every AS (SELECT u.*, coalesce(hm, p2)::DOUBLE AS median FROM u JOIN med USING ({K}, suite) LEFT JOIN pay USING ({K}, suite)),
+pv AS (SELECT {K}, {pivot} FROM every GROUP BY {K}),
+sg AS (SELECT {K}, {flags}, {last}, CAST(coalesce(arg_min(window_size, ts_ns) FILTER (is_fwd), 0) AS BIGINT) AS "FwdInitWinBytes", CAST(coalesce(arg_min(window_size, ts_ns) FILTER (NOT is_fwd), 0) AS BIGINT) AS "BwdInitWinBytes",
+  CAST(arg_min(traffic_class, ts_ns) AS BIGINT) AS traffic_class, CAST(arg_min(flow_label, ts_ns) AS BIGINT) AS flow_label, arg_min(payload_hint, ts_ns) AS hint FROM x GROUP BY {K}),
+e1 AS (SELECT {K}, unnest(list_transform(range(64), lambda i: substr(hint, 2 * i + 1, 2))) AS byte FROM sg), e2 AS (SELECT {K}, byte, count(*) / 64.0 AS share FROM e1 GROUP BY {K}, byte),
+ent AS (SELECT {K}, round(-sum(share * log2(share)), 6) + 0.0 AS "PayloadEntropy" FROM e2 GROUP BY {K}),
+bf AS (SELECT * FROM bulk WHERE is_fwd), bw AS (SELECT * FROM bulk WHERE NOT is_fwd)
+SELECT {K}, pkts AS "PacketsCount", fp AS "FwdPacketsCount", bp AS "BwdPacketsCount", bytes AS "TotalBytes", fb AS "FwdBytes", bb AS "BwdBytes", round(t1 / 1e9, 6) AS "timestamp", round(dur, 6) AS duration, round((t1 - t0) / 1e9, 6) AS flow_duration, t0 AS start_ts_ns,
+  round(CASE WHEN bp > 0 THEN fp / bp ELSE fp END, 6) AS "FwdBwdPktRatio", round(CASE WHEN bb > 0 THEN fb / bb ELSE fb END, 6) AS "FwdBwdByteRatio", round(CASE WHEN fp > 0 THEN bp / fp ELSE 0 END, 6) AS "DownUpRatio",
+  {rates}, {bulks}, {_HIST}, sg.* EXCLUDE ({K}, hint), "PayloadEntropy", pv.* EXCLUDE ({K})
+FROM q JOIN sg USING ({K}) JOIN h1 USING ({K}) JOIN pv USING ({K}) JOIN ent USING ({K}) LEFT JOIN bf USING ({K}) LEFT JOIN bw USING ({K})"""
+
+
+SQL["flow_features"] = _row_sql(SUITES)

@@ -12,7 +12,7 @@ from ..config import FlowConfig
 from ..functions.bytes import byte_entropy, ip_text, mac_text
 from ..functions.median import histogram_median, small_median
 from ..operators import deltas, dissect, features, segment
-from ..schema import FLAGS, LAST, SEG
+from ..schema import FLAGS, LAST, SEG, STATS, SUITES
 from ..sources import packets as sources
 from .fixtures import frames_v, packets_v
 from .oracle import PLACES, VARIANCE
@@ -452,4 +452,17 @@ def active_idle_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.flow_features(packets_v(spark, sf_dir))
+    """The flow row, with addresses as text and doubles rounded as in the single queries."""
+    rows = features.flow_features(packets_v(spark, sf_dir))
+    whole = ["PacketsCount", "FwdPacketsCount", "BwdPacketsCount", "TotalBytes", "FwdBytes", "BwdBytes", "start_ts_ns", "FwdInitWinBytes", "BwdInitWinBytes", "traffic_class", "flow_label", *[f"{f}{d}" for f in FLAGS for d in ("_Cnt", "_Fwd_Cnt", "_Bwd_Cnt")], *[f"{d}Bulk{c}" for d in ("Fwd", "Bwd") for c in ("Bytes", "Pkts", "Cnt")]]
+    places = {"timestamp": 6, "duration": 6, "flow_duration": 6, "FwdBwdPktRatio": 6, "FwdBwdByteRatio": 6, "DownUpRatio": 6} | dict.fromkeys(("BytesRate", "FwdBytesRate", "BwdBytesRate", "PacketsRate", "FwdPacketsRate", "BwdPacketsRate"), 4) | {"PayloadEntropy": 6}
+    told = [(F.round(c, n) + 0.0).alias(c) for c, n in places.items()]
+
+    def stat(suite: str, name: str) -> Column:
+        c = f"{suite}_{name}"
+        if name == "Var":
+            return F.expr(VARIANCE.format(c).replace("0.0123", "0.0123D").replace("0.000000123", "0.000000123D")).alias(c)
+        return F.col(c) if name in ("Max", "Min", "Mode") else (F.round(c, PLACES.get(name, 6)) + 0.0).alias(c)
+
+    hist = [F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("Hist_Tot", "Hist_Fwd", "Hist_Bwd")]
+    return rows.select(*_keys("seg_id"), *_long(*whole), *[F.col(n).cast("bigint").alias(c) for c, n in LAST.items()], *told, *hist, *[stat(s, t) for s in SUITES for t in STATS])
