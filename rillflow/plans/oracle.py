@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..schema import SUITES
+from ..schema import LAST, SUITES
 from .fixtures import PACKETS_SQL
 
 _FLOW = "PARTITION BY ep_a, ep_b, protocol ORDER BY ts_ns, pkt_id"
@@ -173,14 +173,22 @@ _HIST = ", ".join(f'{bin_counts(c)} AS "{n}"' for c, n in (("a", "Hist_Tot"), ("
 _PAY = " UNION ALL ".join(f"SELECT {K}, '{d}_Pay' AS suite, hist_bin, count(*) AS h FROM x{w} GROUP BY {K}, hist_bin" for d, w in (("Tot", ""), ("Fwd", " WHERE is_fwd"), ("Bwd", " WHERE NOT is_fwd")))
 
 
-def _row_sql(suites: list[str]) -> str:
-    """The flow row: what the single queries tell, joined by segment."""
+def _row_sql(suites: list[str], wide: bool = False) -> str:
+    """The flow row: what the single queries tell, joined by segment; wide: by the names of the wide row."""
     stats = {"Max": "floor(hi)", "Mean": "round(mean, 4) + 0.0", "Std": "round(std, 3) + 0.0", "Var": VARIANCE.format("var"), "Median": "round(median, 6)", "Skew": "round(skew, 4) + 0.0", "Kurt": "round(kurt, 4) + 0.0", "CoV": "round(cov, 4) + 0.0"}
     pivot = ", ".join([f"""coalesce(max(CASE WHEN suite = '{s}' THEN {e} END), {"round(0.000000123, 5)" if t == "Var" else "0"})::DOUBLE AS "{s}_{t}\"""" for s in suites for t, e in stats.items()] + [f"""max(CASE WHEN suite = '{s}' THEN floor(lo) END)::DOUBLE AS "{s}_Min", 0.0::DOUBLE AS "{s}_Mode\"""" for s in suites])
     flags = ", ".join(f'count(*) FILTER ((tcp_flags & {1 << i}) <> 0) AS "{n}_Cnt", count(*) FILTER ((tcp_flags & {1 << i}) <> 0 AND is_fwd) AS "{n}_Fwd_Cnt", count(*) FILTER ((tcp_flags & {1 << i}) <> 0 AND NOT is_fwd) AS "{n}_Bwd_Cnt"' for i, n in enumerate(_FLAGS))
     last = ", ".join(f"CAST(arg_max({c}, ts_ns) AS BIGINT) AS {c}" for c in _LAST)
     rates = ", ".join(f'round({c} / dur, 4) AS "{n}"' for c, n in (("bytes", "BytesRate"), ("fb", "FwdBytesRate"), ("bb", "BwdBytesRate"), ("pkts", "PacketsRate"), ("fp", "FwdPacketsRate"), ("bp", "BwdPacketsRate")))
     bulks = ", ".join(f'coalesce({d}.bulk_{c.lower()}, 0) AS "{n}Bulk{c}"' for d, n in (("bf", "Fwd"), ("bw", "Bwd")) for c in ("Bytes", "Pkts", "Cnt"))
+    if wide:
+        named = ", ".join(f'{c} AS "{n}"' for c, n in LAST.items())
+        bins = ", ".join(f'len(list_filter({c}, lambda y: y = {i})) AS "Hist_{n}_{i}"' for c, n in (("a", "Tot"), ("f", "Fwd"), ("b", "Bwd")) for i in range(80))
+        texts = {n: _IP.replace("src_ip", f"ff.{n}").replace("ip_ver", "ff.ip_ver") for n in ("src_ip", "dst_ip")}
+        shown = f"""{texts["src_ip"]} AS src_ip, {texts["dst_ip"]} AS dst_ip, concat_ws('-', {texts["src_ip"]}, {texts["dst_ip"]}, ff.src_port, ff.dst_port, protocol) AS flow_id, protocol, CAST(ff.src_port AS BIGINT) AS src_port, CAST(ff.dst_port AS BIGINT) AS dst_port,
+  CAST(ff.ip_ver AS BIGINT) AS ip_ver, CAST(ff.eth_proto AS BIGINT) AS eth_proto, {_MAC.replace("src_mac", "ff.src_mac")} AS src_mac, {_MAC.replace("src_mac", "ff.dst_mac")} AS dst_mac, {named}, {bins}"""
+    own = f"sg.* EXCLUDE ({K}, hint{', ' + ', '.join(LAST) if wide else ''})"
+    first = "SELECT " + (shown if wide else f"{K}, {_HIST}, t0 AS start_ts_ns, round((t1 - t0) / 1e9, 6) AS flow_duration")
     return f"""{P2}{COUNTS[len(DELTAS) :]}{HISTOGRAM[len(DELTAS) :]},
 pay1 AS ({_PAY}), pay2 AS (SELECT *, sum(h) OVER (PARTITION BY {K}, suite ORDER BY hist_bin) AS acc, (sum(h) OVER (PARTITION BY {K}, suite) + 1) // 2 AS half FROM pay1),
 pay AS (SELECT {K}, suite, arg_min(hist_bin * 20 + 20.0 * (half - (acc - h)) / h, hist_bin) AS hm FROM pay2 WHERE acc >= half GROUP BY {K}, suite),
@@ -190,11 +198,12 @@ sg AS (SELECT {K}, {flags}, {last}, CAST(coalesce(arg_min(window_size, ts_ns) FI
   CAST(arg_min(traffic_class, ts_ns) AS BIGINT) AS traffic_class, CAST(arg_min(flow_label, ts_ns) AS BIGINT) AS flow_label, arg_min(payload_hint, ts_ns) AS hint FROM x GROUP BY {K}),
 e1 AS (SELECT {K}, unnest(list_transform(range(64), lambda i: substr(hint, 2 * i + 1, 2))) AS byte FROM sg), e2 AS (SELECT {K}, byte, count(*) / 64.0 AS share FROM e1 GROUP BY {K}, byte),
 ent AS (SELECT {K}, round(-sum(share * log2(share)), 6) + 0.0 AS "PayloadEntropy" FROM e2 GROUP BY {K}),
-bf AS (SELECT * FROM bulk WHERE is_fwd), bw AS (SELECT * FROM bulk WHERE NOT is_fwd)
-SELECT {K}, pkts AS "PacketsCount", fp AS "FwdPacketsCount", bp AS "BwdPacketsCount", bytes AS "TotalBytes", fb AS "FwdBytes", bb AS "BwdBytes", round(t1 / 1e9, 6) AS "timestamp", round(dur, 6) AS duration, round((t1 - t0) / 1e9, 6) AS flow_duration, t0 AS start_ts_ns,
+bf AS (SELECT * FROM bulk WHERE is_fwd), bw AS (SELECT * FROM bulk WHERE NOT is_fwd), ff AS (SELECT ep_a, ep_b, protocol, src_ip, dst_ip, src_port, dst_port, src_mac, dst_mac, eth_proto, ip_ver FROM w WHERE rn = 1)
+{first}, pkts AS "PacketsCount", fp AS "FwdPacketsCount", bp AS "BwdPacketsCount", bytes AS "TotalBytes", fb AS "FwdBytes", bb AS "BwdBytes", round(t1 / 1e9, 6) AS "timestamp", round(dur, 6) AS duration,
   round(CASE WHEN bp > 0 THEN fp / bp ELSE fp END, 6) AS "FwdBwdPktRatio", round(CASE WHEN bb > 0 THEN fb / bb ELSE fb END, 6) AS "FwdBwdByteRatio", round(CASE WHEN fp > 0 THEN bp / fp ELSE 0 END, 6) AS "DownUpRatio",
-  {rates}, {bulks}, {_HIST}, sg.* EXCLUDE ({K}, hint), "PayloadEntropy", pv.* EXCLUDE ({K})
-FROM q JOIN sg USING ({K}) JOIN h1 USING ({K}) JOIN pv USING ({K}) JOIN ent USING ({K}) LEFT JOIN bf USING ({K}) LEFT JOIN bw USING ({K})"""
+  {rates}, {bulks}, {own}, "PayloadEntropy", pv.* EXCLUDE ({K})
+FROM q JOIN sg USING ({K}) JOIN h1 USING ({K}) JOIN pv USING ({K}) JOIN ent USING ({K}) LEFT JOIN bf USING ({K}) LEFT JOIN bw USING ({K}){" JOIN ff USING (ep_a, ep_b, protocol)" if wide else ""}"""
 
 
 SQL["flow_features"] = _row_sql(SUITES)
+SQL["flows_wide"] = _row_sql(SUITES, wide=True)

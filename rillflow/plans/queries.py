@@ -63,6 +63,19 @@ def _rounded(*names: str) -> list[Column]:
     return [F.expr(VARIANCE.format("Var").replace("0.0123", "0.0123D").replace("0.000000123", "0.000000123D")).alias("Var") if n == "Var" else (F.round(n, PLACES[n]) + 0.0).alias(n) for n in names]
 
 
+_DOUBLES = {"timestamp": 6, "duration": 6, "flow_duration": 6, "FwdBwdPktRatio": 6, "FwdBwdByteRatio": 6, "DownUpRatio": 6, "PayloadEntropy": 6} | dict.fromkeys(("BytesRate", "FwdBytesRate", "BwdBytesRate", "PacketsRate", "FwdPacketsRate", "BwdPacketsRate"), 4)
+
+
+def _told(c: str) -> Column:
+    """A double of a flow row, rounded by its name."""
+    name = c.rpartition("_")[2]
+    if c in _DOUBLES:
+        return (F.round(c, _DOUBLES[c]) + 0.0).alias(c)
+    if name == "Var":
+        return F.expr(VARIANCE.format(c).replace("0.0123", "0.0123D").replace("0.000000123", "0.000000123D")).alias(c)
+    return F.col(c) if name in ("Max", "Min", "Mode") else (F.round(c, PLACES.get(name, 6)) + 0.0).alias(c)
+
+
 # sources and sinks
 
 
@@ -93,12 +106,15 @@ def frames_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def flows_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.to_wide(features.flow_features(packets_v(spark, sf_dir)))
+    """The wide row, with doubles rounded as in the single queries."""
+    wide = features.to_wide(features.flow_features(packets_v(spark, sf_dir)))
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    return wide.select(*[F.col(n).cast("bigint").alias(n) if k in whole and n != "protocol" else _told(n) if k == "double" else F.col(n) for n, k in wide.dtypes])
 
 
 @query
 def flows_csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.csv_rows(flows_wide(spark, sf_dir))
+    return features.csv_rows(features.to_wide(features.flow_features(packets_v(spark, sf_dir))))
 
 
 # dissection
@@ -455,14 +471,5 @@ def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow row, with addresses as text and doubles rounded as in the single queries."""
     rows = features.flow_features(packets_v(spark, sf_dir))
     whole = ["PacketsCount", "FwdPacketsCount", "BwdPacketsCount", "TotalBytes", "FwdBytes", "BwdBytes", "start_ts_ns", "FwdInitWinBytes", "BwdInitWinBytes", "traffic_class", "flow_label", *[f"{f}{d}" for f in FLAGS for d in ("_Cnt", "_Fwd_Cnt", "_Bwd_Cnt")], *[f"{d}Bulk{c}" for d in ("Fwd", "Bwd") for c in ("Bytes", "Pkts", "Cnt")]]
-    places = {"timestamp": 6, "duration": 6, "flow_duration": 6, "FwdBwdPktRatio": 6, "FwdBwdByteRatio": 6, "DownUpRatio": 6} | dict.fromkeys(("BytesRate", "FwdBytesRate", "BwdBytesRate", "PacketsRate", "FwdPacketsRate", "BwdPacketsRate"), 4) | {"PayloadEntropy": 6}
-    told = [(F.round(c, n) + 0.0).alias(c) for c, n in places.items()]
-
-    def stat(suite: str, name: str) -> Column:
-        c = f"{suite}_{name}"
-        if name == "Var":
-            return F.expr(VARIANCE.format(c).replace("0.0123", "0.0123D").replace("0.000000123", "0.000000123D")).alias(c)
-        return F.col(c) if name in ("Max", "Min", "Mode") else (F.round(c, PLACES.get(name, 6)) + 0.0).alias(c)
-
     hist = [F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("Hist_Tot", "Hist_Fwd", "Hist_Bwd")]
-    return rows.select(*_keys("seg_id"), *_long(*whole), *[F.col(n).cast("bigint").alias(c) for c, n in LAST.items()], *told, *hist, *[stat(s, t) for s in SUITES for t in STATS])
+    return rows.select(*_keys("seg_id"), *_long(*whole), *[F.col(n).cast("bigint").alias(c) for c, n in LAST.items()], *map(_told, _DOUBLES), *hist, *[_told(f"{s}_{t}") for s in SUITES for t in STATS])
