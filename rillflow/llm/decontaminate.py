@@ -13,7 +13,8 @@ pass over the documents.
 Words are compared in lower case (A-Z) and without ASCII punctuation. Defined results: null and empty
 documents hold nothing; null or empty items are in nothing; an item with fewer words than a shingle is one
 shingle of its own length; every row of the documents is searched on its own, so repeated rows repeat;
-rows that repeat an item are items of their own, so they repeat too; empty tables give an empty result.
+rows that repeat an item are items of their own, so they repeat too; a document of any length is searched whole;
+empty tables give an empty result; other columns, whatever their names, are not read, and `decontaminate` carries them.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ sends one row a vector: its number of links there and the smallest class it reac
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with
 a null label, link with nothing; vectors of different lengths do not link; rows that repeat an id are one
-vector, the smallest by label and components; an empty table gives an empty result.
+vector, the smallest by label and components; a null id is a row of its own; equal cosines need no order, as links are
+counted; vectors of any length are coded whole; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -103,6 +105,16 @@ def _tile_links(x: np.ndarray, signs: np.ndarray, factor: np.ndarray, turned: np
     return i[exact >= threshold], j[exact >= threshold]
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list or binary column one after another, and where each row's begin."""
+    held = column.combine_chunks()
+    held = pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
+    if isinstance(held, pa.LargeBinaryArray):
+        _, offsets, data = held.buffers()
+        return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1]
+    return held.values.to_numpy(zero_copy_only=False), held.offsets.to_numpy()
+
+
 def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The lowest row that each row reaches."""
     low = np.arange(n)
@@ -145,17 +157,18 @@ def _linked(tiles: DataFrame, threshold: float) -> DataFrame:
             place = np.stack([t.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
             bounds = np.concatenate(([0], np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1, [len(place)]))
             own, table, heads, m, factor = (t.column(k).to_numpy() for k in (3, 4, 5, 6, 9))
-            lists, codes, keys = t.column(7).to_pylist(), t.column(8).to_pylist(), t.column(10).to_pylist()
+            lists, codes, keys = _flat(t.column(7)), _flat(t.column(8).cast(pa.large_binary())), _flat(t.column(10))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a < 2:
                     continue
-                order = a + np.argsort(heads[a:b], kind="stable")
-                x = np.array([lists[k] for k in order], float)
+                within = np.argsort(heads[a:b], kind="stable")
+                order, rows = a + within, lambda held: held[0][held[1][a] : held[1][b]].reshape(b - a, -1)[within]  # noqa: B023
+                x = rows(lists).astype(float)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 turn = turns.setdefault(x.shape[1], rotation(x.shape[1]))
-                signs = np.unpackbits(np.frombuffer(b"".join(codes[k] for k in order), np.uint8).reshape(b - a, -1), axis=1) * 2.0 - 1
-                i, j = _tile_links(x, signs, factor[order], x @ turn.T, np.array([keys[k] for k in order]), int(table[a]), own[order], threshold)
+                signs = np.unpackbits(rows(codes), axis=1) * 2.0 - 1
+                i, j = _tile_links(x, signs, factor[order], x @ turn.T, rows(keys), int(table[a]), own[order], threshold)
                 if len(i):
                     n, weight = b - a, m[order].astype(float)
                     links = np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)

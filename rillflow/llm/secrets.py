@@ -4,7 +4,9 @@ Candidates are maximal runs of the characters of keys and tokens. A window slide
 entropy is kept up to date from the two counts that change at a step, and windows above the threshold of
 the candidate's character class make the candidate a span, unless an allow-listed form explains it.
 
-Defined results: a null text is empty; offsets are code points, end exclusive; an id of null is carried.
+Defined results: a null text is empty; offsets are code points, end exclusive; an id of null is carried; every row is
+scanned on its own, so repeated rows repeat; base spans of different kinds may overlap and all stay; a text of any length
+is scanned whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
