@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. SQL cannot express the
 learnt first stage, so there is no SQL for the whole; the stages are tested against plain versions.
+
+Defined results of the stages, as of their operators: a null or empty text has a score, size 0, no group and no item;
+texts of any length are worked on whole; rows that repeat an id are scored each, but one of them passes the n-gram join;
+rows with a null id pass it; ties go to the smallest id; an empty table gives an empty result; further columns, whatever
+their names, are carried to the mix.
 """
 
 from __future__ import annotations

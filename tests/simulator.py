@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+from dataclasses import dataclass
+
+
+@dataclass
+class Marker:
+    """A marker of Jain and Chlamtac's estimate: its height, its place, and its share of the observations."""
+
+    height: float
+    place: float
+    share: float
+
+    def wants(self, count: int) -> float:
+        return 1 + self.share * count
+
+
+def _piecewise_parabola(below: Marker, at: Marker, above: Marker, step: int) -> float:
+    """Formula of the paper's box 1, as the weighted mean of the slopes on both sides."""
+    rise, fall = (above.height - at.height) / (above.place - at.place), (at.height - below.height) / (at.place - below.place)
+    return at.height + step / (above.place - below.place) * ((at.place - below.place + step) * rise + (above.place - at.place - step) * fall)
 
 
 def p2(values: list[float]) -> float:
-    if not values:
-        return 0.0
+    """The median estimate: the middle of five markers, moved one observation at a time."""
+    head = sorted(values[:5])
     if len(values) <= 5:
-        return sorted(values)[len(values) // 2]
-    q, n = sorted(values[:5]), [1, 2, 3, 4, 5]
-    for c, x in enumerate(values[5:], 6):
-        if x < q[0]:
-            q[0], k = x, 0
-        elif x > q[4]:
-            q[4], k = x, 3
-        else:
-            k = 0 if x < q[1] else 1 if x < q[2] else 2 if x < q[3] else 3
-        for i in range(k + 1, 5):
-            n[i] += 1
-        for i in (1, 2, 3):
-            d = 1 + i * c / 4 - n[i]
-            if (d >= 1 and n[i + 1] - n[i] > 1) or (d <= -1 and n[i - 1] - n[i] < -1):
-                s = 1 if d > 0 else -1
-                curve = q[i] + s / (n[i + 1] - n[i - 1]) * ((n[i] - n[i - 1] + s) * (q[i + 1] - q[i]) / (n[i + 1] - n[i]) + (n[i + 1] - n[i] - s) * (q[i] - q[i - 1]) / (n[i] - n[i - 1]))
-                q[i] = curve if q[i - 1] < curve < q[i + 1] else q[i] + s * (q[i + s] - q[i]) / (n[i + s] - n[i])
-                n[i] += s
-    return q[2]
+        return head[len(head) // 2] if head else 0.0
+    markers = [Marker(h, k + 1, k / 4) for k, h in enumerate(head)]
+    for count, x in enumerate(values[5:], 6):
+        inner = [m.height for m in markers[1:4]]
+        for m in markers[bisect.bisect_right(inner, x) + 1 :]:
+            m.place += 1
+        markers[0].height, markers[4].height = min(markers[0].height, x), max(markers[4].height, x)
+        for below, at, above in zip(markers, markers[1:], markers[2:], strict=False):
+            away = at.wants(count) - at.place
+            goal = above if away > 0 else below
+            if abs(away) < 1 or abs(goal.place - at.place) <= 1:
+                continue
+            step = 1 if away > 0 else -1
+            curve = _piecewise_parabola(below, at, above, step)
+            at.height = curve if below.height < curve < above.height else at.height + step * (goal.height - at.height) / (goal.place - at.place)
+            at.place += step
+    return markers[2].height
 
 
 def stats(xs: list[float]) -> dict[str, float | None]:
@@ -75,37 +93,28 @@ def segments(packets: list[dict], max_packets: int = 50, mask: int = 5, timeout:
 
 def features(seg: list[dict], source: tuple) -> dict:
     """What a segment's row holds; source: address and port of the sender of the flow's first packet."""
-    suites: dict[str, list[float]] = {}
-    put = lambda s, x: suites.setdefault(s, []).append(float(x))
-    last, by_dir, start = None, {}, seg[0]["ts_ns"]
-    bulk = {d: [0, 0, 0] for d in ("Fwd", "Bwd")}
-    for p in seg:
-        d = "Fwd" if (p["src_ip"], p["src_port"]) == source else "Bwd"
-        if last is not None:
-            iat = (p["ts_ns"] - last["ts_ns"]) / 1e9
-            put("Tot_IAT", iat)
-            put("Tot_DeltaLen", abs(p["payload_len"] - last["payload_len"]))
-            if iat > 1.0:
-                put("Active", (last["ts_ns"] - start) / 1e9)
-                put("Idle", iat)
-                start = p["ts_ns"]
-        if d in by_dir:
-            iat = (p["ts_ns"] - by_dir[d]["ts_ns"]) / 1e9
-            put(f"{d}_IAT", iat)
-            put(f"{d}_DeltaLen", abs(p["payload_len"] - by_dir[d]["payload_len"]))
-            run = bulk[d]
-            if iat < 1.0:
-                run[0] += p["payload_len"]
-                run[1] += 1
-            else:
-                run[2] += run[1] >= 3
-                run[0], run[1] = p["payload_len"], 1
-        last = by_dir[d] = p
-        for t in ("Tot", d):
-            put(f"{t}_Pay", p["payload_len"])
-            put(f"{t}_Hdr", p["header_len"])
-        for s, c in (("Win", "window_size"), ("IpId", "ip_id"), ("Frag", "frag_off"), ("TTL_Var", "ttl")):
-            put(s, p[c])
+    side = lambda p: "Fwd" if (p["src_ip"], p["src_port"]) == source else "Bwd"
+    seconds = lambda a, b: (b["ts_ns"] - a["ts_ns"]) / 1e9
+    suites, bulk = {}, {}
+    for d, own in (("Tot", seg), *((d, [p for p in seg if side(p) == d]) for d in ("Fwd", "Bwd"))):
+        steps = list(zip(own, own[1:], strict=False))
+        suites[f"{d}_Pay"], suites[f"{d}_Hdr"] = ([float(p[c]) for p in own] for c in ("payload_len", "header_len"))
+        suites[f"{d}_IAT"] = [seconds(a, b) for a, b in steps]
+        suites[f"{d}_DeltaLen"] = [float(abs(b["payload_len"] - a["payload_len"])) for a, b in steps]
+        # a run goes on while gaps are short; a long gap begins the next one, which counts its packet
+        runs = [[]]
+        for a, b in steps:
+            runs = [*runs, []] if seconds(a, b) >= 1.0 else runs
+            runs[-1].append(b["payload_len"])
+        bulk[d] = [sum(runs[-1]), len(runs[-1]), sum(len(r) >= 3 for r in runs[:-1])]
+    for s, c in (("Win", "window_size"), ("IpId", "ip_id"), ("Frag", "frag_off"), ("TTL_Var", "ttl")):
+        suites[s] = [float(p[c]) for p in seg]
+    # active periods are what stands between long gaps
+    cuts = [k for k, (a, b) in enumerate(zip(seg, seg[1:], strict=False), 1) if seconds(a, b) > 1.0]
+    periods = [seg[a:b] for a, b in zip([0, *cuts], [*cuts, len(seg)], strict=True)]
+    suites["Active"] = [seconds(p[0], p[-1]) for p in periods[:-1]]
+    suites["Idle"] = [seconds(a[-1], b[0]) for a, b in zip(periods, periods[1:], strict=False)]
+    start = periods[-1][0]["ts_ns"]
     end = seg[-1]["ts_ns"]
     n = {d: len(suites.get(f"{d}_Pay", [])) for d in ("Tot", "Fwd", "Bwd")}
     size = {d: int(sum(suites.get(f"{d}_Pay", []))) for d in ("Tot", "Fwd", "Bwd")}

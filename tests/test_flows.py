@@ -192,3 +192,28 @@ def test_rollup_stream(spark, tmp_path):
     q = rollup_stream(stream_packets(spark, f"{tmp_path}/in")).writeStream.outputMode("complete").format("memory").queryName("rolled").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, segment.flow_rollup(df).collect()))
+
+
+def test_one_aggregation_equals_the_joined_ones(spark, sf_dir):
+    from rillflow.operators import deltas, features, segment
+    from rillflow.plans.fixtures import packets_v
+
+    for cfg in (FlowConfig(), FlowConfig(median="exact"), FlowConfig.as_coded()):
+        p = deltas.packet_deltas(deltas.with_flow_first(segment.assign_segments(segment.with_direction(packets_v(spark, sf_dir), cfg), cfg)), cfg)
+        told = [f(p, cfg, features.SUITES) for f in (features._folded_features, features._joined_features)]
+        assert told[0].columns == [*told[0].columns] and set(told[0].columns) == set(told[1].columns)
+        names = sorted(told[0].columns)
+        rows = [sorted((tuple(r) for r in t.select("a_ip", "a_port", "b_ip", "b_port", "protocol", "seg_id", *names).collect()), key=lambda r: r[:6]) for t in told]
+        assert len(rows[0]) == len(rows[1])
+        for a, b in zip(*rows, strict=True):
+            for n, x, y in zip(names, a[6:], b[6:], strict=True):
+                assert x == y or isinstance(x, float) and abs(x - y) <= 1e-6 * max(1, abs(x)), n
+
+
+def test_flow_row_reads_packets_once(spark, sf_dir):
+    """The whole query: one scan, one exchange by key and no join."""
+    from rillflow.operators.features import flow_features
+    from rillflow.plans.fixtures import packets_v
+
+    plan = flow_features(packets_v(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
