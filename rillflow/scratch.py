@@ -19,8 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this process has written to the shared folder, and tells how many paths that were.
+
+    Results that still read such tables must be written before.
+    """
+    hadoop, gone = spark._jvm.org.apache.hadoop.fs.Path, 0
+    while _WRITTEN:
+        path = hadoop(_WRITTEN.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
