@@ -6,9 +6,9 @@ whole numbers, tested without rounding).
 1. Texts with equal sets are one class, told by two 64-bit sums over the set; one member stands for it.
 2. Sizes fall into bands. In a band, two linked sets differ in at most D shingles, so of any K > D parts of
    the shingles by hash at least K - D are equal. Sets meet in a tile (band, part, hash of the part). A set
-   also enters the band below if it can be the larger set of a pair there. A set leaves out its parts without a
-   shingle if they are fewer than the parts that are equal in each of its linked pairs; else they stand for
-   themselves. A set enters all its parts, whatever its size, so no pair is lost.
+   also enters the band below if it can be the larger set of a pair there. A set that differs from its linked
+   ones in at most d parts enters its first d + 1 parts that hold a shingle (all parts, empty ones too, if fewer
+   do): of two linked sets, the one that stops first has an equal part among them, so no pair is lost.
 3. In each tile all sets are paired with the smallest id. Sizes and the bit counts of parity bitmaps bound
    the overlap from above; pairs that pass are decided by intersecting their sorted arrays.
 4. Only tiles that still hold more than one component are worked on further: blocks of such a tile are
@@ -62,9 +62,9 @@ class Bands:
         return n * self.den // self.num
 
     def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, parts, spare) of the bands that a set of size n enters: its own, and those whose sets can be smaller partners.
+        """(band, parts, differ) of the bands that a set of size n enters: its own, and those whose sets can be smaller partners.
 
-        spare: the parts that are equal in each of its linked pairs of the band, less one.
+        differ: the most parts in which it differs from a set that it links with there.
         """
         self._grow(n)
         own = int(np.searchsorted(self.low, n, "right")) - 1
@@ -73,8 +73,7 @@ class Bands:
             top = min(self.low[band + 1] - 1, n)  # the largest smaller set in this band
             if band < own and self.largest(top) < n:
                 break
-            parts = self.parts(band)
-            out.append((band, parts, parts - 1 - self._differ(top, self.largest(n) if band == own else n)))
+            out.append((band, self.parts(band), self._differ(top, self.largest(n) if band == own else n)))
         return out
 
     def parts(self, band: int) -> int:
@@ -105,7 +104,7 @@ def _signature(h: np.ndarray, bands: Bands) -> tuple[int, int, bytes, np.ndarray
     bits = BITMAP_WORDS * 64
     parity = (np.bincount((one % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     keys: list[np.ndarray] = []
-    for band, parts, spare in bands.of(len(h)):
+    for band, parts, differ in bands.of(len(h)):
         if parts == 1:
             continue  # only equal sets link here
         part = ((two >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
@@ -116,7 +115,7 @@ def _signature(h: np.ndarray, bands: Bands) -> tuple[int, int, bytes, np.ndarray
         each = np.zeros(parts, np.uint64)
         each[filled] = sums
         tile = textbytes.mix(each + textbytes.mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
-        keys.append(tile[filled] if parts - len(filled) <= spare else tile)
+        keys.append(tile[filled[: differ + 1]] if len(filled) > differ else tile)
     with np.errstate(over="ignore"):
         a, b = int(one.sum().view(np.int64)), int(two.sum().view(np.int64))
     return a, b, np.packbits(parity, bitorder="little").tobytes(), np.concatenate(keys).view(np.int64) if keys else _NO_KEYS
@@ -194,7 +193,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = standing.select(*bits)
 
     keyed = standing.select("id", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m")).where("lead <> last").drop("last")
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")  # a set has a key once
     leaders = tables.saved(leaders, "leaders")
     tiles = tables.saved(tables.join_hot(keyed, leaders, ["key"], ["id"], "m").where("id <> lead").select("key", "id", "lead", "m"), "tiles")
 
