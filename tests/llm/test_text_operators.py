@@ -396,14 +396,15 @@ def test_toxicity_adds_by_its_formulas(spark):
             assert abs(told[key[k] if k[0] != "pair" else (hashes[k[1][0]], hashes[k[1][1]])] - lift) <= 2
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("quality", "quality", 0.95), ("toxicity", "toxic", 0.9)])
-def test_held_out_accuracy(spark, name, label, least):
-    """Area under the curve on the given labels, of rows that were not learnt from."""
+@pytest.mark.parametrize(("name", "label", "size", "least"), [("quality", "quality", "sf0.01", 0.95), ("toxicity", "toxic", "sf0.1", 0.95)])
+def test_held_out_accuracy(spark, name, label, size, least):
+    """Area under the curve on the given labels, of rows that were not learnt from (sf0.01 has 18 toxic ones of these)."""
     from rillflow.llm import queries
 
-    sf = "/root/testdata/sf0.01"
+    sf = f"/root/testdata/{size}"
     query = {"quality": queries.op4_quality, "toxicity": queries.op9_toxicity}[name]
     known = {x.doc_id: x[label] for x in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label).collect()}
     told = [(x.score, known[x.doc_id]) for x in query(spark, sf).collect() if x.held_out and known.get(x.doc_id) is not None]
     good, bad = ([s for s, y in told if y == k] for k in (1, 0))
-    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) >= least
+    ranks = np.searchsorted(np.sort(bad), good, "left") + np.searchsorted(np.sort(bad), good, "right")
+    assert ranks.sum() / 2 / (len(good) * len(bad)) >= least
