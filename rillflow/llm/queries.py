@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, pii, quality, secrets, tables, token_output, toxicity
+from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, pii, quality, secrets, spelling, tables, token_output, toxicity, url_filter
 
 
 def _id_hash(buckets: int) -> Column:
@@ -66,6 +68,25 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(tables.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(tables.read(spark, sf_dir, "documents"), damage=31)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables.read(spark, sf_dir, "pages")
+    rules = spark.createDataFrame([tuple(r) for r in URL_RULES], "host string, path string, verdict string")
+    unwanted = reduce(or_, [F.contains(url_filter.host(F.col("url")), F.lit(name)) for name in url_filter.UNWANTED])
+    return url_filter.url_filter(pages, pages.where(unwanted).select("url"), rules)
+
+
+#: Host, path and verdict of the rules of op 13: fixed values.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
@@ -77,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
+    "op12_spelling": op12_spelling,
+    "op13_url_filter": op13_url_filter,
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -94,6 +117,19 @@ def _shingle_sets(table: str, key: str, size: int) -> str:
     return f"SELECT {key}, len(s) AS n, unnest(s) AS g FROM {sets}"
 
 
+#: One row with t, the table of the CRC-32 of the bytes 0 to 255.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of the UTF-8 bytes of a text, with t of _CRC_TABLE in reach."""
+    data = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_URL_HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_URL_PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""WITH b AS ({_shingle_sets("benchmark", "item_id", 5)}), d AS ({_shingle_sets("documents", "doc_id", 5)}),
 m AS (SELECT d.doc_id, b.item_id, count(*) AS shared, max(b.n) AS item_shingles FROM d JOIN b USING (g) GROUP BY ALL)
@@ -120,4 +156,29 @@ b AS (SELECT *, size * (floor(rate) + CASE WHEN v - floor(v) < rate - floor(rate
 o AS (SELECT source, k, abs(sum(taken) - any_value(target)) AS away FROM b GROUP BY source, k),
 m AS (SELECT source, arg_min(k, (away, k)) AS k FROM o GROUP BY source)
 SELECT doc_id, size, ss AS source_size, target, CAST(taken AS BIGINT) AS taken FROM b JOIN m ON b.source IS NOT DISTINCT FROM m.source AND b.k = m.k""",
+    "op12_spelling": f"""WITH c AS ({_CRC_TABLE}),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) AS run FROM documents),
+l AS (SELECT id || ':' || translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS m FROM r GROUP BY ALL),
+h AS (SELECT run, m, {_crc32("k")} AS h FROM l, c),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, m FROM h),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+y AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest FROM x),
+e AS (SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM y a JOIN y b USING (rest, i) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, a.n, b.word, b.n FROM y a JOIN w b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM y a JOIN w b ON a.rest = b.word),
+g AS (SELECT a, any_value(an) AS an, count(*) AS n_near, max(bn) AS most FROM e GROUP BY a),
+f AS (SELECT g.a, n_near, CASE WHEN most >= 10 * g.an THEN min(e.b) END AS form, CASE WHEN most >= 10 * g.an THEN most END AS form_n FROM g JOIN e ON e.a = g.a AND e.bn = most GROUP BY g.a, n_near, most, g.an),
+o AS (SELECT a, form, form_n, n_near FROM f),
+p0 AS (SELECT w.word, w.n, o.form, o.form_n, coalesce(o.n_near, 0) AS n_near, coalesce(o.form, w.word) AS r FROM w LEFT JOIN o ON o.a = w.word),
+p1 AS (SELECT x.* REPLACE (y.r AS r) FROM p0 x JOIN p0 y ON x.r = y.word),
+p2 AS (SELECT x.* REPLACE (y.r AS r) FROM p1 x JOIN p1 y ON x.r = y.word),
+p3 AS (SELECT x.* REPLACE (y.r AS r) FROM p2 x JOIN p2 y ON x.r = y.word)
+SELECT word, form, r AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM p3""",
+    "op13_url_filter": rf"""WITH u AS (SELECT page_id, url, {_URL_HOST} AS host, {_URL_PATH} AS path FROM pages),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS par FROM u),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(par) > 0 THEN '?' || array_to_string(par, '&') ELSE '' END END AS canon FROM q),
+l AS (SELECT DISTINCT canon FROM c WHERE {" OR ".join(f"contains(host, '{x}')" for x in url_filter.UNWANTED)}),
+r AS (SELECT * FROM (VALUES {", ".join(str(x) for x in URL_RULES)}) AS v(rh, rp, rv)),
+k AS (SELECT c.*, (SELECT max(struct_pack(n := length(rh || rp), h := length(rh), rule := rh || rp, v := rv)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best FROM c)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN canon IN (SELECT canon FROM l) THEN 'block' END, 'allow') AS verdict FROM k""",
 }
