@@ -100,7 +100,7 @@ def _neighbours(vocabulary: DataFrame, symbols: int) -> DataFrame:
 
     # of a run of one letter the first is removed, so that a shorter word comes once
     starts = F.filter(places, lambda i: (i == 0) | (F.substring(word, i + 1, F.lit(1)) != F.substring(word, i, F.lit(1))))
-    same = F.array(row(form, F.lit(0), 0, size), row(form, size - 1, 0, size))
+    same = F.array_distinct(F.array(row(form, F.lit(0), 0, size), row(form, size - 1, 0, size)))
     short = F.concat(same, F.flatten(F.transform(places, replaced)), F.transform(starts, removed))
     halves = [row(F.lit(""), at, 3, n) for n in (size, size - 1) for at in (F.lit(0), size - 1)]
     return vocabulary.select(F.explode(F.when(size <= LONG, short).otherwise(F.array(*halves))).alias("e"), "word", "n").select("e.*", "word", "n")
