@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, pii, quality, secrets, spelling, tables, token_output, toxicity, url_filter
+from . import conversation_trie, decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, pii, quality, secrets, spelling, tables, token_output, toxicity, url_filter
 
 
 def _id_hash(buckets: int) -> Column:
@@ -68,6 +68,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(tables.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(tables.read(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(tables.read(spark, sf_dir, "documents"), damage=31)
 
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_spelling": op12_spelling,
     "op13_url_filter": op13_url_filter,
 }
@@ -156,6 +161,21 @@ b AS (SELECT *, size * (floor(rate) + CASE WHEN v - floor(v) < rate - floor(rate
 o AS (SELECT source, k, abs(sum(taken) - any_value(target)) AS away FROM b GROUP BY source, k),
 m AS (SELECT source, arg_min(k, (away, k)) AS k FROM o GROUP BY source)
 SELECT doc_id, size, ss AS source_size, target, CAST(taken AS BIGINT) AS taken FROM b JOIN m ON b.source IS NOT DISTINCT FROM m.source AND b.k = m.k""",
+    "op11_conversation_trie": f"""WITH k AS ({_CRC_TABLE}),
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT conv_id, conv_id - conv_id % 5 AS base, CAST(conv_id AS VARCHAR) AS c, count(*) AS n FROM t GROUP BY conv_id),
+h AS (SELECT n.conv_id, n.base, n.n, {_crc32("n.c")} % 9 AS h, coalesce(b.n, 0) AS bn FROM n LEFT JOIN n b ON n.base = b.conv_id, k),
+r AS (SELECT h.conv_id, pos + 1 AS depth, role, text FROM h JOIN t ON t.conv_id = h.base AND pos < h
+  UNION ALL SELECT h.conv_id, pos - h + least(h, bn) + 1, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND pos >= h),
+p AS (SELECT conv_id, depth, list(struct_pack(role, text)) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, strlen(text) AS size FROM r
+  UNION ALL SELECT conv_id, 0, [], 0 FROM h),
+o AS (SELECT depth, prefix, min(conv_id) AS owner, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY depth, prefix),
+q AS (SELECT p.conv_id, p.depth, o.owner, o.n_convs, o.size, lag(o.owner) OVER (PARTITION BY p.conv_id ORDER BY p.depth) AS up, max(p.depth) OVER (PARTITION BY p.conv_id) AS last FROM p JOIN o USING (depth, prefix)),
+v AS (SELECT owner, depth, any_value(up) AS up, any_value(n_convs) AS n_convs, any_value(size) AS size, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = last), '') AS ends FROM q GROUP BY owner, depth),
+c AS (SELECT up AS owner, depth - 1 AS depth, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN c USING (owner, depth)),
+s AS (SELECT q.owner, q.depth, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum((w.n_convs - 1) * w.size) AS saved FROM w JOIN q ON q.conv_id = w.owner AND q.depth <= w.depth GROUP BY ALL)
+SELECT owner AS conv_id, depth, up AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM w JOIN s USING (owner, depth)""",
     "op12_spelling": f"""WITH c AS ({_CRC_TABLE}),
 r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) AS run FROM documents),
 l AS (SELECT id || ':' || translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS m FROM r GROUP BY ALL),
