@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,93 @@ def p2_medians(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class P2:
+    """The estimate of p2_medians, value by value."""
+
+    def __init__(self) -> None:
+        self.first: list[float] = []
+        self.heights: list[float] = []
+        self.places: list[float] = []
+        self.count = 0
+
+    def add(self, values: Iterable[float]) -> None:
+        q, n, c = self.heights, self.places, self.count
+        for v in values:
+            c += 1
+            if c <= 5:
+                self.first.append(v)
+                if c == 5:
+                    q, n = sorted(self.first), [1.0, 2.0, 3.0, 4.0, 5.0]
+                continue
+            if v < q[0]:
+                q[0] = v
+            elif v > q[4]:
+                q[4] = v
+            for k in range((v >= q[1]) + (v >= q[2]) + (v >= q[3]) + 1, 5):
+                n[k] += 1.0
+            for i in (1, 2, 3):
+                at, below, above = n[i], n[i - 1], n[i + 1]
+                away = 1 + i * c / 4 - at
+                if away >= 1 and above - at > 1:
+                    step = 1.0
+                elif away <= -1 and below - at < -1:
+                    step = -1.0
+                else:
+                    continue
+                a, b, e = q[i - 1], q[i], q[i + 1]
+                curve = b + step / (above - below) * ((at - below + step) * (e - b) / (above - at) + (above - at - step) * (b - a) / (at - below))
+                near, near_at = (e, above) if step > 0 else (a, below)
+                q[i] = curve if a < curve < e else b + step * (near - b) / (near_at - at)
+                n[i] += step
+        self.heights, self.places, self.count = q, n, c
+
+    def median(self) -> float:
+        if self.count <= 5:
+            return sorted(self.first)[self.count // 2] if self.first else 0.0
+        return self.heights[2]
+
+
+def p2_of_sorted(keys: list[str], value: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of values sorted by keys and in order to a row a key with its median estimate, for mapInArrow.
+
+    Keys whose values lie within a batch are estimated in step; the state of one that goes on is five markers, so a key of any
+    number of values needs no more memory than a batch. A key's rows must come to one task.
+    """
+
+    def row(firsts: pa.RecordBatch, medians: list[float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[firsts.column(k) for k in keys], pa.array(medians, pa.float64())], [*keys, "Median"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, state = None, P2()  # a row with the key that can go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                c = batch.column(k)
+                new[1:] |= ~pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            values = batch.column(value).to_numpy(zero_copy_only=False)
+            runs = np.split(values, starts)
+            head = batch.slice(0, 1).select(keys)
+            if open_ is not None and not open_.equals(head):
+                yield row(open_, [state.median()])
+                state = P2()
+            state.add(runs[0].tolist())
+            open_ = head
+            if len(starts):
+                firsts = batch.take(pa.array(starts)).select(keys)
+                yield row(open_, [state.median()])
+                if len(starts) > 1:
+                    yield row(firsts.slice(0, len(starts) - 1), p2_medians(runs[1:-1]).tolist())
+                open_, state = firsts.slice(len(starts) - 1), P2()
+                state.add(runs[-1].tolist())
+        if open_ is not None:
+            yield row(open_, [state.median()])
+
+    return run
+
+
 @F.pandas_udf(T.DoubleType())
 def p2_median(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:

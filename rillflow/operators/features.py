@@ -7,14 +7,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import FlowConfig
 from ..functions.bytes import byte_entropy, ip_text, mac_text
-from ..functions.median import histogram_median, p2_median, p2_medians_of
-from ..schema import FLAGS, LAST, SEG, STATS, SUITES, wide_columns
+from ..functions.median import histogram_median, p2_median, p2_medians_of, p2_of_sorted
+from ..schema import FLAGS, KEY, LAST, SEG, STATS, SUITES, wide_columns
 from ..shipping import ship
-from .deltas import packet_deltas, with_flow_first
-from .segment import assign_segments, with_direction
+from .. import scratch
+from .deltas import FIRST, packet_deltas, packet_deltas_in_buckets, with_flow_first
+from .segment import assign_segments, segments_over_buckets, with_direction, with_flow_first_of_large, with_key, with_range_buckets
 
 
 def prepared(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
@@ -26,6 +28,10 @@ def prepared(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
 _GIVEN = ("payload_len", "header_len", "iat", "dir_iat", "delta_len", "dir_delta_len", "window_size", "ip_id", "frag_off", "ttl", "active_s", "idle_s", "is_fwd", "hist_bin")
 #: Packets of a segment up to which they are held as one array.
 HELD_PACKETS = 10_000
+#: Packets from which a flow is cut over several tasks, and flows that there can be of that kind at most.
+LARGE_PACKETS, LARGE_FLOWS = 200_000, 100_000
+#: Buckets of large flows for a shuffle partition, and packets that a bucket has at least.
+BUCKETS, BUCKET_PACKETS = 16, 1_000
 
 
 def _suite_inputs(col: Callable[[str], Column]) -> dict[str, Column]:
@@ -52,12 +58,11 @@ def suites(prepared_packets: DataFrame, names: list[str] | None = None, cfg: Flo
     """One row per segment and suite with values: key, seg_id, suite (its name), n and the ten statistics.
 
     Suites are rows while they are aggregated, so that all are one code path and only those asked for cost.
-    The P-square median needs the values in order; max_packets bounds how many a segment has.
+    The P-square median needs the values in order: they are held where max_packets bounds them, and pass by in order beyond.
     """
     names = names or SUITES
-    p2 = cfg.median == "p2"
-    if p2 and cfg.max_packets > HELD_PACKETS:
-        raise ValueError("the P-square median keeps a segment's values; take median='exact' for such long segments")
+    p2 = cfg.median == "p2" and cfg.max_packets <= HELD_PACKETS
+    passing = cfg.median == "p2" and not p2
     rows = prepared_packets.select(*SEG, "ts_ns", "pkt_id", F.inline(suite_values(names))).where("x is not null")
     floor = F.floor if cfg.floor_extrema else lambda c: c
     m2, mean, n = F.var_pop("x") * F.count("x"), F.avg("x"), F.count("x")
@@ -69,7 +74,7 @@ def suites(prepared_packets: DataFrame, names: list[str] | None = None, cfg: Flo
         mean.alias("Mean"),
         std.alias("Std"),
         F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("Var"),
-        (F.array_sort(F.collect_list(F.struct("ts_ns", "pkt_id", "x")))["x"] if p2 else _median(F.lit(0.0), cfg)).alias("Median"),
+        (F.array_sort(F.collect_list(F.struct("ts_ns", "pkt_id", "x")))["x"] if p2 else F.lit(0.0) if passing else _median(F.lit(0.0), cfg)).alias("Median"),
         F.when(m2 > cfg.moment_epsilon, F.skewness("x")).otherwise(0.0).alias("Skew"),
         F.when(m2 > cfg.moment_epsilon, F.kurtosis("x")).otherwise(0.0).alias("Kurt"),
         F.when(mean > 0, std / mean).otherwise(0.0).alias("CoV"),
@@ -78,6 +83,12 @@ def suites(prepared_packets: DataFrame, names: list[str] | None = None, cfg: Flo
     if p2:
         ship(rows.sparkSession)
         rowed = rowed.withColumn("Median", p2_median("Median"))
+    if passing:
+        ship(rows.sparkSession)
+        by = [*SEG, "suite"]
+        in_order = rows.repartition(*by).sortWithinPartitions(*by, "ts_ns", "pkt_id").select(*by, "x")
+        medians = in_order.mapInArrow(p2_of_sorted(by, "x"), T.StructType([*in_order.select(*by).schema, T.StructField("Median", T.DoubleType())]))
+        rowed = rowed.withColumnRenamed("Median", "none").join(medians, by).select(*rowed.columns)
     return rowed.withColumn("suite", F.get(F.array(*map(F.lit, SUITES)), F.col("suite")))
 
 
@@ -213,12 +224,14 @@ def _folded_features(p: DataFrame, cfg: FlowConfig, names: list[str]) -> DataFra
 
 
 def segment_features(segmented: DataFrame, cfg: FlowConfig = FlowConfig(), names: list[str] | None = None) -> DataFrame:
-    """The typed flow row of every segment of packets that assign_segments, or a stream, has cut.
+    """The typed flow row of every segment of packets that assign_segments, segments_of_large or a stream has cut.
 
     Segments of at most HELD_PACKETS packets are aggregated once; longer ones, and exact modes, by joining
     aggregates of packets.
     """
-    p = packet_deltas(segmented if "first_src_ip" in segmented.columns else with_flow_first(segmented), cfg)
+    told = segmented if "first_src_ip" in segmented.columns else with_flow_first(segmented)
+    in_buckets = "bucket" in segmented.columns and cfg.max_packets > HELD_PACKETS
+    p = packet_deltas_in_buckets(told, cfg) if in_buckets else packet_deltas(told, cfg)
     names = names or SUITES
     return _joined_features(p, cfg, names) if cfg.max_packets > HELD_PACKETS or cfg.exact_mode else _folded_features(p, cfg, names)
 
@@ -240,9 +253,37 @@ def _joined_features(p: DataFrame, cfg: FlowConfig, names: list[str]) -> DataFra
     return joined.select(*kept, *[stat(s, t) for s in names for t in STATS])
 
 
-def flow_features(packets: DataFrame, cfg: FlowConfig = FlowConfig(), names: list[str] | None = None) -> DataFrame:
-    """Packets to typed flow rows, one a segment."""
-    return segment_features(assign_segments(with_direction(packets, cfg), cfg), cfg, names)
+def large_flows(packets: DataFrame, cfg: FlowConfig = FlowConfig(), least: int = LARGE_PACKETS) -> DataFrame | None:
+    """Key and n of the flows with more than so many packets (at most LARGE_FLOWS, by a higher bound); None for none."""
+    keyed = with_key(packets, cfg)
+    if keyed.limit(least + 1).count() <= least:
+        return None
+    counted = scratch.saved(keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "flows")
+    total = counted.agg(F.sum("n").alias("n")).first().n
+    large = counted.where(F.col("n") > max(least, total // LARGE_FLOWS))
+    return large if large.limit(1).count() else None
+
+
+def segments_of_large(packets: DataFrame, large: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
+    """The packets of the large flows with direction, segment, bucket and the columns of the flow's first packet.
+
+    Packets are cut into ranges of (flow, time) of even size, and windows run over (flow, range).
+    """
+    own = with_key(packets, cfg).join(F.broadcast(large.select(*KEY)), KEY, "left_semi")
+    n = large.agg(F.sum("n").alias("n")).first().n
+    most = BUCKETS * int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = with_range_buckets(own, max(1, min(most, n // BUCKET_PACKETS)))
+    return segments_over_buckets(with_flow_first_of_large(bucketed, FIRST, cfg), cfg)
+
+
+def flow_features(packets: DataFrame, cfg: FlowConfig = FlowConfig(), names: list[str] | None = None, least: int = LARGE_PACKETS) -> DataFrame:
+    """Packets to typed flow rows, one a segment. Flows of more than least packets are cut over many tasks."""
+    whole = lambda p: segment_features(assign_segments(with_direction(p, cfg), cfg), cfg, names)
+    large = large_flows(packets, cfg, least)
+    if large is None:
+        return whole(packets)
+    rest = with_key(packets, cfg).join(F.broadcast(large.select(*KEY)), KEY, "left_anti").select(*packets.columns)
+    return whole(rest).unionByName(segment_features(segments_of_large(packets, large, cfg), cfg, names))
 
 
 def to_wide(flows: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..config import FlowConfig
 from ..schema import KEY, SEG
 
@@ -39,6 +40,18 @@ def with_direction(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFr
     return keyed.withColumn("is_fwd", (first[0] == F.col("src_ip")) & (first[1] == F.col("src_port")))
 
 
+def with_flow_first_of_large(packets: DataFrame, columns: tuple[str, ...], cfg: FlowConfig = FlowConfig()) -> DataFrame:
+    """with_direction and the first packet's columns (first_*) for few large flows that have their key.
+
+    The first packets come from an aggregation and are broadcast: there is a row a flow, so take this for flows that a count
+    has shown to be few.
+    """
+    first = packets.groupBy(*KEY).agg(F.min(F.struct(*_ORDER, *columns)).alias("first"))
+    joined = packets.join(F.broadcast(first.select(*KEY, *[F.col(f"first.{c}").alias(f"first_{c}") for c in columns])), KEY)
+    same = (F.col("first_src_ip") == F.col("src_ip")) & (F.col("first_src_port") == F.col("src_port"))
+    return joined.withColumn("is_fwd", F.lit(False) if cfg.direction == "as_coded" else same)
+
+
 def _starts(cfg: FlowConfig) -> Column:
     """Whether a packet follows a close by idle time or by TCP flags, or is the first."""
     before, flags = F.lag("ts_ns").over(by_flow()), F.lag("tcp_flags").over(by_flow())
@@ -58,13 +71,31 @@ def assign_segments(packets: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataF
     return told.withColumn("seg_id", F.sum("s_new").over(w) - 1).drop("s_start", "s_rn", "s_new")
 
 
+def with_time_buckets(packets: DataFrame, bucket_s: float = 60.0) -> DataFrame:
+    """Adds bucket: the number of the span of so many seconds."""
+    return packets.withColumn("bucket", F.floor(F.col("ts_ns") / F.lit(bucket_s * 1e9)).cast("long"))
+
+
+def with_range_buckets(packets: DataFrame, buckets: int) -> DataFrame:
+    """Adds bucket: ranges of (flow, time) with about as many packets each, however many a flow has; written.
+
+    A flow's buckets follow each other in time, and no packet of one comes between those of another.
+    """
+    ranged = packets.repartitionByRange(buckets, *KEY, *_ORDER)
+    return scratch.saved(ranged.withColumn("bucket", F.spark_partition_id().cast("long")), "ranges")
+
+
 def assign_segments_in_buckets(packets: DataFrame, cfg: FlowConfig = FlowConfig(), bucket_s: float = 60.0) -> DataFrame:
-    """assign_segments for flows too large for one task: windows run over (flow, time bucket).
+    """assign_segments for flows too large for one task, over spans of time."""
+    return segments_over_buckets(with_time_buckets(packets, bucket_s), cfg).drop("bucket")
+
+
+def segments_over_buckets(bucketed: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
+    """assign_segments for flows too large for one task: windows run over (flow, bucket), and bucket stays.
 
     What a bucket needs of those before it is small and combines: the last time and flags, the packets since
     the last restart, and the segments so far. One row a bucket is combined over a flow and joined back.
     """
-    bucketed = packets.withColumn("bucket", F.floor(F.col("ts_ns") / F.lit(bucket_s * 1e9)).cast("long"))
     part = [*KEY, "bucket"]
     w = Window.partitionBy(*part).orderBy(*_ORDER)
     ends = bucketed.groupBy(*part).agg(F.max(F.struct("ts_ns", "pkt_id", "tcp_flags")).alias("last"))
@@ -96,17 +127,17 @@ def assign_segments_in_buckets(packets: DataFrame, cfg: FlowConfig = FlowConfig(
     again = told.join(totals, part)
     new = F.when(F.col("s_since").isNull(), F.pmod(F.col("carry") + F.col("s_rn") - 1, m) == 0).otherwise(F.pmod("s_since", m) == 0)
     again = again.withColumn("s_new", new.cast("long"))
-    return again.withColumn("seg_id", F.col("before") + F.sum("s_new").over(w) - 1).drop("bucket", "s_start", "s_rn", "s_since", "s_open", "s_new", "carry", "before")
+    return again.withColumn("seg_id", F.col("before") + F.sum("s_new").over(w) - 1).drop("s_start", "s_rn", "s_since", "s_open", "s_new", "carry", "before")
 
 
 def close_reasons(segmented: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     """One row per segment: key, seg_id, n, close_reason (count, flags, idle or end)."""
-    w = by_segment()
-    last = F.lead("ts_ns").over(w).isNull()
-    told = segmented.withColumns({"c_last": last, "c_next": F.lead("ts_ns").over(by_flow())}).withColumn("c_n", F.count(F.lit(1)).over(w))
-    ended = F.col("tcp_flags").bitwiseAND(F.lit(cfg.end_flags_mask)) != 0
-    reason = F.when(ended, "flags").when(F.col("c_n") >= cfg.max_packets, "count").when(F.col("c_next").isNotNull(), "idle").otherwise("end")
-    return told.where("c_last").select(*SEG, F.col("c_n").alias("n"), reason.alias("close_reason"))
+    last = F.max(F.struct(*_ORDER, "tcp_flags"))["tcp_flags"]
+    told = segmented.groupBy(*SEG).agg(F.count(F.lit(1)).alias("n"), last.alias("c_flags"))
+    told = told.withColumn("c_next", F.lead("seg_id").over(Window.partitionBy(*KEY).orderBy("seg_id")))
+    ended = F.col("c_flags").bitwiseAND(F.lit(cfg.end_flags_mask)) != 0
+    reason = F.when(ended, "flags").when(F.col("n") >= cfg.max_packets, "count").when(F.col("c_next").isNotNull(), "idle").otherwise("end")
+    return told.select(*SEG, "n", reason.alias("close_reason"))
 
 
 def flow_rollup(packets: DataFrame, cfg: FlowConfig = FlowConfig(direction="as_coded")) -> DataFrame:

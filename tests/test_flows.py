@@ -117,8 +117,6 @@ def test_options(spark):
     exact = features.flow_features(df, FlowConfig(median="exact", exact_mode=True, idle_close="timer"), ["Tot_Pay"])
     assert {c for c in exact.columns if c.endswith("_Median")} == {"Tot_Pay_Median"}
     assert exact.count() == features.flow_features(df, FlowConfig(median="none")).count()
-    with pytest.raises(ValueError):
-        features.suites(df, cfg=FlowConfig(max_packets=1 << 20))
 
 
 def test_idle_segments_close_at_the_timer(spark):
@@ -201,7 +199,7 @@ def test_one_aggregation_equals_the_joined_ones(spark, sf_dir):
     for cfg in (FlowConfig(), FlowConfig(median="exact"), FlowConfig.as_coded()):
         p = deltas.packet_deltas(deltas.with_flow_first(segment.assign_segments(segment.with_direction(packets_v(spark, sf_dir), cfg), cfg)), cfg)
         told = [f(p, cfg, features.SUITES) for f in (features._folded_features, features._joined_features)]
-        assert told[0].columns == [*told[0].columns] and set(told[0].columns) == set(told[1].columns)
+        assert set(told[0].columns) == set(told[1].columns)
         names = sorted(told[0].columns)
         rows = [sorted((tuple(r) for r in t.select("a_ip", "a_port", "b_ip", "b_port", "protocol", "seg_id", *names).collect()), key=lambda r: r[:6]) for t in told]
         assert len(rows[0]) == len(rows[1])
