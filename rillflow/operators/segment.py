@@ -140,7 +140,7 @@ def close_reasons(segmented: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataF
     return told.select(*SEG, "n", reason.alias("close_reason"))
 
 
-def flow_rollup(packets: DataFrame, cfg: FlowConfig = FlowConfig(direction="as_coded")) -> DataFrame:
-    """One row per flow, not cut: packets, bytes, first and last time, all flags seen. Also for streams, in update mode."""
+def flow_rollup(packets: DataFrame, cfg: FlowConfig = FlowConfig(direction="as_coded"), *by: Column) -> DataFrame:
+    """One row per flow (and what else to group by), not cut: packets, bytes, first and last time, all flags seen. Also for streams."""
     keyed = with_key(packets, cfg)
-    return keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pkts_count"), F.sum("total_bytes").alias("total_bytes"), F.min("ts_ns").alias("start_ts"), F.max("ts_ns").alias("last_ts"), F.bit_or("tcp_flags").alias("tcp_flags"))
+    return keyed.groupBy(*KEY, *by).agg(F.count(F.lit(1)).alias("pkts_count"), F.sum("total_bytes").alias("total_bytes"), F.min("ts_ns").alias("start_ts"), F.max("ts_ns").alias("last_ts"), F.bit_or("tcp_flags").alias("tcp_flags"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,24 @@ def write_flows(flows: DataFrame, path: str, kind: str = "parquet", cfg: FlowCon
         flows.write.mode(mode).parquet(path)
     else:
         raise ValueError(f"no sink of kind {kind}")
+
+
+def batch_sink(path: str, kind: str = "parquet", cfg: FlowConfig = FlowConfig()) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch under which a batch that is run again leaves its rows once.
+
+    A batch owns the folder batch=<its number>, which it replaces; the marker that Spark writes last commits it.
+    """
+    return lambda flows, n: write_flows(flows, f"{path.rstrip('/')}/batch={n}", kind, cfg, "overwrite")
+
+
+def read_batches(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """The rows of the committed batches of a batch_sink; those of a batch that is being written, or failed, are not there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    top = hadoop(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = [s.getPath() for s in files.listStatus(top) if s.getPath().getName().startswith("batch=")]
+    done = [b.toString() for b in batches if files.exists(hadoop(b, "_SUCCESS"))]
+    if not done:
+        raise ValueError(f"{path} has no batch that is whole")
+    reader = spark.read.option("header", True) if kind == "csv" else spark.read
+    return reader.format(kind).load(done)

@@ -181,17 +181,6 @@ def test_stream_gives_the_segments_of_the_batch(spark, tmp_path):
     assert len(got) + stream.close_open_segments(df, out).count() == len(want)
 
 
-def test_rollup_stream(spark, tmp_path):
-    from rillflow.sources.packets import stream_packets
-    from rillflow.streaming.flows import rollup_stream
-
-    df = frame(spark, edge_packets())
-    df.repartition(3).write.parquet(f"{tmp_path}/in")
-    q = rollup_stream(stream_packets(spark, f"{tmp_path}/in")).writeStream.outputMode("complete").format("memory").queryName("rolled").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, segment.flow_rollup(df).collect()))
-
-
 def test_one_aggregation_equals_the_joined_ones(spark, sf_dir):
     from rillflow.operators import deltas, features, segment
     from rillflow.plans.fixtures import packets_v
