@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..config import FlowConfig
 from ..functions.bytes import byte_entropy, ip_text, mac_text
 from ..functions.median import histogram_median, p2_median, p2_medians_of, p2_of_sorted
+from ..functions.text import fixed_texts
 from ..schema import FLAGS, KEY, LAST, SEG, STATS, SUITES, wide_columns
 from ..shipping import ship
 from .. import scratch
@@ -300,14 +301,19 @@ def to_wide(flows: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
 def csv_rows(wide: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
     """The wide row as text: six decimals for times, two for other doubles, a sentinel for the minimum of nothing."""
     sentinel = 4294967295.0 if cfg == FlowConfig.as_coded() else 0.0
-
-    def told(name: str, kind: str) -> Column:
-        if kind != "double":
-            return F.coalesce(F.col(name).cast("string"), F.lit("0")).alias(name)
-        places = 6 if name in ("timestamp", "duration") else 2
-        return F.format_string(f"%.{places}f", F.coalesce(name, F.lit(sentinel if name.endswith("_Min") else 0.0))).alias(name)
-
-    return wide.select(*[told(n, k) for n, k in wide.dtypes])
+    doubles = [n for n, k in wide.dtypes if k == "double"]
+    places = {6: [n for n in doubles if n in ("timestamp", "duration")], 2: [n for n in doubles if n not in ("timestamp", "duration")]}
+    value = lambda n: F.coalesce(n, F.lit(sentinel if n.endswith("_Min") else 0.0))
+    texts = {p: unused_name(f"texts{p}", wide.columns) for p in places}
+    told = wide.select("*", *[fixed_texts(F.array(*map(value, names)), p).alias(texts[p]) for p, names in places.items() if names])
+    at = {n: (texts[p], k) for p, names in places.items() for k, n in enumerate(names)}
+    return told.select(*[(F.get(at[n][0], F.lit(at[n][1])) if n in at else F.coalesce(F.col(n).cast("string"), F.lit("0"))).alias(n) for n in wide.columns])
+
+
+def unused_name(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
 
 
 def all_parts(parts: list[DataFrame]) -> DataFrame:

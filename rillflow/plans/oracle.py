@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..schema import LAST, SUITES
+from ..schema import LAST, STATS, SUITES, wide_columns
 from .fixtures import PACKETS_SQL
 
 _FLOW = "PARTITION BY ep_a, ep_b, protocol ORDER BY ts_ns, pkt_id"
@@ -47,6 +47,17 @@ t AS (SELECT {K}, suite, count(*) AS n, max(x) AS hi, min(x) AS lo, avg(x) AS me
 u AS (SELECT *, CASE WHEN m2 > 1e-9 THEN sqrt(n) * m3 / (m2 ** 1.5) ELSE 0 END AS skew,
   CASE WHEN m2 > 1e-9 THEN n * m4 / (m2 * m2) - 3 ELSE 0 END AS kurt, CASE WHEN mean > 0 THEN std / mean ELSE 0 END AS cov FROM t)"""
 
+#: The same with two passes over each suite's values in order of time, so that sums do not depend on an engine's own order.
+_D = "(y - mean)"
+ORDERED = f"""{SUITE_VALUES},
+o1 AS (SELECT {K}, suite, list(x ORDER BY ts_ns, pkt_id) AS xs FROM v GROUP BY {K}, suite),
+o2 AS (SELECT *, len(xs) AS n, list_reduce(xs, lambda a, y: a + y, 0.0::DOUBLE) / len(xs) AS mean FROM o1),
+o3 AS (SELECT *, list_reduce(xs, lambda a, y: a + {_D} * {_D}, 0.0::DOUBLE) AS m2, list_reduce(xs, lambda a, y: a + {_D} * {_D} * {_D}, 0.0::DOUBLE) AS m3,
+  list_reduce(xs, lambda a, y: a + {_D} * {_D} * {_D} * {_D}, 0.0::DOUBLE) AS m4 FROM o2),
+t AS (SELECT {K}, suite, xs, n, list_max(xs) AS hi, list_min(xs) AS lo, mean, m2, m3, m4, CASE WHEN n > 1 THEN m2 / (n - 1) ELSE 0.0::DOUBLE END AS var FROM o3),
+u AS (SELECT *, sqrt(var) AS std, CASE WHEN m2 > 1e-9 THEN sqrt(n) * m3 / (m2 * sqrt(m2)) ELSE 0.0::DOUBLE END AS skew,
+  CASE WHEN m2 > 1e-9 THEN n * m4 / (m2 * m2) - 3 ELSE 0.0::DOUBLE END AS kurt, CASE WHEN mean > 0 THEN sqrt(var) / mean ELSE 0.0::DOUBLE END AS cov FROM t)"""
+
 #: Rounding of doubles by statistic: coarse where values are large, as sums of other orders differ in the last bits;
 #: variances are moved off the ties that whole numbers give.
 PLACES = {"Mean": 4, "Std": 3, "Skew": 4, "Kurt": 4, "CoV": 4}
@@ -159,8 +170,8 @@ _TAKEN = """SELECT g, c, q1, q2, q3, q4, q5, n1, n2 + CASE WHEN cell < 1 THEN 1
   CASE WHEN xs[c + 1] >= q4 THEN 3 WHEN xs[c + 1] >= q3 THEN 2 WHEN xs[c + 1] >= q2 THEN 1 ELSE 0 END AS cell FROM p2 WHERE c < len(xs))"""
 _STEP = _marker(4, _marker(3, _marker(2, _TAKEN)))
 #: The five-marker median estimate of the values of each suite in order; up to five values have their upper median.
-P2 = f"""{MOMENTS.replace("WITH ", "WITH RECURSIVE ", 1)},
-lists AS (SELECT {K}, suite, list(x ORDER BY ts_ns, pkt_id) AS xs FROM v GROUP BY {K}, suite),
+P2 = f"""{ORDERED.replace("WITH ", "WITH RECURSIVE ", 1)},
+lists AS (SELECT {K}, suite, xs FROM t),
 numbered AS (SELECT *, row_number() OVER () AS g FROM lists),
 p2 AS (SELECT g, 5 AS c, o[1] AS q1, o[2] AS q2, o[3] AS q3, o[4] AS q4, o[5] AS q5, 1.0::DOUBLE AS n1, 2.0::DOUBLE AS n2, 3.0::DOUBLE AS n3, 4.0::DOUBLE AS n4, 5.0::DOUBLE AS n5, xs
   FROM (SELECT g, xs, list_sort(xs[1:5]) AS o FROM numbered WHERE len(xs) > 5)
@@ -173,13 +184,15 @@ _HIST = ", ".join(f'{bin_counts(c)} AS "{n}"' for c, n in (("a", "Hist_Tot"), ("
 _PAY = " UNION ALL ".join(f"SELECT {K}, '{d}_Pay' AS suite, hist_bin, count(*) AS h FROM x{w} GROUP BY {K}, hist_bin" for d, w in (("Tot", ""), ("Fwd", " WHERE is_fwd"), ("Bwd", " WHERE NOT is_fwd")))
 
 
-def _row_sql(suites: list[str], wide: bool = False) -> str:
-    """The flow row: what the single queries tell, joined by segment; wide: by the names of the wide row."""
+def _row_sql(suites: list[str], wide: bool = False, raw: bool = False) -> str:
+    """The flow row: what the single queries tell, joined by segment; wide: by the names of the wide row; raw: not rounded."""
+    told = lambda value, places: value if raw else f"round({value}, {places})"
     stats = {"Max": "floor(hi)", "Mean": "round(mean, 4) + 0.0", "Std": "round(std, 3) + 0.0", "Var": VARIANCE.format("var"), "Median": "round(median, 6)", "Skew": "round(skew, 4) + 0.0", "Kurt": "round(kurt, 4) + 0.0", "CoV": "round(cov, 4) + 0.0"}
-    pivot = ", ".join([f"""coalesce(max(CASE WHEN suite = '{s}' THEN {e} END), {"round(0.000000123, 5)" if t == "Var" else "0"})::DOUBLE AS "{s}_{t}\"""" for s in suites for t, e in stats.items()] + [f"""max(CASE WHEN suite = '{s}' THEN floor(lo) END)::DOUBLE AS "{s}_Min", 0.0::DOUBLE AS "{s}_Mode\"""" for s in suites])
+    stats = {"Max": "floor(hi)"} | {n: n.lower() for n in stats if n != "Max"} if raw else stats
+    pivot = ", ".join([f"""coalesce(max(CASE WHEN suite = '{s}' THEN {e} END), {"round(0.000000123, 5)" if t == "Var" and not raw else "0"})::DOUBLE AS "{s}_{t}\"""" for s in suites for t, e in stats.items()] + [f"""max(CASE WHEN suite = '{s}' THEN floor(lo) END)::DOUBLE AS "{s}_Min", 0.0::DOUBLE AS "{s}_Mode\"""" for s in suites])
     flags = ", ".join(f'count(*) FILTER ((tcp_flags & {1 << i}) <> 0) AS "{n}_Cnt", count(*) FILTER ((tcp_flags & {1 << i}) <> 0 AND is_fwd) AS "{n}_Fwd_Cnt", count(*) FILTER ((tcp_flags & {1 << i}) <> 0 AND NOT is_fwd) AS "{n}_Bwd_Cnt"' for i, n in enumerate(_FLAGS))
     last = ", ".join(f"CAST(arg_max({c}, ts_ns) AS BIGINT) AS {c}" for c in _LAST)
-    rates = ", ".join(f'round({c} / dur, 4) AS "{n}"' for c, n in (("bytes", "BytesRate"), ("fb", "FwdBytesRate"), ("bb", "BwdBytesRate"), ("pkts", "PacketsRate"), ("fp", "FwdPacketsRate"), ("bp", "BwdPacketsRate")))
+    rates = ", ".join(f'{told(f"{c} / dur", 4)} AS "{n}"' for c, n in (("bytes", "BytesRate"), ("fb", "FwdBytesRate"), ("bb", "BwdBytesRate"), ("pkts", "PacketsRate"), ("fp", "FwdPacketsRate"), ("bp", "BwdPacketsRate")))
     bulks = ", ".join(f'coalesce({d}.bulk_{c.lower()}, 0) AS "{n}Bulk{c}"' for d, n in (("bf", "Fwd"), ("bw", "Bwd")) for c in ("Bytes", "Pkts", "Cnt"))
     if wide:
         named = ", ".join(f'{c} AS "{n}"' for c, n in LAST.items())
@@ -196,14 +209,17 @@ every AS (SELECT u.*, coalesce(hm, p2)::DOUBLE AS median FROM u JOIN med USING (
 pv AS (SELECT {K}, {pivot} FROM every GROUP BY {K}),
 sg AS (SELECT {K}, {flags}, {last}, CAST(coalesce(arg_min(window_size, ts_ns) FILTER (is_fwd), 0) AS BIGINT) AS "FwdInitWinBytes", CAST(coalesce(arg_min(window_size, ts_ns) FILTER (NOT is_fwd), 0) AS BIGINT) AS "BwdInitWinBytes",
   CAST(arg_min(traffic_class, ts_ns) AS BIGINT) AS traffic_class, CAST(arg_min(flow_label, ts_ns) AS BIGINT) AS flow_label, arg_min(payload_hint, ts_ns) AS hint FROM x GROUP BY {K}),
-e1 AS (SELECT {K}, unnest(list_transform(range(64), lambda i: substr(hint, 2 * i + 1, 2))) AS byte FROM sg), e2 AS (SELECT {K}, byte, count(*) / 64.0 AS share FROM e1 GROUP BY {K}, byte),
-ent AS (SELECT {K}, round(-sum(share * log2(share)), 6) + 0.0 AS "PayloadEntropy" FROM e2 GROUP BY {K}),
+e1 AS (SELECT {K}, unnest(range(64)) AS place, unnest(list_transform(range(64), lambda i: substr(hint, 2 * i + 1, 2))) AS byte FROM sg), e2 AS (SELECT {K}, min(place) AS place, count(*) / 64.0::DOUBLE AS share FROM e1 GROUP BY {K}, byte),
+e3 AS (SELECT {K}, list(share ORDER BY place) AS shares FROM e2 GROUP BY {K}),
+ent AS (SELECT {K}, {told("abs(list_reduce(shares, lambda a, y: a - y * (ln(y) / ln(2.0::DOUBLE)), 0.0::DOUBLE))", 6)} + 0.0 AS "PayloadEntropy" FROM e3),
 bf AS (SELECT * FROM bulk WHERE is_fwd), bw AS (SELECT * FROM bulk WHERE NOT is_fwd), ff AS (SELECT ep_a, ep_b, protocol, src_ip, dst_ip, src_port, dst_port, src_mac, dst_mac, eth_proto, ip_ver FROM w WHERE rn = 1)
-{first}, pkts AS "PacketsCount", fp AS "FwdPacketsCount", bp AS "BwdPacketsCount", bytes AS "TotalBytes", fb AS "FwdBytes", bb AS "BwdBytes", round(t1 / 1e9, 6) AS "timestamp", round(dur, 6) AS duration,
-  round(CASE WHEN bp > 0 THEN fp / bp ELSE fp END, 6) AS "FwdBwdPktRatio", round(CASE WHEN bb > 0 THEN fb / bb ELSE fb END, 6) AS "FwdBwdByteRatio", round(CASE WHEN fp > 0 THEN bp / fp ELSE 0 END, 6) AS "DownUpRatio",
+{first}, pkts AS "PacketsCount", fp AS "FwdPacketsCount", bp AS "BwdPacketsCount", bytes AS "TotalBytes", fb AS "FwdBytes", bb AS "BwdBytes", {told("t1 / 1e9::DOUBLE", 6)} AS "timestamp", {told("dur", 6)} AS duration,
+  {told("CASE WHEN bp > 0 THEN fp / bp ELSE fp END", 6)} AS "FwdBwdPktRatio", {told("CASE WHEN bb > 0 THEN fb / bb ELSE fb END", 6)} AS "FwdBwdByteRatio", {told("CASE WHEN fp > 0 THEN bp / fp ELSE 0 END", 6)} AS "DownUpRatio",
   {rates}, {bulks}, {own}, "PayloadEntropy", pv.* EXCLUDE ({K})
 FROM q JOIN sg USING ({K}) JOIN h1 USING ({K}) JOIN pv USING ({K}) JOIN ent USING ({K}) LEFT JOIN bf USING ({K}) LEFT JOIN bw USING ({K}){" JOIN ff USING (ep_a, ep_b, protocol)" if wide else ""}"""
 
 
 SQL["flow_features"] = _row_sql(SUITES)
 SQL["flows_wide"] = _row_sql(SUITES, wide=True)
+_TEXTS = {n: f"""printf('%.{6 if n in ("timestamp", "duration") else 2}f', coalesce("{n}", 0)::DOUBLE)""" for n in wide_columns() if n.rpartition("_")[0] in SUITES and n.rpartition("_")[2] in STATS or n.endswith(("Ratio", "Rate", "Entropy")) or n in ("timestamp", "duration")}
+SQL["flows_csv_projection"] = "SELECT " + ", ".join(f"""{_TEXTS.get(n, f'CAST("{n}" AS VARCHAR)')} AS "{n}\"""" for n in wide_columns()) + f" FROM ({_row_sql(SUITES, wide=True, raw=True)})"
