@@ -15,9 +15,13 @@ def _hex(value: Column, width: int) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), width, "0")
 
 
-def packets_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One packet per event: an invented exchange between a client per three users and one of five servers."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def packets_v(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """One packet per event: an invented exchange between a client per three users and one of five servers.
+
+    parts: deal the events out to so many tasks first, where much is made of each.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    e = e.repartition(parts) if parts else e
     us = F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US
     e = e.select("event_id", "event_type", "value", F.expr("user_id div 3").alias("fk"), us.alias("us"))
     fk, i, c2s = F.col("fk"), F.col("event_id"), ~F.col("event_type").isin("view", "error")
@@ -60,7 +64,7 @@ def frames_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written as a table, as a capture would be, with the columns of the packet, kind and cut (the length of a
     short frame) for tests and SQL.
     """
-    p = packets_v(spark, sf_dir)
+    p = packets_v(spark, sf_dir, spark.sparkContext.defaultParallelism)
     c = F.col
     h = lambda name, width: _hex(c(name), width)
     lit = F.lit

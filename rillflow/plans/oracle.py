@@ -85,6 +85,19 @@ fr AS (SELECT *, CASE WHEN pkt_id % 10 BETWEEN 1 AND 6 AND NOT thru THEN 'plain'
   WHEN kind0 = 'vxlan_tcp' AND protocol = 17 THEN 'vxlan_udp' ELSE kind0 END AS kind, CASE WHEN kind0 = 'short' THEN pkt_id % 97 ELSE 1000 END AS cut,
   CASE WHEN kind0 IN ('arp', 'vlan', 'short', 'plain') OR NOT thru THEN 0 WHEN kind0 IN ('vxlan_udp', 'vxlan_tcp') THEN 17 ELSE 47 END AS outer_proto FROM fr1)"""
 
+#: Frames that give a packet, with what is there of a short one: bytes behind the IP header (l4) and the UDP header, and ports.
+DECODED = f"""{FRAMES},
+d1 AS (SELECT *, cut - 14 - header_len AS l4, outer_proto > 0 AND kind NOT LIKE 'gre%' OR kind = 'gre_vxlan' AS vx FROM fr WHERE kind NOT IN ('arp', 'vlan') AND cut >= 14 + header_len),
+d2 AS (SELECT *, protocol = 6 AND NOT vx AND l4 >= 20 AS is_tcp, protocol = 17 AND l4 >= 8 AS is_udp FROM d1),
+de AS (SELECT * EXCLUDE (src_port, dst_port), src_port AS own_src, dst_port AS own_dst, CASE WHEN is_tcp OR is_udp THEN src_port WHEN vx THEN 49152 ELSE 0 END AS src_port,
+  CASE WHEN is_tcp OR is_udp THEN dst_port WHEN vx THEN 4789 ELSE 0 END AS dst_port, l4 - 8 AS l7 FROM d2)"""
+_DATA = """CASE WHEN protocol = 6 THEN printf('%04x%04x', own_src, own_dst) || '0000000000000000' || '50' || printf('%02x%04x', tcp_flags, window_size) || '00000000'
+  WHEN protocol = 1 THEN printf('%02x%02x0000%04x0000', icmp_type, icmp_code, icmp_id)
+  WHEN 53 IN (own_src, own_dst) THEN printf('000100000001%04x00000000', dns_answer_count) || '03777777076578616d706c6503636f6d00' || printf('%04x%04x', dns_qtype, dns_qclass)
+  WHEN 123 IN (own_src, own_dst) THEN printf('%02x%02x0000', ntp_mode + 24, ntp_stratum) WHEN 161 IN (own_src, own_dst) THEN '302902010104067075626c6963' || printf('%02x00', snmp_pdu_type)
+  WHEN ssdp_method = 1 THEN '4d2d534541524348' ELSE '4e4f54494659202a' END || payload_hint"""
+_there = lambda c, bytes_: f"CAST(CASE WHEN l7 >= {bytes_} THEN {c} ELSE 0 END AS BIGINT) AS {c}"
+
 _FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
 _LAST = ("icmp_type", "icmp_code", "ttl", "icmp_id", "dns_answer_count", "dns_qtype", "dns_qclass", "tunnel_id", "tunnel_type", "ntp_mode", "ntp_stratum", "snmp_pdu_type", "ssdp_method")
 _group = lambda c: f"coalesce(nullif(ltrim(substr(src_ip, {c}, 4), '0'), ''), '0')"
@@ -99,21 +112,21 @@ SQL: dict[str, str] = {
     "decode_ipv4": f"{FRAMES} SELECT pkt_id, CAST(header_len AS BIGINT) AS header_len, CAST(total_bytes AS BIGINT) AS total_bytes, CAST(payload_len AS BIGINT) AS payload_len, CAST(ip_id AS BIGINT) AS ip_id, CAST(frag_off AS BIGINT) AS frag_off, CAST(ttl AS BIGINT) AS ttl, CAST(CASE WHEN outer_proto > 0 THEN outer_proto ELSE protocol END AS BIGINT) AS protocol, CASE WHEN outer_proto > 0 THEN repeat('00', 12) || '0a090901' ELSE src_ip END AS src_ip FROM fr WHERE ip_ver = 4 AND kind NOT IN ('arp', 'vlan') AND cut >= 34",
     "decode_ipv6": f"{FRAMES} SELECT pkt_id, CAST(traffic_class AS BIGINT) AS traffic_class, CAST(flow_label AS BIGINT) AS flow_label, CAST(payload_len AS BIGINT) AS payload_len, CAST(total_bytes AS BIGINT) AS total_bytes, CAST(protocol AS BIGINT) AS protocol, CAST(ttl AS BIGINT) AS ttl, src_ip, dst_ip FROM fr WHERE ip_ver = 6 AND kind IN ('plain', 'short') AND cut >= 54",
     "filter_ip_only": f"{FRAMES} SELECT kind, count(*) AS n FROM fr WHERE kind NOT IN ('arp', 'vlan') AND cut >= CASE WHEN ip_ver = 4 THEN 34 ELSE 54 END GROUP BY kind",
-    "ip_normalize": f"{FRAMES} SELECT pkt_id, src_ip, dst_ip FROM fr WHERE kind = 'plain'",
+    "ip_normalize": f"{DECODED} SELECT pkt_id, CASE WHEN outer_proto > 0 THEN repeat('00', 12) || '0a090901' ELSE src_ip END AS src_ip, CASE WHEN outer_proto > 0 THEN repeat('00', 12) || '0a090902' ELSE dst_ip END AS dst_ip FROM de",
     "ip_format": f"WITH {PACKETS_SQL} SELECT DISTINCT src_ip AS ip, {_IP} AS ip_text FROM p",
     "mac_format": f"WITH {PACKETS_SQL} SELECT DISTINCT src_mac AS mac, {_MAC} AS mac_text FROM p",
-    "decode_gre": f"{FRAMES} SELECT pkt_id, CAST(CASE WHEN kind = 'gre' THEN 0 ELSE pkt_id % 4294967296 END AS BIGINT) AS tunnel_id, CAST(1 AS BIGINT) AS tunnel_type, src_ip, dst_ip, CAST(protocol AS BIGINT) AS protocol FROM fr WHERE kind IN ('gre', 'gre_key', 'gre_sum_key')",
+    "decode_gre": f"{FRAMES} SELECT pkt_id, CAST(CASE WHEN kind = 'gre' THEN 0 ELSE pkt_id % 4294967296 END AS BIGINT) AS tunnel_id, CAST(1 AS BIGINT) AS tunnel_type, CASE WHEN kind = 'gre_vxlan' THEN repeat('00', 12) || '0a080801' ELSE src_ip END AS src_ip, CASE WHEN kind = 'gre_vxlan' THEN repeat('00', 12) || '0a080802' ELSE dst_ip END AS dst_ip, CAST(CASE WHEN kind = 'gre_vxlan' THEN 17 ELSE protocol END AS BIGINT) AS protocol FROM fr WHERE kind IN ('gre', 'gre_key', 'gre_sum_key', 'gre_vxlan')",
     "decode_vxlan": f"{FRAMES} SELECT pkt_id, CAST(pkt_id % 16777216 AS BIGINT) AS tunnel_id, CAST(2 AS BIGINT) AS tunnel_type, src_ip, dst_ip, CAST(protocol AS BIGINT) AS protocol, CAST(CASE WHEN protocol = 17 THEN src_port ELSE 49152 END AS BIGINT) AS src_port, CAST(CASE WHEN protocol = 17 THEN dst_port ELSE 4789 END AS BIGINT) AS dst_port, CAST(0 AS BIGINT) AS tcp_flags FROM fr WHERE kind IN ('vxlan_udp', 'vxlan_tcp')",
     "decode_gre_vxlan": f"{FRAMES} SELECT pkt_id, CAST(pkt_id % 16777216 AS BIGINT) AS tunnel_id, CAST(2 AS BIGINT) AS tunnel_type, src_ip, dst_ip, CAST(protocol AS BIGINT) AS protocol, CAST(CASE WHEN protocol = 17 THEN src_port ELSE 49152 END AS BIGINT) AS src_port FROM fr WHERE kind = 'gre_vxlan'",
-    "decode_tcp": f"{FRAMES} SELECT pkt_id, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port, CAST(window_size AS BIGINT) AS window_size, CAST(tcp_flags AS BIGINT) AS tcp_flags FROM fr WHERE kind = 'plain' AND protocol = 6",
-    "decode_udp": f"{FRAMES} SELECT pkt_id, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port FROM fr WHERE kind = 'plain' AND protocol = 17",
-    "decode_icmp": f"{FRAMES} SELECT pkt_id, CAST(icmp_type AS BIGINT) AS icmp_type, CAST(icmp_code AS BIGINT) AS icmp_code, CAST(icmp_id AS BIGINT) AS icmp_id, CAST(src_port AS BIGINT) AS src_port FROM fr WHERE kind = 'plain' AND protocol = 1",
-    "l7_dispatch": f"{FRAMES} SELECT pkt_id, CASE WHEN protocol <> 17 THEN 'none' WHEN 53 IN (src_port, dst_port) THEN 'dns' WHEN 123 IN (src_port, dst_port) THEN 'ntp' WHEN 161 IN (src_port, dst_port) THEN 'snmp' WHEN dst_port = 1900 THEN 'ssdp' ELSE 'none' END AS app FROM fr WHERE kind = 'plain'",
-    "decode_dns": f"{FRAMES} SELECT pkt_id, CAST(dns_answer_count AS BIGINT) AS dns_answer_count, CAST(dns_qtype AS BIGINT) AS dns_qtype, CAST(dns_qclass AS BIGINT) AS dns_qclass FROM fr WHERE kind = 'plain' AND 53 IN (src_port, dst_port)",
-    "decode_ntp": f"{FRAMES} SELECT pkt_id, CAST(ntp_mode AS BIGINT) AS ntp_mode, CAST(ntp_stratum AS BIGINT) AS ntp_stratum FROM fr WHERE kind = 'plain' AND 123 IN (src_port, dst_port)",
-    "decode_snmp": f"{FRAMES} SELECT pkt_id, CAST(snmp_pdu_type AS BIGINT) AS snmp_pdu_type FROM fr WHERE kind = 'plain' AND 161 IN (src_port, dst_port)",
-    "decode_ssdp": f"{FRAMES} SELECT pkt_id, CAST(ssdp_method AS BIGINT) AS ssdp_method FROM fr WHERE kind = 'plain' AND 1900 IN (src_port, dst_port)",
-    "payload_hint": f"{FRAMES} SELECT pkt_id, CASE WHEN ssdp_method = 1 THEN '4d2d534541524348' ELSE '4e4f54494659202a' END || substr(payload_hint, 1, 112) AS payload_hint FROM fr WHERE kind = 'plain' AND 1900 IN (src_port, dst_port)",
+    "decode_tcp": f"{DECODED} SELECT pkt_id, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port, CAST(CASE WHEN is_tcp THEN window_size ELSE 0 END AS BIGINT) AS window_size, CAST(CASE WHEN is_tcp THEN tcp_flags ELSE 0 END AS BIGINT) AS tcp_flags FROM de WHERE protocol = 6",
+    "decode_udp": f"{DECODED} SELECT pkt_id, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port FROM de WHERE protocol = 17",
+    "decode_icmp": f"{DECODED} SELECT pkt_id, " + ", ".join(f"CAST(CASE WHEN l4 >= 8 THEN {c} ELSE 0 END AS BIGINT) AS {c}" for c in ("icmp_type", "icmp_code", "icmp_id")) + ", CAST(src_port AS BIGINT) AS src_port FROM de WHERE protocol = 1",
+    "l7_dispatch": f"{DECODED} SELECT pkt_id, CASE WHEN NOT is_udp THEN 'none' WHEN 53 IN (src_port, dst_port) THEN 'dns' WHEN 123 IN (src_port, dst_port) THEN 'ntp' WHEN 161 IN (src_port, dst_port) THEN 'snmp' WHEN dst_port = 1900 THEN 'ssdp' ELSE 'none' END AS app FROM de",
+    "decode_dns": f"{DECODED} SELECT pkt_id, {_there('dns_answer_count', 12)}, {_there('dns_qtype', 33)}, {_there('dns_qclass', 33)} FROM de WHERE 53 IN (src_port, dst_port)",
+    "decode_ntp": f"{DECODED} SELECT pkt_id, {_there('ntp_mode', 4)}, {_there('ntp_stratum', 4)} FROM de WHERE 123 IN (src_port, dst_port)",
+    "decode_snmp": f"{DECODED} SELECT pkt_id, {_there('snmp_pdu_type', 14)} FROM de WHERE 161 IN (src_port, dst_port)",
+    "decode_ssdp": f"{DECODED} SELECT pkt_id, {_there('ssdp_method', 8)} FROM de WHERE 1900 IN (src_port, dst_port)",
+    "payload_hint": f"{DECODED} SELECT pkt_id, CASE WHEN kind = 'short' THEN repeat('00', 64) ELSE substr({_DATA}, 1, 128) END AS payload_hint FROM de",
     "payload_entropy": f"WITH {PACKETS_SQL}, b AS (SELECT pkt_id, unnest(list_transform(range(64), lambda i: substr(payload_hint, 2 * i + 1, 2))) AS x FROM p), c AS (SELECT pkt_id, x, count(*) / 64.0 AS s FROM b GROUP BY pkt_id, x) SELECT pkt_id, round(-sum(s * log2(s)), 6) + 0.0 AS entropy FROM c GROUP BY pkt_id",
     "flow_key_counts": f"{SEGMENTS} SELECT s_ep, d_ep, protocol, count(*) AS n FROM d GROUP BY s_ep, d_ep, protocol",
     "flow_direction": f"{SEGMENTS} SELECT pkt_id, ep_a, ep_b, is_fwd FROM w",

@@ -120,33 +120,42 @@ def flows_csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # dissection
 
 
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dissect.headers(_frames(spark, sf_dir))
+
+
+def _fields(layer: str, *names: str) -> list[Column]:
+    hexed = {"src_ip", "dst_ip", "src_mac", "dst_mac", "payload_hint"}
+    return [(_hex(f"{layer}.{n}") if n in hexed else F.col(f"{layer}.{n}")).alias(n) for n in names]
+
+
 @query
 def decode_ethernet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissect.ethernet(_frames(spark, sf_dir)).select("pkt_id", _hex("dst_mac").alias("dst_mac"), _hex("src_mac").alias("src_mac"), *_long("eth_proto"))
+    return _headers(spark, sf_dir).select("pkt_id", *_fields("eth", "dst_mac", "src_mac", "eth_proto"))
 
 
 def _ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissect.ip_header(dissect.ip_only(dissect.ethernet(_frames(spark, sf_dir))))
+    return dissect.ip_only(_headers(spark, sf_dir))
 
 
 @query
 def decode_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ip(spark, sf_dir).where("ip_ver = 4").select("pkt_id", *_long("header_len", "total_bytes", "payload_len", "ip_id", "frag_off", "ttl", "protocol"), _hex("src_ip").alias("src_ip"))
+    return _ip(spark, sf_dir).where("ip.ip_ver = 4").select("pkt_id", *_fields("ip", "header_len", "total_bytes", "payload_len", "ip_id", "frag_off", "ttl", "protocol", "src_ip"))
 
 
 @query
 def decode_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ip(spark, sf_dir).where("ip_ver = 6").select("pkt_id", *_long("traffic_class", "flow_label", "payload_len", "total_bytes", "protocol", "ttl"), _hex("src_ip").alias("src_ip"), _hex("dst_ip").alias("dst_ip"))
+    return _ip(spark, sf_dir).where("ip.ip_ver = 6").select("pkt_id", *_fields("ip", "traffic_class", "flow_label", "payload_len", "total_bytes", "protocol", "ttl", "src_ip", "dst_ip"))
 
 
 @query
 def filter_ip_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissect.ip_only(dissect.ethernet(_frames(spark, sf_dir))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return _ip(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def ip_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ip(spark, sf_dir).where("kind = 'plain'").select("pkt_id", _hex("src_ip").alias("src_ip"), _hex("dst_ip").alias("dst_ip"))
+    return _ip(spark, sf_dir).select("pkt_id", *_fields("ip", "src_ip", "dst_ip"))
 
 
 @query
@@ -165,49 +174,43 @@ def mac_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def decode_gre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = dissect.gre(_ip(spark, sf_dir)).where(F.col("kind").isin("gre", "gre_key", "gre_sum_key"))
-    return taken.select("pkt_id", *_long("tunnel_id", "tunnel_type"), _hex("src_ip").alias("src_ip"), _hex("dst_ip").alias("dst_ip"), *_long("protocol"))
-
-
-def _transport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissect.transport(dissect.gre(_ip(spark, sf_dir)))
+    return _ip(spark, sf_dir).where("gre.tunnel_type = 1").select("pkt_id", *_fields("gre", "tunnel_id", "tunnel_type", "src_ip", "dst_ip", "protocol"))
 
 
 @query
 def decode_vxlan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = _transport(spark, sf_dir).where(F.col("kind").isin("vxlan_udp", "vxlan_tcp"))
-    return taken.select("pkt_id", *_long("tunnel_id", "tunnel_type"), _hex("src_ip").alias("src_ip"), _hex("dst_ip").alias("dst_ip"), *_long("protocol", "src_port", "dst_port", "tcp_flags"))
+    taken = _ip(spark, sf_dir).where("packet.tunnel_type = 2 and gre.tunnel_type = 0")
+    return taken.select("pkt_id", *_fields("packet", "tunnel_id", "tunnel_type", "src_ip", "dst_ip", "protocol", "src_port", "dst_port", "tcp_flags"))
 
 
 @query
 def decode_gre_vxlan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = _transport(spark, sf_dir).where("kind = 'gre_vxlan'")
-    return taken.select("pkt_id", *_long("tunnel_id", "tunnel_type"), _hex("src_ip").alias("src_ip"), _hex("dst_ip").alias("dst_ip"), *_long("protocol", "src_port"))
+    taken = _ip(spark, sf_dir).where("packet.tunnel_type = 2 and gre.tunnel_type = 1")
+    return taken.select("pkt_id", *_fields("packet", "tunnel_id", "tunnel_type", "src_ip", "dst_ip", "protocol", "src_port"))
 
 
 @query
 def decode_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _transport(spark, sf_dir).where("kind = 'plain' and protocol = 6").select("pkt_id", *_long("src_port", "dst_port", "window_size", "tcp_flags"))
+    return _ip(spark, sf_dir).where("packet.protocol = 6").select("pkt_id", *_fields("packet", "src_port", "dst_port", "window_size", "tcp_flags"))
 
 
 @query
 def decode_udp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _transport(spark, sf_dir).where("kind = 'plain' and protocol = 17").select("pkt_id", *_long("src_port", "dst_port"))
+    return _ip(spark, sf_dir).where("packet.protocol = 17").select("pkt_id", *_fields("packet", "src_port", "dst_port"))
 
 
 @query
 def decode_icmp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissect.icmp_and_hint(_transport(spark, sf_dir)).where("kind = 'plain' and protocol = 1").select("pkt_id", *_long("icmp_type", "icmp_code", "icmp_id", "src_port"))
+    return _ip(spark, sf_dir).where("packet.protocol = 1").select("pkt_id", *_fields("packet", "icmp_type", "icmp_code", "icmp_id", "src_port"))
 
 
 @query
 def l7_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissect.application(_transport(spark, sf_dir)).where("kind = 'plain'").select("pkt_id", "app")
+    return _ip(spark, sf_dir).select("pkt_id", "app")
 
 
 def _app(spark: SparkSession, sf_dir: str, port: int, *names: str) -> DataFrame:
-    read = dissect.application(_transport(spark, sf_dir)).where(f"kind = 'plain' and {port} in (src_port, dst_port)")
-    return read.select("pkt_id", *_long(*names))
+    return _ip(spark, sf_dir).where(f"{port} in (packet.src_port, packet.dst_port)").select("pkt_id", *_fields("packet", *names))
 
 
 @query
@@ -232,8 +235,7 @@ def decode_ssdp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def payload_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hints = dissect.icmp_and_hint(_transport(spark, sf_dir)).where("kind = 'plain' and 1900 in (src_port, dst_port)")
-    return hints.select("pkt_id", _hex("payload_hint").alias("payload_hint"))
+    return _ip(spark, sf_dir).select("pkt_id", *_fields("packet", "payload_hint"))
 
 
 @query
