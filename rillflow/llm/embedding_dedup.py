@@ -128,6 +128,10 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
+#: Largest components of vectors whose squares can be summed as they are.
+SAFE = (1e-140, 1e140)
+
+
 def _linked(tiles: DataFrame, threshold: float) -> DataFrame:
     """Rows sorted by tile -> head, links, reach: one row a vector and tile where it has links."""
     schema = T.StructType([tiles.schema["head"], T.StructField("links", T.LongType()), T.StructField("reach", tiles.schema["head"].dataType)])
@@ -186,8 +190,10 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if named.groupBy("id").count().where("count > 1").limit(1).count():
         named = named.groupBy("id").agg(F.min(F.struct("label", "vector")).alias("x")).select("id", "x.*")
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)
-    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda v: v != 0) & (norm > 0) & (norm < float("inf")), F.lit(False))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda v: v != 0), F.lit(False))
+    # squares of very large or small components leave the range of doubles: such vectors are divided by their largest
+    largest = F.array_max(F.transform("vector", F.abs))
+    named = named.withColumn("largest", F.when(usable, largest)).withColumn("vector", F.when(F.col("largest").between(*SAFE), F.col("vector")).when(usable, F.transform("vector", lambda v: v / F.col("largest"))).otherwise(F.col("vector"))).drop("largest")
     classes = tables.saved(named.where(usable).groupBy("label", "vector").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("m")), "vector-classes")
     sizes = tables.saved(classes.groupBy("label", F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n")), "label-sizes")
     sized = classes.withColumn("dims", F.size("vector")).join(tables.small(sizes), ["label", "dims"])
