@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tables, textbytes
 
@@ -109,7 +110,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     named = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("_text"))
     kind = items.schema[item_col]
     schema = T.StructType([named.schema[0], T.StructField(item_col, kind.dataType), T.StructField("shared", T.LongType()), T.StructField("item_shingles", T.LongType()), T.StructField("containment", T.DoubleType())])
-    item_type = pa.array([], pa.int64()).type if isinstance(kind.dataType, T.LongType) else None
+    item_type = to_arrow_type(kind.dataType)
 
     def passes(block: list[tuple[object, str | None]]) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(block)

@@ -373,3 +373,17 @@ def test_line_dedup_of_a_very_long_document(spark):
     long = "\n".join(f"line {i}" for i in range(100_000))
     got = {x.doc_id: (x.n_lines, x.n_removed) for x in line_dedup.line_dedup(table(spark, [long, long, "a"])).collect()}
     assert got == {0: (100_000, 0), 1: (100_000, 100_000), 2: (1, 0)}
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 1e-200], 0), (2, [1e-200, 1e-200], 0), (3, [1.0, 1.0], 0), (4, [2e200, 2e200], 0), (5, [5e-324, 0.0], 0), (6, [1e308, 0.0], 0), (7, [-1e308, 1e-300], 0), (8, [1e300, 1.2e300], 0)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4, 8), (4, 1)), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_item_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m")], "doc_id int, text string")
+    for kind in ("int", "short", "string", "date"):
+        items = spark.sql(f"select cast({'current_date()' if kind == 'date' else '7'} as {kind}) as item_id, 'b c d e f' as text")
+        found = decontaminate.contained_items(docs, items)
+        assert found.schema["item_id"].dataType == items.schema["item_id"].dataType and [r.doc_id for r in found.collect()] == [1]
