@@ -2,10 +2,13 @@
 
 Candidates are maximal runs of the characters of keys and tokens. A window slides over each; its Shannon
 entropy is kept up to date from the two counts that change at a step, and windows above the threshold of
-the candidate's character class make the candidate a span, unless an allow-listed form explains it.
+the candidate's character class make the candidate a span, unless an allow-listed form explains it. What base spans
+take of a candidate is cut out, and the pieces beside them are candidates of their own. Words that mark examples count
+in the part between slashes or equal signs that holds the window, not elsewhere in a path.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; an id of null is carried; every row is
-scanned on its own, so repeated rows repeat; base spans of different kinds may overlap and all stay; a text of any length
+scanned on its own, so repeated rows repeat; base spans of different kinds may overlap and all stay; spans that start
+together are ordered by kind; of windows with the same entropy the first counts; a text of any length
 is scanned whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
@@ -36,8 +39,8 @@ ALLOWED = [
     re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
     re.compile(r"[A-Za-z]+([_-][A-Za-z]+)*"),  # words and identifiers without digits
     re.compile(r"(.{1,4})\1{4,}.{0,4}"),  # a short piece over and over
-    re.compile(r"(?i).*(example|sample|dummy|placeholder|xxxx).*"),
 ]
+EXAMPLES = re.compile(r"(?i)example|sample|dummy|placeholder|xxxx")
 _X_LOG = [0.0] + [n * math.log2(n) for n in range(1, 257)]
 
 
@@ -47,14 +50,14 @@ def char_class(s: str) -> str:
     return "alnum" if s.isalnum() else "base64"
 
 
-def peak_entropy(s: str, window: int = WINDOW) -> float:
-    """The highest entropy in bits per character of any window of s, by incremental counts."""
+def peak_window(s: str, window: int = WINDOW) -> tuple[float, int]:
+    """The highest entropy in bits per character of any window of s, by incremental counts, and the end of the first such."""
     n = min(window, len(s))
     if not n:
-        return 0.0
+        return 0.0, 0
     counts: dict[str, int] = {}
     total = 0.0  # sum of c * log2(c)
-    best = math.inf
+    best, end = math.inf, n
     for i, c in enumerate(s):
         k = counts.get(c, 0)
         total += _X_LOG[k + 1] - _X_LOG[k]
@@ -63,9 +66,13 @@ def peak_entropy(s: str, window: int = WINDOW) -> float:
             k = counts[s[i - n]]
             total += _X_LOG[k - 1] - _X_LOG[k]
             counts[s[i - n]] = k - 1
-        if i >= n - 1:
-            best = min(best, total)
-    return math.log2(n) - best / n
+        if i >= n - 1 and total < best - 1e-9:
+            best, end = total, i + 1
+    return math.log2(n) - best / n, end
+
+
+def peak_entropy(s: str, window: int = WINDOW) -> float:
+    return peak_window(s, window)[0]
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -78,19 +85,29 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def _is_secret(s: str) -> bool:
+    if any(p.fullmatch(s) for p in ALLOWED):
+        return False
+    entropy, end = peak_window(s)
+    if entropy < THRESHOLDS[char_class(s)]:
+        return False
+    first = max(s.rfind(c, 0, end - 1) for c in "/=") + 1
+    last = min((k for c in "/=" if (k := s.find(c, end - 1)) >= 0), default=len(s))
+    return not EXAMPLES.search(s, first, max(last, end))
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidates of high entropy that no span of taken (ascending) overlaps."""
+    """Candidates of high entropy, and pieces of candidates that spans of taken (ascending, apart) leave."""
     out, k = [], 0
     for m in CANDIDATE.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if k < len(taken) and taken[k][0] < m.end():
-            continue
-        s = m.group()
-        if any(p.fullmatch(s) for p in ALLOWED):
-            continue
-        if peak_entropy(s) >= THRESHOLDS[char_class(s)]:
-            out.append(m.span())
+        start, j, pieces = m.start(), k, []
+        while j < len(taken) and taken[j][0] < m.end():
+            pieces.append((start, taken[j][0]))
+            start, j = taken[j][1], j + 1
+        pieces.append((start, m.end()))
+        out += [(a, b) for a, b in pieces if b - a >= WINDOW and _is_secret(text[a:b])]
     return out
 
 

@@ -100,6 +100,13 @@ def test_entropy_windows():
     assert secrets.scan_text("word undenvereinzuverstehenkeit")[4] == ""
 
 
+def test_pieces_and_example_words_of_candidates():
+    assert secrets.scan_text("0123456789abcdef-Zk3Qp9VtL2xWm8RyB5nH")[4] == "hex:0:16,entropy:16:37"
+    assert secrets.scan_text("Zk3Qp9VtL2xWm8RyB5nHq-0123456789abcdef-short")[4] == "entropy:0:22,hex:22:38"
+    assert secrets.scan_text("at /srv/sample/Zk3Qp9VtL2xWm8RyB5nHq7")[4] == "entropy:3:37"
+    assert secrets.scan_text("at /srv/x/Zk3Qp9VtExampleWm8RyB5nH")[4] == ""
+
+
 def test_codes_round_trip():
     r = np.random.default_rng(0)
     for ids in [np.zeros(0), np.array([0]), np.array([255, 256, 65535, 65536, 2**32 - 1]), r.integers(0, 50257, 5000), r.integers(0, 2**20, 1300)]:
