@@ -34,10 +34,12 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _filled(lines: Column) -> Column:
-    """The trimmed non-blank lines with their positions."""
-    told = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line")))
-    return F.filter(told, lambda x: x["line"] != "")
+def _filled(lines: Column, words: bool = False) -> Column:
+    """The trimmed non-blank lines with their positions, and with their numbers of words if asked for."""
+    told = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda x: x["line"] != "")
+    if not words:
+        return told
+    return F.transform(told, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), F.regexp_count(x["line"], F.lit(_WORD)).alias("words")))
 
 
 def _windows(filled: Column, size: int, passage: int | None = None) -> Column:
@@ -50,7 +52,7 @@ def _windows(filled: Column, size: int, passage: int | None = None) -> Column:
         return F.struct(j.alias("j"), F.lit(n).alias("k"), F.xxhash64(*each).alias("h1"), F.xxhash64(F.lit(size), *each[::-1]).alias("h2"))
 
     def run(n: int) -> Column:
-        words = lambda j: reduce(lambda a, b: a + b, [F.regexp_count(F.get(filled, j + k)["line"], F.lit(_WORD)) for k in range(n)])
+        words = lambda j: reduce(lambda a, b: a + b, [F.get(filled, j + k)["words"] for k in range(n)])
         own = F.when(F.size(filled) >= n, F.sequence(F.lit(0), F.size(filled) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(F.filter(own, lambda j: words(j) >= passage), lambda j: window(j, n))
 
@@ -67,7 +69,7 @@ def _flags(covered: Column, n: Column) -> Column:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, passage: int | None = None) -> DataFrame:
     """(_id, _text, places): the places (j, k) of the windows of each document that stand earlier somewhere."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    named = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_text"), _filled(_lines(text)).alias("filled"))
+    named = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_text"), _filled(_lines(text), passage is not None).alias("filled"))
     windows = named.select("_id", "_text", F.inline(_windows(F.col("filled"), size, passage)))
     place = F.struct("_id", "_text", "j")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
