@@ -37,6 +37,8 @@ DIMS, WINDOW = 32, 2
 TRAIN_ROWS, HIDDEN, EPOCHS = 20_000, 32, 30
 #: Places that a token must stand at to have a context vector; vectors up to which they are sent to the tasks.
 MIN_COUNT, SENT_ROWS = 5, 1_000_000
+#: Bits of a hash by which tokens are told to be frequent where there are more than SENT_ROWS such.
+SLOT_BITS = 26
 #: Tokens whose sums a task holds before it passes them on; (text, token) pairs of a block.
 HELD_ROWS, BLOCK_PAIRS = 150_000, 1_500_000
 
@@ -137,12 +139,26 @@ def _frequent(docs: DataFrame) -> DataFrame:
     return each.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT).select("h")
 
 
-def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
+def _bitmap(frequent: DataFrame) -> np.ndarray:
+    """A bit for each slot of hashes (their first SLOT_BITS bits) that holds a frequent token: 2^(SLOT_BITS - 3) bytes."""
+    slot = F.shiftrightunsigned("h", 64 - SLOT_BITS)
+    words = frequent.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint64)
+
+
+def _in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _contexts(docs: DataFrame, frequent: np.ndarray | None, bits: np.ndarray | None = None) -> DataFrame:
     """(h, v, n): sums of the index vectors around each token and its places, several rows a token, over all rows.
 
-    frequent: the tokens to sum for, where they are few enough to be sent; else all.
+    frequent: the tokens to sum for, where they are few enough to be sent; else those whose slot is set in bits.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, bits))
 
     def told(own: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(own), 20_000):
@@ -150,7 +166,7 @@ def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 20_000]), pa.array(_packed(part[:, :DIMS]), pa.binary()), pa.array(np.ascontiguousarray(part[:, DIMS]))], names=_SUMS.names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, n, known = [np.zeros(0, np.int64)], [np.zeros((0, DIMS + 1), np.int64)], 0, sent.value
+        keys, sums, n, (known, slots) = [np.zeros(0, np.int64)], [np.zeros((0, DIMS + 1), np.int64)], 0, sent.value
         held = np.zeros((0 if known is None else len(known), DIMS + 1), np.int32)
         for b in batches:
             for _, _, data, offsets in textbytes.slices(b.column(0)):
@@ -174,11 +190,14 @@ def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
                         new = np.flatnonzero(np.diff(of[left], prepend=-1))
                         held[place[of[left[new]]]] += np.add.reduceat(around[left], new, axis=0, dtype=np.int32)
                     continue
-                order = np.argsort(of, kind="stable")
-                starts = np.concatenate(([0], np.cumsum(np.bincount(of))[:-1]))
-                keys.append(own)
-                sums.append(np.add.reduceat(around[order], starts, axis=0, dtype=np.int64))
-                n += len(own)
+                left = np.flatnonzero(_in_bitmap(slots, own)[of])
+                if not len(left):
+                    continue
+                left = left[np.argsort(of[left], kind="stable")]
+                new = np.flatnonzero(np.diff(of[left], prepend=-1))
+                keys.append(own[of[left[new]]])
+                sums.append(np.add.reduceat(around[left], new, axis=0, dtype=np.int64))
+                n += len(new)
                 if n > 2 * HELD_ROWS:
                     own, each = _summed(keys, sums)
                     if len(own) > HELD_ROWS:
@@ -196,7 +215,8 @@ def _contexts(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
 def word_vectors(docs: DataFrame) -> DataFrame:
     """(h, v): the unit context vector of every token with MIN_COUNT places, in steps of 1/127.
 
-    The tokens are counted first: what is summed and shuffled after that are the frequent ones alone.
+    The tokens are counted first: what is summed and shuffled after that are the frequent ones, and beyond SENT_ROWS of
+    them those few others that share a slot of 2^SLOT_BITS with one, which are dropped when the sums are whole.
     """
     counted = tables.saved(_frequent(docs), "quality-tokens")
     few = counted.limit(SENT_ROWS + 1).count() <= SENT_ROWS
@@ -221,7 +241,7 @@ def word_vectors(docs: DataFrame) -> DataFrame:
         if len(key):
             yield unit(key, sums)
 
-    return tables.map_arrow(_contexts(docs, frequent).repartition("h").sortWithinPartitions("h"), merged, _VECTOR)
+    return tables.map_arrow(_contexts(docs, frequent, None if few else _bitmap(counted)).repartition("h").sortWithinPartitions("h"), merged, _VECTOR)
 
 
 def pool_texts(texts: pa.Array, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
