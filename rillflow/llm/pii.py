@@ -9,13 +9,14 @@ personal, and so does a spelt address that is a valid base match once its signs
 No feature tells whether the base checks pass, so the trees learn how personal data looks and what stands around it,
 from those that the base can vouch for; what they add are candidates that look like these and that the base cannot
 vouch for (a card with a wrong check digit, a phone without its plus, a wider or a spelt address). A candidate is
-added unless a base span covers all of it but marks at its ends.
+added unless a base span covers all of it but marks at its ends; a number is not added where it touches a base span, as it
+would run that one together with its neighbours, or inside a word of letters and digits. Thresholds hold the lower bound of the share of personal candidates.
 
 Candidates are saved once, and gathered into distinct feature vectors with weights, which a hash deals into
 FOLDS folds. Each is scored by trees that were fit on the others (at most TRAIN_ROWS vectors, a sample by hash), so
 thresholds are calibrated on vectors that the trees had not seen, over all candidates. The trees become SQL expressions, so that
-scoring is one projection of a document's row, without a shuffle. Work grows in proportion to a text's spans: sums
-over them and tests between them go by blocks of BLOCK.
+scoring is one projection of a document's row, without a shuffle. Within a text, sums over spans and tests between them go by
+blocks of BLOCK: a candidate passes over all blocks, so work grows with the square of a text's spans over BLOCK.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; every row is scored on its
 own, so repeated rows and null ids repeat; base spans of different kinds may overlap and all stay; without candidates of
@@ -50,8 +51,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Generators of candidates, with the kind that their spans have.
 GENERATORS = {
-    "mail": ("email", r"[^\s@]{1,64}+@[^\s@]{3,255}+"),
-    "spelt": ("email", r"(?i)[a-z0-9._-]{2,40}+ ?[\[({] ?at ?[\])}] ?[a-z0-9-]{2,40}+ ?[\[({] ?dot ?[\])}] ?[a-z]{2,10}+"),
+    "mail": ("email", r"(?<![^\s@])[^\s@]++@[^\s@]{3,}+"),
+    "spelt": ("email", r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,}+ ?[\[({] ?at ?[\])}] ?[a-z0-9-]{2,}+ ?[\[({] ?dot ?[\])}] ?[a-z]{2,10}+"),
     "number": ("phone", r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"),
 }
 FEATURES = ("generator", "length", "digits", "letters", "marks", "dots", "spaces", "plus", "longest", "groups", "cue", "open", "closed")
@@ -59,8 +60,8 @@ CUES = r"(?i)(mail|contact|write|tel|phone|call|mobile|fax|card|visa|account|ip|
 TRAIN_ROWS, TREES, DEPTH = 20_000, 8, 3
 #: Folds of the feature vectors, and spans of a block.
 FOLDS, BLOCK = 3, 128
-#: Share of personal candidates that those above a threshold must have, and their least number.
-PRECISION, SUPPORT = 0.9, 20
+#: Share of personal candidates that those above a threshold must have, and the normal quantile of its lower bound.
+PRECISION, QUANTILE = 0.8, 1.28
 
 
 def _digits(s: Column) -> Column:
@@ -187,12 +188,14 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for name, (_, pattern) in GENERATORS.items():
         df = _found(df, "_text", f"g_{name}", pattern, needs[name])
 
+    inside = lambda c: c["before"].rlike("[A-Za-z0-9]$") | c["after"].rlike("^[A-Za-z0-9]")  # noqa: E731  a word of letters and digits
+
     def proposed(i: int, name: str) -> Column:
         def one(c: Column) -> Column:
             kind = F.when(~c["hit"].startswith("+") & (F.length(_digits(c["hit"])) >= 13), "card").otherwise("phone") if name == "number" else F.lit(GENERATORS[name][0])
             label = _overlaps(F.col("blocks"), c)
             label = label | _spelt_out(c["hit"]) if name == "spelt" else label
-            return F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), label.alias("label"), _covered(F.col("blocks"), c).alias("covered"))
+            return F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), label.alias("label"), (label | inside(c) if name == "number" else _covered(F.col("blocks"), c)).alias("covered"))
 
         return F.transform(f"g_{name}", one)
 
@@ -227,6 +230,12 @@ def score_of(model: GBTClassificationModel, x: Column) -> Column:
     return 1 / (1 + F.exp(-2 * margin))
 
 
+def lower_bound(good: float, n: float) -> float:
+    """Wilson's lower bound of a share, so that a threshold needs as many candidates as its share's certainty asks for."""
+    p, z = good / n, QUANTILE**2 / n
+    return (p + z / 2 - (z * (p * (1 - p) + z / 4)) ** 0.5) / (1 + z)
+
+
 def train(found: DataFrame):
     """(score of the array x, threshold by generator), or None without candidates of both labels."""
     vectors = found.select(F.explode("proposed").alias("c")).groupBy("c.x", "c.label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
@@ -248,7 +257,7 @@ def train(found: DataFrame):
         best = 2.0
         for r in sorted((r for r in bins if r.generator == i), key=lambda r: -r.bin):
             weight, good = weight + r.weight, good + r.good
-            if good >= max(SUPPORT, PRECISION * weight):
+            if lower_bound(good, weight) >= PRECISION:
                 best = r.bin / 100
         thresholds.append(best)
     return score, thresholds

@@ -62,6 +62,19 @@ def test_pii_adds_candidates_that_look_alike(spark):
     assert pii.redact(docs(spark, ["a b@c.de f"] * 2)).first().text == "a ****** f"
 
 
+def test_pii_numbers_that_are_not_added(spark):
+    good = ["my card 4539148803436467 ok" for i in range(60)]
+    odd = ["card 4539148803436467 4539148803436468 ok", "token = \"aebccd4539148803436468c75\"", "card 4539148803436468 ok", "x" * 100 + "@host.example of all"]
+    rows = {r.doc_id: r for r in pii.find_pii(docs(spark, good + odd)).collect()}
+    added = [[(s["kind"], s["from"], s["to"]) for s in rows[60 + k].spans if s not in rows[60 + k].base] for k in range(4)]
+    assert added[1] == [] and added[2] == [("card", 5, 21)] and added[3] == []
+    assert rows[63].n_email == 1 and all(s["from"] == 0 for s in rows[63].spans)
+
+
+def test_thresholds_ask_for_certainty():
+    assert pii.lower_bound(3, 3) < pii.PRECISION < pii.lower_bound(7, 7) and pii.lower_bound(70, 100) < pii.PRECISION < pii.lower_bound(90, 100)
+
+
 def test_pii_empty_table(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
