@@ -22,11 +22,6 @@ def uint(frame: Column, offset: Column | int, n: int) -> Column:
     return F.conv(F.hex(part(frame, offset, n)), 16, 10).cast("bigint")
 
 
-def v4_mapped(four: Column) -> Column:
-    """Four bytes behind twelve zero bytes."""
-    return F.concat(F.unhex(F.lit("00" * 12)), four)
-
-
 def mac_text(mac: Column) -> Column:
     return F.lower(F.regexp_replace(F.hex(mac), "(..)(?!$)", "$1:"))
 
