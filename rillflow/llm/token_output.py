@@ -35,7 +35,7 @@ from . import tables
 
 BLOCK_BITS = 512
 #: A unit of text up to this many characters is remembered, and so many units at most.
-UNIT_CHARS, CACHED_UNITS = 48, 400_000
+UNIT_CHARS, CACHED_UNITS = 48, 700_000
 _HEAD, _LEVEL = struct.Struct("<4sIB"), struct.Struct("<II")
 
 
@@ -139,6 +139,7 @@ class Encoder:
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # words are remembered here
+        self.most = CACHED_UNITS
         self.known: dict[str, bytes] = {}  # ids of " " + letters, and of " " + other units
         self.marks: dict[str, bytes] = {}  # ids of marks without a space in front
         self.bare: dict[str, bytes] = {}  # ids of letters without a space in front
@@ -181,7 +182,7 @@ class Encoder:
             return ids
         tail = u[len(core) :]
         if tail not in self.marks:
-            if len(self.marks) > CACHED_UNITS // 8:
+            if len(self.marks) > self.most // 8:
                 self.marks.clear()
             self.marks[tail] = self._encode([tail])[0]
         ids += self.marks[tail]
@@ -212,7 +213,7 @@ class Encoder:
             told = self._runs(others)
             fresh.update(told)
             known.update([x for x in told.items() if len(x[0]) <= UNIT_CHARS])
-        for held, most in ((known, CACHED_UNITS), (self.bare, CACHED_UNITS // 8)):
+        for held, most in ((known, self.most), (self.bare, self.most // 8)):
             if len(held) > most:
                 for u in list(itertools.islice(held, len(held) // 2)):
                     del held[u]
@@ -254,14 +255,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.json", end_id: int = 2) -> None:
-    """Writes the table `tokens` of docs to path, in ascending order of ids. vocab: a name in the public set, or a path."""
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.json", end_id: int = 2, units: int = CACHED_UNITS) -> None:
+    """Writes the table `tokens` of docs to path, in ascending order of ids. vocab: a name in the public set, or a path.
+
+    units: units of text that a worker remembers; fewer take less memory and more time.
+    """
     ordered = docs.select(docs[id_col].alias(id_col), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     ordered = ordered.repartitionByRange(F.col(id_col)).sortWithinPartitions(F.col(id_col), "_text")
     schema = T.StructType([ordered.schema[0], T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("codes", T.BinaryType())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocab if "/" in vocab else vocabulary(vocab))
+        encode.most = units
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
