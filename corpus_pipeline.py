@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from rillflow.llm import decontaminate, mixing, ngram_join, quality, tables, token_output
 
 
+#: Units that the token output remembers: a worker still holds what earlier stages left in its process.
+REMEMBERED_UNITS = 400_000
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
@@ -41,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     path = tables.new_path(spark, "tokens")
-    token_output.write_tokens(docs, path)
+    token_output.write_tokens(docs, path, units=REMEMBERED_UNITS)
     return token_output.token_digests(spark, path)
 
 
