@@ -15,8 +15,8 @@ would run that one together with its neighbours, or inside a word of letters and
 Candidates are saved once, and gathered into distinct feature vectors with weights, which a hash deals into
 FOLDS folds. Each is scored by trees that were fit on the others (at most TRAIN_ROWS vectors, a sample by hash), so
 thresholds are calibrated on vectors that the trees had not seen, over all candidates. The trees become SQL expressions, so that
-scoring is one projection of a document's row, without a shuffle. Within a text, sums over spans and tests between them go by
-blocks of BLOCK: a candidate passes over all blocks, so work grows with the square of a text's spans over BLOCK.
+scoring is one projection of a document's row, without a shuffle. Within a text, places are sums by blocks of BLOCK matches,
+and a candidate finds the base spans at its place by binary search in each kind's spans, which are in order.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; every row is scored on its
 own, so repeated rows and null ids repeat; base spans of different kinds may overlap and all stay; without candidates of
@@ -97,46 +97,51 @@ def _found(df: DataFrame, text: str, name: str, pattern: str, needs: Column) ->
     some = F.size("hits") > 0
     df = df.withColumn("pieces", F.when(some, F.split(F.col(text), pattern, -1)).otherwise(F.array().cast("array<string>")))
     # where each match begins: the lengths of the blocks before its own, and those within it
-    df = df.withColumn("lengths", F.transform("hits", lambda h, i: F.length(F.get("pieces", i)) + F.length(h)))
+    lengths = F.transform("hits", lambda h, i: F.length(F.get("pieces", i)) + F.length(h))
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
     blocks = F.when(some, F.sequence(F.lit(0), F.floor((F.size("hits") - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("sums", F.transform(blocks, lambda k: total(F.slice("lengths", k * BLOCK + 1, BLOCK))))
-    df = df.withColumn("before", F.transform("sums", lambda x, k: total(F.slice("sums", F.lit(1), k))))
 
-    def start_of(i: Column) -> Column:
+    def told(h: Column, i: Column, lengths: Column, before: Column) -> Column:
         k = F.floor(i / BLOCK).cast("int")
-        return F.get("before", k) + total(F.slice("lengths", k * BLOCK + 1, i - k * BLOCK)) + F.length(F.get("pieces", i))
+        start = F.get(before, k) + total(F.slice(lengths, k * BLOCK + 1, i - k * BLOCK)) + F.length(F.get("pieces", i))
+        after = F.left(F.get("pieces", i + 1), F.lit(1))
+        fields = lambda s: F.struct(s.alias("from"), (s + F.length(h)).alias("to"), h.alias("hit"), F.right(F.get("pieces", i), F.lit(24)).alias("before"), after.alias("after"))
+        return _with(start, fields)
 
-    df = df.withColumn("starts", F.transform("hits", lambda h, i: start_of(i)))
+    def placed(lengths: Column) -> Column:
+        sums = F.transform(blocks, lambda k: total(F.slice(lengths, k * BLOCK + 1, BLOCK)))
+        before = _with(sums, lambda sums: F.transform(sums, lambda x, k: total(F.slice(sums, F.lit(1), k))))
+        return _with(before, lambda before: F.transform("hits", lambda h, i: told(h, i, lengths, before)))
 
-    def told(h: Column, i: Column) -> Column:
-        start, after = F.get("starts", i), F.get("pieces", i + 1)
-        return F.struct(start.alias("from"), (start + F.length(h)).alias("to"), h.alias("hit"), F.right(F.get("pieces", i), F.lit(24)).alias("before"), F.left(after, F.lit(1)).alias("after"))
+    return df.withColumn(name, _with(lengths, placed)).drop("hits", "pieces")
 
-    return df.withColumn(name, F.transform("hits", told)).drop("hits", "pieces", "lengths", "sums", "before", "starts")
 
+def _with(value: Column, told: Callable[[Column], Column]) -> Column:
+    """told(value), with the value computed once, also where a lambda reads it for each element."""
+    return F.get(F.transform(F.array(value), told), F.lit(0))
 
-def _blocks(spans: Column) -> Column:
-    """Spans by block, with the reach of each block, so that a test against all of them passes over most."""
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda k: F.slice(spans, k * BLOCK + 1, BLOCK))
-    told = F.transform(parts, lambda p: F.struct(F.array_min(F.transform(p, lambda s: s["from"])).alias("from"), F.array_max(F.transform(p, lambda s: s["to"])).alias("to"), p.alias("spans")))
-    return F.when(F.size(spans) > 0, told).otherwise(F.slice(told, 1, 0))
 
+def _searchable(spans: Column) -> Column:
+    """Spans that are in order and do not overlap, with the steps of a binary search over them."""
+    return F.struct(spans.alias("spans"), F.filter(F.array(*[F.lit(2**i) for i in range(28, -1, -1)]), lambda s: s <= F.size(spans)).alias("steps"))
 
-def _any(blocks: Column, test: Callable[[Column], Column]) -> Column:
-    """Whether any span passes a test that its block passes as well."""
-    return F.exists(blocks, lambda b: test(b) & F.exists(b["spans"], test))
 
+def _last_before(kind: Column, place: Column) -> Column:
+    """The last span of a kind that starts before a place; null if none does."""
+    count = F.aggregate(kind["steps"], F.lit(0), lambda n, step: F.when(F.get(kind["spans"], n + step - 1)["from"] < place, n + step).otherwise(n))
+    return F.get(kind["spans"], count - 1)
 
-def _overlaps(blocks: Column, c: Column) -> Column:
-    return _any(blocks, lambda b: (b["from"] < c["to"]) & (b["to"] > c["from"]))
 
+def _overlaps(by_kind: Column, c: Column) -> Column:
+    """Whether a span of any kind overlaps a candidate."""
+    return F.exists(by_kind, lambda k: F.coalesce(_last_before(k, c["to"])["to"] > c["from"], F.lit(False)))
 
-def _covered(blocks: Column, c: Column) -> Column:
+
+def _covered(by_kind: Column, c: Column) -> Column:
     """Whether one span holds all of a candidate but marks at its ends."""
     start = c["to"] - F.length(F.regexp_replace(c["hit"], r"^[^\p{L}\p{N}]+", ""))
     end = c["from"] + F.length(F.regexp_replace(c["hit"], r"[^\p{L}\p{N}]++$", ""))
-    return _any(blocks, lambda b: (b["from"] <= start) & (b["to"] >= end))
+    return _with(F.struct(start.alias("from"), end.alias("to")), lambda m: F.exists(by_kind, lambda k: F.coalesce(_last_before(k, m["from"] + 1)["to"] >= m["to"], F.lit(False))))
 
 
 def _spelt_out(hit: Column) -> Column:
@@ -182,8 +187,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     for kind, pattern in BASE.items():
         df = _found(df, "_text", f"m_{kind}", pattern, F.lit(True) if NEEDS[kind] is None else F.contains("_text", F.lit(NEEDS[kind])))
-    base = [_valid_spans(k) for k in KINDS]
-    df = df.select("_id", "_text", F.concat(*base).alias("base")).withColumn("blocks", _blocks(F.col("base")))
+        df = df.withColumn(f"m_{kind}", _valid_spans(kind))
+    base = [F.col(f"m_{k}") for k in KINDS]
+    by_kind = F.filter(F.array(*[_searchable(b) for b in base]), lambda k: F.size(k["spans"]) > 0)
+    df = df.select("_id", "_text", F.concat(*base).alias("base"), by_kind.alias("by_kind"))
     needs = {"mail": F.contains("_text", F.lit("@")), "spelt": F.col("_text").rlike(r"(?i)[\[({] ?at ?[\])}]"), "number": F.lit(True)}
     for name, (_, pattern) in GENERATORS.items():
         df = _found(df, "_text", f"g_{name}", pattern, needs[name])
@@ -193,9 +200,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def proposed(i: int, name: str) -> Column:
         def one(c: Column) -> Column:
             kind = F.when(~c["hit"].startswith("+") & (F.length(_digits(c["hit"])) >= 13), "card").otherwise("phone") if name == "number" else F.lit(GENERATORS[name][0])
-            label = _overlaps(F.col("blocks"), c)
+            label = _overlaps(F.col("by_kind"), c)
             label = label | _spelt_out(c["hit"]) if name == "spelt" else label
-            return F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), label.alias("label"), (label | inside(c) if name == "number" else _covered(F.col("blocks"), c)).alias("covered"))
+            covered = (lambda label: label | inside(c)) if name == "number" else (lambda label: _covered(F.col("by_kind"), c))
+            fields = lambda label: F.struct(kind.alias("kind"), c["from"].alias("from"), c["to"].alias("to"), _features(i, c).alias("x"), label.alias("label"), covered(label).alias("covered"))
+            return _with(label, fields)
 
         return F.transform(f"g_{name}", one)
 
@@ -272,7 +281,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         score, thresholds = learnt
         least = F.array(*map(F.lit, thresholds))
         chosen = F.filter("proposed", lambda c: ~c["covered"] & (score(c["x"]) >= F.get(least, F.get(c["x"], F.lit(0)))))
-        added = F.array_distinct(F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["from"].alias("from"), c["to"].alias("to"))))
+        added = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["from"].alias("from"), c["to"].alias("to")))  # those of one kind differ: only mail holds '@'
     told = found.select("_id", "base", added.alias("added"))
     every = F.concat(*[F.array_sort(_of_kind(F.concat("base", "added"), k)) for k in KINDS])
     counts = [F.size(_of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS]

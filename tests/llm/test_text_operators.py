@@ -312,6 +312,25 @@ def test_pii_of_many_spans_and_odd_rows(spark):
     assert by_id[3].base == by_id[4].base == []
 
 
+def test_pii_candidates_meet_the_base_spans_at_their_place(spark):
+    r = random.Random(8)
+    parts = ["x@b.co", "jö.a@b.co", "10.0.0.7", "4111 1111 1111 1111", "4111 1111 1111 1112", "+1 555 010 0199", "555-010-0199", "a@@b", "7", "word", "u.v [at] w [dot] org"]
+    texts = ["", "word", *[" ".join(r.choice(parts) for _ in range(n)) for n in (1, 2, 3, 40, 700)]]
+    got = pii.candidates(docs(spark, texts), "doc_id", "text").collect()
+    assert sum(len(g.proposed) for g in got) > 250
+    for g in got:
+        for c in g.proposed:
+            meets = any(s["from"] < c["to"] and s["to"] > c["from"] for s in g.base)
+            assert c["label"] == (meets or c["x"][0] == 1)  # every spelt address here is one with its signs put in
+            if c["x"][0] == 2 and meets:
+                assert c["covered"]
+            if c["x"][0] == 0:
+                hit = texts[g["_id"]][c["from"] : c["to"]]
+                held = [i for i, letter in enumerate(hit) if letter.isalnum()]
+                first, last = c["from"] + held[0], c["from"] + held[-1] + 1
+                assert c["covered"] == any(s["from"] <= first and s["to"] >= last for s in g.base)
+
+
 def test_pii_scores_are_those_of_the_trees(spark):
     from pyspark.ml.feature import VectorAssembler
 
