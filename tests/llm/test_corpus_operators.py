@@ -147,7 +147,10 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_decontaminate(spark):
+@pytest.mark.parametrize(("most", "cell"), [(2_000_000, 1000), (50, 1000), (50, 2)])  # items that are sent, joined, and joined by many cells
+def test_decontaminate(spark, monkeypatch, most, cell):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
+    monkeypatch.setattr(decontaminate, "CELL_ROWS", cell)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
     items = [" ".join(word() for _ in range(r.randint(5, 40))) for _ in range(30)] + ["tiny one", None, "", "..."]
@@ -183,6 +186,19 @@ def test_decontaminate(spark):
     assert decontaminate.contained_items(docs.limit(0), items_df).count() == 0
 
 
+def test_decontaminate_joins_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 6)
+    monkeypatch.setattr(tables, "HOT_ROWS", 4)
+    monkeypatch.setattr(tables, "HOT_KEYS", 10)
+    items = spark.createDataFrame([(i % 3 or None, "one two three four five six" if i % 4 else "aa bb") for i in range(20)], "item_id int, text string")
+    docs = spark.createDataFrame([(d, "x One two, three four five six y" if i % 2 else "aa bb") for i, d in enumerate([None, 1, 1, 2, None, 3] * 5)], "doc_id int, text string")
+    got = [tuple(x) for x in decontaminate.contained_items(docs, items).collect()]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 2_000_000)
+    want = [tuple(x) for x in decontaminate.contained_items(docs, items).collect()]
+    assert len(want) == 15 * 15 + 15 * 5 and sorted(map(str, got)) == sorted(map(str, want))
+    assert decontaminate.decontaminate(docs, items).count() == 0
+
+
 def test_decontaminate_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 6)
     items = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i} q{i} r{i}") for i in range(5)], "item_id long, text string")
