@@ -14,13 +14,13 @@ probability in both classes, or that of its stem. Plain class counts in the same
 document has few words that tell, and hundreds that differ a little.
 
 A document's value is the difference of the length-normalised log-likelihoods: a sum, over its words, of what
-stems, words and pairs add (most add nothing). A logistic curve makes it a probability; it is fit on documents
-that the models scored had not seen (two folds).
+stems, words and pairs add (most add nothing). A logistic curve makes it a probability; it is fit on all training
+documents, scored by models that had not seen them (two folds). Their values are gathered in cells a thousandth wide, of
+which rows, toxic rows and the mean enter.
 
-The class models are fit on at most TRAIN_ROWS labelled rows, dealt by a hash of the id, and P0 counts all
-documents in a table that grows with the vocabulary. Words are 64-bit hashes. What expressions add is sent
-to the tasks if a count proves it to be at most SENT_ROWS rows, and joined beyond that; it is held in whole
-millionths, so that both ways give the same sums.
+The class models count all labelled rows to learn from, and P0 counts all documents, in tables that grow with the
+vocabulary. Words are 64-bit hashes. What expressions add is sent to the tasks if a count proves it to be at most
+SENT_ROWS rows, and joined beyond that; it is held in whole millionths, so that both ways give the same sums.
 
 Defined results: a null text is empty; an empty text has the score of the curve at zero; every row is scored on its
 own, so repeated rows repeat; rows that repeat a labelled id are learnt from as one (the smallest text), and of
@@ -36,7 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,10 @@ from . import tables, textbytes
 Z_STEM, Z_WORD, Z_PAIR, MARGIN, PAD, STEM = 3.0, 3.0, 4.0, 3.0, 0.5, 6
 #: Power of the number of words that a sum is divided by (the noise of a sum of n words grows so), and words added to it.
 POWER, LENGTH_PRIOR = 0.5, 10
-TRAIN_ROWS = 20_000
+#: Cells of values for a factor of e, and the value below which they are even: some 10,000 for any length of text.
+CELLS, CELL_FROM = 1_000, 1e-3
 #: Rows up to which what expressions add is sent to the tasks; counted rows that a task holds before it passes them on.
-SENT_ROWS, HELD_ROWS = 1_000_000, 500_000
+SENT_ROWS, HELD_ROWS = 1_000_000, 1_000_000
 _GAPS = ~textbytes.LETTER
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CLASSES = ("t0", "t1", "o0", "o1")
@@ -81,17 +82,30 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counted(rows: DataFrame, names: tuple[str, ...], told) -> DataFrame:
-    """rows (text, group) -> sums by the first columns of names; told gives (keys, counts) of a slice of words."""
+    """rows (text, group) -> sums by the first columns of names; told gives (keys, counts) of a slice of words.
+
+    The counts of a row are shuffled in one number, a count that exceeds its bits in several rows.
+    """
     n_keys = sum(n in ("s", "u", "v") for n in names)
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
+    keys_of, counts_of = names[:n_keys], names[n_keys:]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in (*keys_of, "packed")])
+    bits = 63 // len(counts_of)
+    most, at = (1 << bits) - 1, np.arange(len(counts_of)) * bits
 
     def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(keys), 50_000):
-            both = [keys[k : k + 50_000].view(np.int64), counts[k : k + 50_000].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for b in both for c in b.T], names=schema.names)
+        counts = counts.astype(np.int64)
+        while len(keys):
+            part = np.minimum(counts, most)
+            packed = (part << at).sum(1)
+            for k in range(0, len(keys), 50_000):
+                own = keys[k : k + 50_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in own.T], pa.array(packed[k : k + 50_000])], names=schema.names)
+            counts = counts - part
+            more = counts.any(1)
+            keys, counts = keys[more], counts[more]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros((0, n_keys), np.uint64), np.zeros((0, len(names) - n_keys), np.int32))
+        none = (np.zeros((0, n_keys), np.uint64), np.zeros((0, len(counts_of)), np.int32))
         keys, counts, n = [none[0]], [none[1]], 0
         for b in batches:
             group = np.array([-1 if g is None else g for g in b.column(1).to_pylist()], np.int64)
@@ -108,8 +122,9 @@ def _counted(rows: DataFrame, names: tuple[str, ...], told) -> DataFrame:
                     keys, counts, n = [own], [sums], len(own)
         yield from out(*_summed(keys, counts))
 
-    each = tables.map_arrow(rows.select("text", "group"), counted, schema)
-    return each.groupBy(*names[:n_keys]).agg(*[F.sum(n).alias(n) for n in names[n_keys:]])
+    each = tables.map_arrow(rows.select("text", "group"), counted, schema).repartition(*keys_of)
+    count = lambda k: F.shiftright("packed", k * bits).bitwiseAND(F.lit(most))
+    return each.groupBy(*keys_of).agg(*[F.sum(count(k)).alias(n) for k, n in enumerate(counts_of)])
 
 
 def _distinct(rows: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -185,53 +200,86 @@ def _ratios(z: float, share: float, below_t: Column, below_o: Column) -> tuple[C
     return (kept + PAD) / (mean + PAD), (pool - kept + PAD) / (pool - mean + PAD)
 
 
-def _discount(counts: DataFrame, name: str) -> float:
+def _discount(n1: float | None, n2: float | None) -> float:
     """n1 / (n1 + 2 n2), from the counts of counts; at least 0.1 and at most 0.95."""
-    n1, n2 = F.sum((F.col(name) == 1).cast("double")), F.sum((F.col(name) == 2).cast("double"))
-    row = counts.agg((n1 / F.greatest(n1 + 2 * n2, F.lit(1.0))).alias("d")).first()
-    return float(np.clip(row.d or 0.5, 0.1, 0.95))
+    n1, n2 = n1 or 0.0, n2 or 0.0
+    return float(np.clip(n1 / max(n1 + 2 * n2, 1.0) or 0.5, 0.1, 0.95))
+
+
+_FOLDS = {0: (1,), 1: (0,), 2: (0, 1)}
+
+
+def _both(name: str, use: int) -> Column:
+    """The sum of a count over the folds that use learns from."""
+    return reduce(lambda a, b: a + b, [F.col(f"{name}{f}") for f in _FOLDS[use]]).cast("double")
 
 
-def additions(corpus: DataFrame, stems: DataFrame, words: DataFrame, pairs: DataFrame, use: int) -> DataFrame:
+def _times(x: Column, k: int) -> Column:
+    return F.sum((x == k).cast("double"))
+
+
+def pair_sums(pairs: DataFrame) -> tuple[DataFrame, DataFrame, Row]:
+    """Of each use k, in one pass each: (v, ck) the words before v; (u, nuk, kindsk) what follows u; the sums of all pairs."""
+    has = {k: (_both("n", k) > 0).cast("double") for k in _FOLDS}
+    next_to = pairs.groupBy("v").agg(*[F.sum(has[k]).alias(f"c{k}") for k in _FOLDS])
+    after = pairs.groupBy("u").agg(*[x for k in _FOLDS for x in (F.sum(_both("n", k)).alias(f"nu{k}"), F.sum(has[k]).alias(f"kinds{k}"))])
+    sums = [x for k in _FOLDS for x in (*[F.sum(_both(c, k) * has[k]).alias(f"{c}{k}") for c in "to"], *[_times(_both("n", k), i).alias(f"once{k}" if i == 1 else f"twice{k}") for i in (1, 2)])]
+    return tables.saved(next_to, "toxic-continuations"), tables.saved(after, "toxic-after"), pairs.agg(*sums).first()
+
+
+def additions(corpus: DataFrame, stems: DataFrame, words: DataFrame, pairs: DataFrame, use: int, summed: tuple[DataFrame, DataFrame, Row] | None = None) -> DataFrame:
     """(use, u, v, lift) in whole millionths: what an expression adds to log P(toxic) - log P(ordinary).
 
-    u is 0 for stems and words. use: 0 and 1 learn from the other fold alone, 2 from both.
+    u is 0 for stems and words. use: 0 and 1 learn from the other fold alone, 2 from both. summed: pair_sums of the pairs.
+    Expressions that do not deviate have ratios of exactly 1 and add nothing, so only the others are joined.
     """
-    folds = {0: (1,), 1: (0,), 2: (0, 1)}[use]
-    both = lambda name: reduce(lambda a, b: a + b, [F.col(f"{name}{f}") for f in folds]).cast("double").alias(name)
+    both = lambda name: _both(name, use).alias(name)
     sh, w = stems.select("s", both("t"), both("o")), words.select("s", "v", both("t"), both("o"))
     p = pairs.select("u", "v", both("t"), both("o"), both("n")).where("n > 0")
-    share = lambda df: (lambda x: (x.t or 0.0) / max((x.t or 0.0) + (x.o or 0.0), 1.0))(df.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first())
-    of_stem, of_word, of_pair = share(sh), share(w), share(p)
+    of = lambda t, o: (t or 0.0) / max((t or 0.0) + (o or 0.0), 1.0)
+    share = lambda df: of(*df.agg(F.sum("t"), F.sum("o")).first())
+    of_stem, of_word = share(sh), share(w)
     if not 0 < of_stem < 1:
         return corpus.sparkSession.createDataFrame([], _LIFTS)
+    next_to, after, sums = summed or pair_sums(pairs)
+    next_to = next_to.select("v", F.col(f"c{use}").alias("c")).where("c > 0")
+    after = after.select("u", F.col(f"nu{use}").alias("nu"), F.col(f"kinds{use}").alias("kinds"))
+    of_pair, d2 = of(sums[f"t{use}"], sums[f"o{use}"]), _discount(sums[f"once{use}"], sums[f"twice{use}"])
     every = corpus.agg(F.sum("every").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
-    next_to = tables.saved(p.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("c")), "toxic-continuations")
-    after = p.groupBy("u").agg(F.sum("n").alias("nu"), F.count(F.lit(1)).cast("double").alias("kinds"))
-    d1, d2 = _discount(next_to, "c"), _discount(p, "n")
-    total = next_to.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds")).first()
+    total = next_to.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"), _times(F.col("c"), 1).alias("once"), _times(F.col("c"), 2).alias("twice")).first()
+    d1 = _discount(total.once, total.twice)
     millionths = lambda x: F.round(x * 1e6).cast("long").alias("lift")
     zero = F.lit(0).cast("long").alias("u")
+    one = lambda *names: [F.coalesce(n, F.lit(1.0)).alias(n) for n in names]
 
     st, so = _ratios(Z_STEM, of_stem, F.lit(1.0), F.lit(1.0))
-    sh = sh.where("t + o > 0").select("s", st.alias("st"), so.alias("so"))
+    sh = tables.saved(sh.where("t + o > 0").select("s", st.alias("st"), so.alias("so")).where("st <> 1 or so <> 1"), "toxic-stems")
     of_stems = sh.select(F.lit(use).alias("use"), zero, F.col("s").alias("v"), millionths(F.log(F.col("st") / F.col("so"))))
 
     wt, wo = _ratios(Z_WORD, of_word, F.col("st"), F.col("so"))
-    known = w.where("t + o > 0").join(sh, "s").select("v", "st", "so", (wt * F.col("st")).alias("rt"), (wo * F.col("so")).alias("ro"))
-    known = known.join(next_to, "v", "left").join(corpus, "v", "left")
+    w = w.where("t + o > 0").join(tables.small(sh, SENT_ROWS), "s", "left").select("v", "t", "o", *one("st", "so"))
+    odd = w.select("v", "st", "so", (wt * F.col("st")).alias("rt"), (wo * F.col("so")).alias("ro")).where("st <> 1 or so <> 1 or rt <> 1 or ro <> 1")
+    odd = tables.saved(odd, "toxic-words")
+
+    # of the pairs, only those matter whose word or whose own documents deviate
+    marked = odd.where("rt <> 1 or ro <> 1").select("v", "rt", "ro")
+    r = p.join(tables.small(marked, SENT_ROWS), "v", "left").select("u", "v", "t", "o", "n", *one("rt", "ro"))
+    bt, bo = _ratios(Z_PAIR, of_pair, F.col("rt"), F.col("ro"))
+    r = r.select("*", bt.alias("bt"), bo.alias("bo")).where("rt <> 1 or ro <> 1 or abs(bt - 1) > 1e-9")
+    r = tables.saved(r, "toxic-pairs")
+
+    ratios = ("st", "so", "rt", "ro")
+    known = tables.saved(r.select("v").distinct().join(odd, "v", "full").select("v", *one(*ratios)), "toxic-known")
+    held = tables.small(known.select("v"), SENT_ROWS)
+    known = known.join(next_to.join(held, "v", "left_semi"), "v", "left").join(corpus.join(held, "v", "left_semi"), "v", "left")
     p0 = (F.coalesce("every", F.lit(0)) + 1) / float((every.n or 0) + (every.kinds or 0) + 1)
     lower = lambda r, s: (F.greatest(F.coalesce("c", F.lit(0.0)) * F.col(r) - d1, F.lit(0.0)) + d1 * float(total.kinds or 1) * p0 * F.col(s)) / float(total.c or 1)
-    known = known.select("v", "st", "so", "rt", "ro", lower("rt", "st").alias("pt"), lower("ro", "so").alias("po"))
+    known = known.select("v", "st", "so", lower("rt", "st").alias("pt"), lower("ro", "so").alias("po"))
     known = tables.saved(known.withColumn("own", F.log(F.col("pt") / F.col("po"))), "toxic-words")
     of_words = known.select(F.lit(use).alias("use"), zero, "v", millionths(F.col("own") - F.log(F.col("st") / F.col("so"))))
 
-    # of the pairs, only those matter whose word or whose own documents deviate
-    marked = known.where("rt <> 1 or ro <> 1").select(F.col("v").alias("marked"), F.col("rt").alias("mt"), F.col("ro").alias("mo"))
-    r = p.join(tables.small(marked, SENT_ROWS), F.col("v") == F.col("marked"), "left").select("u", "v", "t", "o", "n", F.coalesce("mt", F.lit(1.0)).alias("rt"), F.coalesce("mo", F.lit(1.0)).alias("ro"))
-    bt, bo = _ratios(Z_PAIR, of_pair, F.col("rt"), F.col("ro"))
-    r = r.select("*", bt.alias("bt"), bo.alias("bo")).where("rt <> 1 or ro <> 1 or abs(bt - 1) > 1e-9")
-    r = r.join(after, "u").join(known.select("v", "pt", "po", "own"), "v")
+    heads = tables.small(r.select("u").distinct(), SENT_ROWS)
+    r = r.join(after.join(heads, "u", "left_semi"), "u").join(known.select("v", "pt", "po", "own"), "v")
     higher = lambda a, b, low: (F.greatest(F.col("n") * F.col(a) * F.col(b) - d2, F.lit(0.0)) + d2 * F.col("kinds") * F.col(low)) / F.col("nu")
     more = F.log(higher("rt", "bt", "pt") / higher("ro", "bo", "po")) - F.col("own")
     of_pairs = r.select(F.lit(use).alias("use"), "u", "v", millionths(more))
@@ -308,29 +356,52 @@ def _joined_values(source: DataFrame, lifts: DataFrame, keep: list[str]) -> Data
     return named.join(sums, ["k1", "k2", "use"], "left").select(*keep, value.alias("value"))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton steps with a small ridge."""
+def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve, by Newton steps with a small ridge. y of n rows at x are toxic."""
     scale = max(float(np.abs(x).max(initial=0)), 1e-9)
     a = np.stack([x / scale, np.ones(len(x))], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve((a.T * (n * p * (1 - p))) @ a + 1e-3 * np.eye(2), a.T @ (y - n * p) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return max(float(w[0] / scale), 0.0), float(w[1])
 
 
+def _cells(values: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mean value, toxic rows and rows of each cell of values (label, value); sums are whole, so reruns agree."""
+    cell = F.round(F.signum("value") * F.asinh(F.abs("value") / CELL_FROM) * CELLS).cast("long")
+    sums = [F.sum(F.round(F.col("value") * 1e9).cast("decimal(28,0)")).cast("double").alias("x"), F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")]
+    got = values.groupBy(cell.alias("cell")).agg(*sums).orderBy("cell").toPandas()
+    n = got["n"].to_numpy(float)
+    return got["x"].to_numpy(float) / 1e9 / np.maximum(n, 1), got["y"].to_numpy(float), n
+
+
+def _training(named: DataFrame, told: DataFrame) -> DataFrame:
+    """(_id, text, label, fold) of the rows of told (_of, label, fold) that have a text; of rows of one id the smallest text.
+
+    Where told is small enough to be sent and no id repeats, texts are neither shuffled nor written.
+    """
+    sent = told.limit(tables.BROADCAST_ROWS + 1).count() <= tables.BROADCAST_ROWS
+    own = F.broadcast(told) if sent else told
+    seen = named.join(own, F.col("_id") == F.col("_of")).select("_id", "text", "label", "fold")
+    ids = named.select("_id").join(own, F.col("_id") == F.col("_of"), "left_semi")
+    again = tables.saved(ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "toxic-repeated")
+    if not again.limit(1).count():
+        return seen if sent else tables.saved(seen, "toxic-training")
+    again = tables.small(again)
+    least = seen.join(again, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("text", "label", "fold")).alias("x")).select("_id", "x.*")
+    return tables.saved(seen.join(again, "_id", "left_anti").unionByName(least), "toxic-training")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, score (double, 0 to 1) for every row of docs. train: a condition on id_col for rows to learn from."""
     told = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).cast("int").alias("label"))
-    told = told.withColumn("fold", F.pmod(F.xxhash64("_of"), F.lit(2)).cast("int")).orderBy(F.xxhash64(F.lit(7), "_of"), "_of").limit(TRAIN_ROWS)
-    told = tables.saved(told, "toxic-labels")
+    told = tables.saved(told.withColumn("fold", F.pmod(F.xxhash64("_of"), F.lit(2)).cast("int")), "toxic-labels")
     named = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
-    seen = named.join(F.broadcast(told), F.col("_id") == F.col("_of"))
-    seen = seen.groupBy("_id").agg(F.min(F.struct("text", "label", "fold")).alias("x")).select("_id", "x.*")
-    seen = tables.saved(seen, "toxic-training")  # at most TRAIN_ROWS documents
+    seen = _training(docs.where(train).select(docs[id_col].alias("_id"), docs[text_col].alias("text")), told)
     group = (1 - F.col("label")) * 2 + F.col("fold")  # t0, t1, o0, o1
     share = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")).first()
     model = share.n and 0 < (share.t or 0) < share.n
@@ -339,10 +410,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
         corpus = tables.saved(corpus_counts(named.withColumn("group", F.lit(None).cast("int"))), "toxic-corpus")
         marked = seen.select("text", group.alias("group"))
         counts = [corpus, *[tables.saved(f(marked), "toxic-counts") for f in (stem_counts, word_counts, pair_counts)]]
-        unseen = reduce(DataFrame.unionByName, [additions(*counts, f) for f in (0, 1)])
-        got = _values(seen.withColumn("use", F.col("fold")), unseen, ["label", "_id"]).toPandas().sort_values("_id")
-        slope, cut = fit_curve(got["value"].to_numpy(), got["label"].to_numpy(float))
-        lifts = additions(*counts, 2)
+        summed = pair_sums(counts[-1])
+        unseen = reduce(DataFrame.unionByName, [additions(*counts, f, summed) for f in (0, 1)])
+        slope, cut = fit_curve(*_cells(_values(seen.withColumn("use", F.col("fold")), unseen, ["label"])))
+        lifts = additions(*counts, 2, summed)
     else:
         p = (share.t or 0) / share.n if share.n else 0.0
         cut = float(np.log(max(p, 1e-6) / max(1 - p, 1e-6)))

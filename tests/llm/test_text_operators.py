@@ -447,3 +447,42 @@ def test_held_out_accuracy(spark, name, label, size, least):
     good, bad = ([s for s, y in told if y == k] for k in (1, 0))
     ranks = np.searchsorted(np.sort(bad), good, "left") + np.searchsorted(np.sort(bad), good, "right")
     assert ranks.sum() / 2 / (len(good) * len(bad)) >= least
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    n, seen = 21_000, []
+    rows = docs(spark, [f"plain word{i % 50} {'vilek' if i % 20 == 3 else 'calm'}" for i in range(n)])
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 20 == 3).cast("int").alias("toxic"))
+    counts = toxicity.stem_counts
+    monkeypatch.setattr(toxicity, "stem_counts", lambda marked: seen.append(marked.count()) or counts(marked))
+    cells = toxicity._cells
+    monkeypatch.setattr(toxicity, "_cells", lambda values: seen.append(int(cells(values)[2].sum())) or cells(values))
+    got = toxicity.score_toxicity(rows, labels, F.lit(True)).groupBy((F.col("doc_id") % 20 == 3).alias("t")).agg(F.min("score").alias("a"), F.max("score").alias("b")).collect()
+    assert seen == [n, n]
+    assert next(r.a for r in got if r.t) > 0.7 > next(r.b for r in got if not r.t)
+
+
+def test_toxicity_takes_the_smallest_text_of_a_repeated_id(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (None, "d"), (4, "e")], "_id long, text string")
+    told = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "_of long, label int, fold int")
+    for most in (100_000, 0):  # sent, and joined
+        monkeypatch.setattr(toxicity.tables, "BROADCAST_ROWS", most)
+        for df, text in ((rows, "a"), (rows.where("text is null or text <> 'b'"), "a")):
+            got = sorted(map(tuple, toxicity._training(df, told).select("_id", "text", "label", "fold").collect()))
+            assert got == [(1, text, 1, 0), (2, "c", 0, 1), (3, None, 0, 0)]
+
+
+def test_toxicity_counts_beyond_the_bits_of_a_row(spark):
+    rows = spark.createDataFrame([("go away " * 3000, 0), ("away go", 3)], "`text` string, `group` int")
+    got = {(r.n0, r.n1, r.t0, r.t1, r.o0, r.o1) for r in toxicity.pair_counts(rows).collect()}
+    assert got == {(3000, 0, 1, 0, 0, 0), (2999, 1, 1, 0, 0, 1)}
+
+
+def test_toxicity_curve_on_cells_is_that_of_the_rows(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([np.zeros(300), r.normal(0, 1, 4000), r.normal(2, 3, 700), [900.0]])
+    y = (r.random(len(x)) < 1 / (1 + np.exp(2 - 1.5 * x))).astype(int)
+    values = spark.createDataFrame([*zip(y.tolist(), x.tolist(), strict=True)], "label int, value double")
+    mean, toxic, n = toxicity._cells(values)
+    assert n.sum() == len(x) and toxic.sum() == y.sum()
+    assert toxicity.fit_curve(mean, toxic, n) == pytest.approx(toxicity.fit_curve(x, y.astype(float)), rel=1e-4)
