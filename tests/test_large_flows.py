@@ -119,3 +119,19 @@ def test_the_estimate_goes_on_over_batches():
         assert got == dict(enumerate(p2_medians([*series.values()]).tolist()))
     state = P2()
     assert state.median() == 0.0 == p2_medians([np.zeros(0)])[0]
+
+
+def test_tasks_grow_with_the_packets(spark, monkeypatch):
+    """Each of the windows' tasks holds about as many packets, however many there are, and rows stay the same."""
+    df = frame(spark, edge_packets())
+    few = ["Tot_Pay", "Bwd_IAT"]
+    want = features.flow_features(df, names=few)
+    want.collect()
+    monkeypatch.setattr(segment, "FEW_PACKETS", 30)
+    monkeypatch.setattr(segment, "TASK_PACKETS", 100)
+    n = df.count()
+    got = features.flow_features(df, names=few)
+    assert got.rdd.getNumPartitions() == features.prepared(df).rdd.getNumPartitions() == -(-n // 100) > 4
+    plan = features.flow_features(df, names=few)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    same(got, want)
