@@ -135,3 +135,19 @@ def test_tasks_grow_with_the_packets(spark, monkeypatch):
     plan = features.flow_features(df, names=few)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     same(got, want)
+
+
+def test_estimates_are_made_in_slices(spark, monkeypatch):
+    from rillflow.functions import median
+
+    sizes = []
+    plain = median.p2_medians
+    monkeypatch.setattr(median, "p2_medians", lambda rows: sizes.append(len(rows)) or plain(rows))
+    r = np.random.default_rng(1)
+    import pandas as pd
+
+    rows = pd.Series([[r.random(k % 9), r.random(7)] for k in range(1201)], index=range(5, 1206))
+    got = next(median.p2_medians_of.func(iter([rows])))
+    assert sizes == [1000, 1000, 402] and list(got.index) == list(rows.index)
+    assert all(np.allclose(a, plain(b)) for a, b in zip(got, rows, strict=True))
+    assert len(next(median.p2_medians_of.func(iter([rows.iloc[:0]])))) == 0
