@@ -20,7 +20,8 @@ which rows, toxic rows and the mean enter.
 
 The class models count all labelled rows to learn from, and P0 counts all documents, in tables that grow with the
 vocabulary. Words are 64-bit hashes. What expressions add is sent to the tasks if a count proves it to be at most
-SENT_ROWS rows, and joined beyond that; it is held in whole millionths, so that both ways give the same sums.
+SENT_ROWS rows, and joined beyond that; it is held in whole millionths, so that both ways give the same sums. Pairs are
+counted in passes, and shuffles are deleted once the table that came of them is written.
 
 Defined results: a null text is empty; an empty text has the score of the curve at zero; every row is scored on its
 own, so repeated rows repeat; rows that repeat a labelled id are learnt from as one (the smallest text), and of
@@ -51,6 +52,8 @@ POWER, LENGTH_PRIOR = 0.5, 10
 CELLS, CELL_FROM = 1_000, 1e-3
 #: Rows up to which what expressions add is sent to the tasks; counted rows that a task holds before it passes them on.
 SENT_ROWS, HELD_ROWS = 1_000_000, 1_000_000
+#: Passes over the texts that pairs are counted in, each for its share of the hashes.
+PAIR_PASSES = 3
 _GAPS = ~textbytes.LETTER
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CLASSES = ("t0", "t1", "o0", "o1")
@@ -66,6 +69,11 @@ def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield np.repeat(np.arange(row, end), np.diff(first)), h, s
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back; the shuffles that made it are deleted."""
+    return tables.saved_parts([df], name)
+
+
 def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """One key of a pair of 64-bit hashes; v itself where u is 0."""
     return np.where(u == 0, v, textbytes.mix(u * _STEP + v))
@@ -173,18 +181,27 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(u, v, t0, t1, o0, o1, n0, n1): documents with the pair by class and fold, and its occurrences by fold."""
+    """(u, v, t0, t1, o0, o1, n0, n1): documents with the pair by class and fold, and its occurrences by fold; written.
 
-    def told(rows: np.ndarray, h: np.ndarray, s: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        next_to = np.flatnonzero(rows[1:] == rows[:-1])
-        rows, u, v = rows[next_to], h[next_to], h[next_to + 1]
-        counts = np.zeros((len(rows), 6), np.int32)
-        counts[np.arange(len(rows)), 4 + group[rows] % 2] = 1
-        first = _distinct(rows, u, v)
-        counts[first, group[rows[first]]] = 1
-        return np.stack([u, v], 1), counts
+    Distinct pairs are most of what is shuffled. They are counted in passes, so that the disk holds the shuffle of one.
+    """
+    passes = np.uint64(PAIR_PASSES)
+
+    def told_in(part: int):
+        def told(rows: np.ndarray, h: np.ndarray, s: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            next_to = np.flatnonzero(rows[1:] == rows[:-1])
+            next_to = next_to[(pair_key(h[next_to], h[next_to + 1]) >> np.uint64(32)) % passes == part]
+            rows, u, v = rows[next_to], h[next_to], h[next_to + 1]
+            counts = np.zeros((len(rows), 6), np.int32)
+            counts[np.arange(len(rows)), 4 + group[rows] % 2] = 1
+            first = _distinct(rows, u, v)
+            counts[first, group[rows[first]]] = 1
+            return np.stack([u, v], 1), counts
+
+        return told
 
-    return _counted(rows, ("u", "v", *_CLASSES, "n0", "n1"), told)
+    parts = (_counted(rows, ("u", "v", *_CLASSES, "n0", "n1"), told_in(k)) for k in range(PAIR_PASSES))
+    return tables.saved_parts(parts, "toxic-counts")
 
 
 def _ratios(z: float, share: float, below_t: Column, below_o: Column) -> tuple[Column, Column]:
@@ -224,7 +241,7 @@ def pair_sums(pairs: DataFrame) -> tuple[DataFrame, DataFrame, Row]:
     next_to = pairs.groupBy("v").agg(*[F.sum(has[k]).alias(f"c{k}") for k in _FOLDS])
     after = pairs.groupBy("u").agg(*[x for k in _FOLDS for x in (F.sum(_both("n", k)).alias(f"nu{k}"), F.sum(has[k]).alias(f"kinds{k}"))])
     sums = [x for k in _FOLDS for x in (*[F.sum(_both(c, k) * has[k]).alias(f"{c}{k}") for c in "to"], *[_times(_both("n", k), i).alias(f"once{k}" if i == 1 else f"twice{k}") for i in (1, 2)])]
-    return tables.saved(next_to, "toxic-continuations"), tables.saved(after, "toxic-after"), pairs.agg(*sums).first()
+    return _saved(next_to, "toxic-continuations"), _saved(after, "toxic-after"), pairs.agg(*sums).first()
 
 
 def additions(corpus: DataFrame, stems: DataFrame, words: DataFrame, pairs: DataFrame, use: int, summed: tuple[DataFrame, DataFrame, Row] | None = None) -> DataFrame:
@@ -253,29 +270,29 @@ def additions(corpus: DataFrame, stems: DataFrame, words: DataFrame, pairs: Data
     one = lambda *names: [F.coalesce(n, F.lit(1.0)).alias(n) for n in names]
 
     st, so = _ratios(Z_STEM, of_stem, F.lit(1.0), F.lit(1.0))
-    sh = tables.saved(sh.where("t + o > 0").select("s", st.alias("st"), so.alias("so")).where("st <> 1 or so <> 1"), "toxic-stems")
+    sh = _saved(sh.where("t + o > 0").select("s", st.alias("st"), so.alias("so")).where("st <> 1 or so <> 1"), "toxic-stems")
     of_stems = sh.select(F.lit(use).alias("use"), zero, F.col("s").alias("v"), millionths(F.log(F.col("st") / F.col("so"))))
 
     wt, wo = _ratios(Z_WORD, of_word, F.col("st"), F.col("so"))
     w = w.where("t + o > 0").join(tables.small(sh, SENT_ROWS), "s", "left").select("v", "t", "o", *one("st", "so"))
     odd = w.select("v", "st", "so", (wt * F.col("st")).alias("rt"), (wo * F.col("so")).alias("ro")).where("st <> 1 or so <> 1 or rt <> 1 or ro <> 1")
-    odd = tables.saved(odd, "toxic-words")
+    odd = _saved(odd, "toxic-words")
 
     # of the pairs, only those matter whose word or whose own documents deviate
     marked = odd.where("rt <> 1 or ro <> 1").select("v", "rt", "ro")
     r = p.join(tables.small(marked, SENT_ROWS), "v", "left").select("u", "v", "t", "o", "n", *one("rt", "ro"))
     bt, bo = _ratios(Z_PAIR, of_pair, F.col("rt"), F.col("ro"))
     r = r.select("*", bt.alias("bt"), bo.alias("bo")).where("rt <> 1 or ro <> 1 or abs(bt - 1) > 1e-9")
-    r = tables.saved(r, "toxic-pairs")
+    r = _saved(r, "toxic-pairs")
 
     ratios = ("st", "so", "rt", "ro")
-    known = tables.saved(r.select("v").distinct().join(odd, "v", "full").select("v", *one(*ratios)), "toxic-known")
+    known = _saved(r.select("v").distinct().join(odd, "v", "full").select("v", *one(*ratios)), "toxic-known")
     held = tables.small(known.select("v"), SENT_ROWS)
     known = known.join(next_to.join(held, "v", "left_semi"), "v", "left").join(corpus.join(held, "v", "left_semi"), "v", "left")
     p0 = (F.coalesce("every", F.lit(0)) + 1) / float((every.n or 0) + (every.kinds or 0) + 1)
     lower = lambda r, s: (F.greatest(F.coalesce("c", F.lit(0.0)) * F.col(r) - d1, F.lit(0.0)) + d1 * float(total.kinds or 1) * p0 * F.col(s)) / float(total.c or 1)
     known = known.select("v", "st", "so", lower("rt", "st").alias("pt"), lower("ro", "so").alias("po"))
-    known = tables.saved(known.withColumn("own", F.log(F.col("pt") / F.col("po"))), "toxic-words")
+    known = _saved(known.withColumn("own", F.log(F.col("pt") / F.col("po"))), "toxic-words")
     of_words = known.select(F.lit(use).alias("use"), zero, "v", millionths(F.col("own") - F.log(F.col("st") / F.col("so"))))
 
     heads = tables.small(r.select("u").distinct(), SENT_ROWS)
@@ -283,7 +300,7 @@ def additions(corpus: DataFrame, stems: DataFrame, words: DataFrame, pairs: Data
     higher = lambda a, b, low: (F.greatest(F.col("n") * F.col(a) * F.col(b) - d2, F.lit(0.0)) + d2 * F.col("kinds") * F.col(low)) / F.col("nu")
     more = F.log(higher("rt", "bt", "pt") / higher("ro", "bo", "po")) - F.col("own")
     of_pairs = r.select(F.lit(use).alias("use"), "u", "v", millionths(more))
-    return tables.saved(of_stems.unionByName(of_words).unionByName(of_pairs).where("lift <> 0"), "toxic-additions")
+    return _saved(of_stems.unionByName(of_words).unionByName(of_pairs).where("lift <> 0"), "toxic-additions")
 
 
 def _values(rows: DataFrame, lifts: DataFrame, keep: list[str]) -> DataFrame:
@@ -388,18 +405,18 @@ def _training(named: DataFrame, told: DataFrame) -> DataFrame:
     own = F.broadcast(told) if sent else told
     seen = named.join(own, F.col("_id") == F.col("_of")).select("_id", "text", "label", "fold")
     ids = named.select("_id").join(own, F.col("_id") == F.col("_of"), "left_semi")
-    again = tables.saved(ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "toxic-repeated")
+    again = _saved(ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "toxic-repeated")
     if not again.limit(1).count():
-        return seen if sent else tables.saved(seen, "toxic-training")
+        return seen if sent else _saved(seen, "toxic-training")
     again = tables.small(again)
     least = seen.join(again, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("text", "label", "fold")).alias("x")).select("_id", "x.*")
-    return tables.saved(seen.join(again, "_id", "left_anti").unionByName(least), "toxic-training")
+    return _saved(seen.join(again, "_id", "left_anti").unionByName(least), "toxic-training")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, score (double, 0 to 1) for every row of docs. train: a condition on id_col for rows to learn from."""
     told = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).cast("int").alias("label"))
-    told = tables.saved(told.withColumn("fold", F.pmod(F.xxhash64("_of"), F.lit(2)).cast("int")), "toxic-labels")
+    told = _saved(told.withColumn("fold", F.pmod(F.xxhash64("_of"), F.lit(2)).cast("int")), "toxic-labels")
     named = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
     seen = _training(docs.where(train).select(docs[id_col].alias("_id"), docs[text_col].alias("text")), told)
     group = (1 - F.col("label")) * 2 + F.col("fold")  # t0, t1, o0, o1
@@ -407,9 +424,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     model = share.n and 0 < (share.t or 0) < share.n
     slope, cut = 0.0, 0.0
     if model:
-        corpus = tables.saved(corpus_counts(named.withColumn("group", F.lit(None).cast("int"))), "toxic-corpus")
+        corpus = _saved(corpus_counts(named.withColumn("group", F.lit(None).cast("int"))), "toxic-corpus")
         marked = seen.select("text", group.alias("group"))
-        counts = [corpus, *[tables.saved(f(marked), "toxic-counts") for f in (stem_counts, word_counts, pair_counts)]]
+        counts = [corpus, *[_saved(f(marked), "toxic-counts") for f in (stem_counts, word_counts)], pair_counts(marked)]
         summed = pair_sums(counts[-1])
         unseen = reduce(DataFrame.unionByName, [additions(*counts, f, summed) for f in (0, 1)])
         slope, cut = fit_curve(*_cells(_values(seen.withColumn("use", F.col("fold")), unseen, ["label"])))

@@ -478,6 +478,18 @@ def test_toxicity_counts_beyond_the_bits_of_a_row(spark):
     assert got == {(3000, 0, 1, 0, 0, 0), (2999, 1, 1, 0, 0, 1)}
 
 
+def test_toxicity_counts_pairs_in_passes(spark, monkeypatch):
+    """Each pair is counted in one pass, with the same sums, and a pass shuffles its share of the pairs alone."""
+    rows = spark.createDataFrame([(" ".join(sentences(k, [], 40)), k % 4) for k in range(9)], "`text` string, `group` int")
+    shuffled, counted = [], toxicity._counted
+    monkeypatch.setattr(toxicity, "_counted", lambda *a: shuffled.append(counted(*a).count()) or counted(*a))
+    monkeypatch.setattr(toxicity, "PAIR_PASSES", 1)
+    want = sorted(map(tuple, toxicity.pair_counts(rows).collect()))
+    monkeypatch.setattr(toxicity, "PAIR_PASSES", 4)
+    assert sorted(map(tuple, toxicity.pair_counts(rows).collect())) == want
+    assert len(shuffled) == 5 and sum(shuffled[1:]) == shuffled[0] == len(want) and max(shuffled[1:]) < shuffled[0] / 2
+
+
 def test_toxicity_curve_on_cells_is_that_of_the_rows(spark):
     r = np.random.default_rng(2)
     x = np.concatenate([np.zeros(300), r.normal(0, 1, 4000), r.normal(2, 3, 700), [900.0]])
