@@ -137,6 +137,16 @@ def test_tasks_grow_with_the_packets(spark, monkeypatch):
     same(got, want)
 
 
+def test_text_rows_keep_the_tasks_of_their_flows(spark, monkeypatch):
+    """The text of a row is made where its flow lies, so its tasks grow with the packets too."""
+    df = frame(spark, edge_packets())
+    monkeypatch.setattr(segment, "FEW_PACKETS", 30)
+    monkeypatch.setattr(segment, "TASK_PACKETS", 100)
+    told = features.csv_rows(features.to_wide(features.flow_features(df)))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and f", {-(-df.count() // 100)}), REPARTITION_BY_NUM" in plan
+
+
 def test_estimates_are_made_in_slices(spark, monkeypatch):
     from rillflow.functions import median
 
