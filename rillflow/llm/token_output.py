@@ -35,7 +35,7 @@ from . import tables
 
 BLOCK_BITS = 512
 #: A unit of text up to this many characters is remembered, and so many units at most.
-UNIT_CHARS, CACHED_UNITS = 48, 700_000
+UNIT_CHARS, CACHED_UNITS = 48, 1_500_000
 _HEAD, _LEVEL = struct.Struct("<4sIB"), struct.Struct("<II")
 
 

@@ -1,6 +1,7 @@
 """Operators over single texts, against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -244,6 +245,23 @@ def test_toxicity_counts_every_word_for_itself(spark, monkeypatch):
     assert score() == sent
 
 
+def test_a_million_words_are_encoded_once_each():
+    told, encode = [], token_output.Encoder(token_output.vocabulary("byte_bpe_50k.json"))
+
+    class Model:
+        def tokenize(self, piece):
+            told.append(piece)
+            return []
+
+    encode.model = Model()
+    letters = "abcdefghij"
+    words = ["".join(x) for x in itertools.product(letters, repeat=6)]
+    for _ in range(2):
+        for k in range(0, len(words), 50_000):
+            encode(["x " + " ".join(words[k : k + 50_000])])
+    assert len(told) == len(words)
+
+
 @pytest.mark.parametrize("sent", [0, 1_000_000])
 def test_quality_has_a_vector_for_every_word(spark, monkeypatch, sent):
     monkeypatch.setattr(quality, "BLOCK_PAIRS", 40)
