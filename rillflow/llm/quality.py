@@ -218,7 +218,7 @@ def word_vectors(docs: DataFrame) -> DataFrame:
     The tokens are counted first: what is summed and shuffled after that are the frequent ones, and beyond SENT_ROWS of
     them those few others that share a slot of 2^SLOT_BITS with one, which are dropped when the sums are whole.
     """
-    counted = tables.saved(_frequent(docs), "quality-tokens")
+    counted = tables.saved_few(_frequent(docs), "quality-tokens")
     few = counted.limit(SENT_ROWS + 1).count() <= SENT_ROWS
     frequent = np.sort(counted.toArrow()["h"].to_numpy()) if few else None
 
@@ -405,8 +405,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     told = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.max(label_col).cast("int").alias("label"))
     sample = tables.saved(told.orderBy(F.xxhash64(F.lit(3), "_of"), "_of").limit(TRAIN_ROWS), "quality-labels")
     seen = named.join(F.broadcast(sample), F.col("_id") == F.col("_of")).groupBy("_id").agg(F.min(F.struct("text", "label", "k1", "k2")).alias("x"))
-    seen = tables.saved(seen.select("_id", "x.*"), "quality-training")  # at most TRAIN_ROWS documents
-    vectors = tables.saved(word_vectors(named), "quality-vectors")
+    seen = tables.saved_few(seen.select("_id", "x.*"), "quality-training")  # at most TRAIN_ROWS documents
+    vectors = tables.saved_few(word_vectors(named), "quality-vectors")
     if vectors.limit(SENT_ROWS + 1).count() > SENT_ROWS:
         return _joined_scores(docs, text_col, kept, score_col, named, seen, vectors)
     got = vectors.toArrow()

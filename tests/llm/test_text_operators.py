@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillflow import scratch
 from rillflow.llm import pii, quality, secrets, textbytes, token_output, toxicity
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("size", T.StringType()), T.StructField("spans", T.StringType())])
@@ -190,6 +192,22 @@ def sentences(seed, extra, n=150):
     return [" ".join(r.choice(extra) if extra and r.random() < 0.12 else r.choice(vocabulary) for _ in range(60)) for _ in range(n)]
 
 
+def test_quality_writes_its_small_tables_in_few_files(spark):
+    rows, labels = labelled(spark, sentences(5, None), sentences(6, ["##", "99"]), "quality")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        n = len(scratch._WRITTEN)
+        assert quality.score_quality(rows, labels, F.lit(True)).count() == rows.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: len(list(Path(p.removeprefix("file://")).glob("part-*"))) for p in scratch._WRITTEN[n:]}
+    assert files.keys() >= {"quality-tokens", "quality-training", "quality-vectors"}
+    assert max(files.values()) <= 8
+
+
 def test_quality_separates_junk_and_scores_all(spark):
     good, bad = sentences(1, []), [t.upper().replace(" ", "!! ") for t in sentences(2, [])]
     rows, labels = labelled(spark, good, bad, "quality")
