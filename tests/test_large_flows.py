@@ -161,3 +161,33 @@ def test_estimates_are_made_in_slices(spark, monkeypatch):
     assert sizes == [1000, 1000, 402] and list(got.index) == list(rows.index)
     assert all(np.allclose(a, plain(b)) for a, b in zip(got, rows, strict=True))
     assert len(next(median.p2_medians_of.func(iter([rows.iloc[:0]])))) == 0
+
+
+@pytest.mark.parametrize("cfg", [FlowConfig(), LONG])
+def test_parts_of_cut_flows_are_dealt_by_their_packets(spark, monkeypatch, cfg):
+    """The tasks of large flows' buckets and segments grow with the packets, whatever Spark's number of partitions."""
+    df = frame(spark, edge_packets())
+    few = ["Tot_Pay", "Bwd_IAT"]
+    want = features.flow_features(df, cfg, few)
+    n = sum(r.n for r in features.large_flows(df, cfg, 30).collect())
+    monkeypatch.setattr(segment, "FEW_PACKETS", 30)
+    monkeypatch.setattr(segment, "TASK_PACKETS", 20)
+    monkeypatch.setattr(features, "TASK_PACKETS", 20, raising=False)
+    got = features.flow_features(df, cfg, few, least=30)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    tasks = f", {-(-n // 20)}), REPARTITION_BY_NUM"
+    assert -(-n // 20) > 4
+    assert any("seg_id" in line and tasks in line for line in plan.splitlines())
+    assert any("bucket" in line and "seg_id" not in line and tasks in line for line in plan.splitlines())
+    same(got, want)
+
+
+def test_buckets_of_large_flows_stay_small(spark, monkeypatch):
+    """However few partitions Spark has, a bucket holds about as many packets as a task is to have."""
+    monkeypatch.setattr(features, "BUCKETS", 1)
+    monkeypatch.setattr(features, "TASK_PACKETS", 1_000, raising=False)
+    packets = big_flow(spark, 50_000)
+    large = features.large_flows(packets)
+    assert [r.n for r in large.collect()] == [50_000]
+    sizes = [r["count"] for r in features.segments_of_large(packets, large).groupBy("bucket").count().collect()]
+    assert len(sizes) >= 40 and max(sizes) < 2_500
