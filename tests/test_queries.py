@@ -43,3 +43,16 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_packets_for_flows_are_made_in_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    """A split of events may hold millions; few are taken as they lie."""
+    from rillflow.plans import fixtures
+
+    spark.range(1000).selectExpr("id event_id", "timestamp_ntz'2024-01-02 03:04:05' ts", "id % 50 user_id", "'view' event_type", "1.5D value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert fixtures.dealt_packets_v(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(fixtures, "FEW_PACKETS", 100)
+    told = fixtures.dealt_packets_v(spark, str(tmp_path))
+    sizes = [len(p) for p in told.select("pkt_id").rdd.glom().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 200
+    assert told.exceptAll(fixtures.packets_v(spark, str(tmp_path))).count() == 0
