@@ -61,8 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written and read again."""
+    """The stages applied to documents, each written and read again; what a stage has read is deleted when it is written."""
     docs = tables.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = tables.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = tables.saved_parts([stage(spark, docs, sf_dir)], name.replace(" ", "-"))
+        tables.drop(docs)
+        docs = made
     return docs

@@ -14,6 +14,9 @@ whole numbers, tested without rounding).
 4. Only tiles that still hold more than one component are worked on further: blocks of such a tile are
    paired with each other under the same bounds, leaving out what is connected already.
 
+Tile keys of all sets are shuffled in passes by key, and texts of pairs in passes by pair; the shuffles of each pass
+are deleted before the next, and tables that are read no more too, so the disk holds the sets' keys once and a pass.
+
 The members of a hot tile are dealt to several tasks, and so are the pairs of a text that leads many.
 
 Component ids are the smallest ids that links reach. Defined results: null and empty texts have size 0 and
@@ -41,6 +44,8 @@ BAND, BITMAP_WORDS, BLOCK = 1.5, 16, 2048
 SLACK = 2
 #: Ids (one number each) up to which they are broadcast to pick texts, once counted.
 WANTED_ROWS = 1_000_000
+#: Passes over the tile keys, one more each so many shingles of all sets up to the most; texts of pairs have a pass for each such part of all.
+PASSES, PASS_SHINGLES = 4, 30_000_000
 
 
 class Bands:
@@ -157,13 +162,32 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (differing * (den + num) <= (nx + ny) * (den - num))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts link, by intersecting sorted arrays."""
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    leads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    leads = tables.saved(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(leads, "a"), "lead-texts")
-    both = tables.join_hot(with_b, leads, ["a"], ["b"], "m").select("a", "b", "ta", "tb")
-    schema = T.StructType(both.schema[:2])
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back; the shuffles that made it are deleted."""
+    return tables.saved_parts([df], name)
+
+
+def _tiles(standing: DataFrame, shingles: int) -> DataFrame:
+    """(key, id, lead, m) of the sets (id, keys): the smallest id of each tile with its other members, and their number."""
+    keyed = standing.select("id", F.explode("keys").alias("key"))
+    passes = min(PASSES, max(1, -(-shingles // PASS_SHINGLES)))
+
+    def parts() -> Iterator[DataFrame]:
+        for k in range(passes):
+            own = keyed.where(F.pmod("key", F.lit(passes)) == k) if passes > 1 else keyed
+            leaders = _saved(own.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1"), "leaders")  # a set has a key once
+            yield tables.join_hot(own, leaders, ["key"], ["id"], "m").where("id <> lead").select("key", "id", "lead", "m")
+            tables.drop(leaders)
+
+    return tables.saved_parts(parts(), "tiles")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingles: int, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts link, by intersecting sorted arrays; pairs has the size n of b's set, docs the texts."""
+    ids = _saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    texts = _saved(docs.join(tables.small(ids, WANTED_ROWS), "id", "left_semi"), "texts")
+    schema = T.StructType(pairs.select("a", "b").schema.fields)
+    passes = max(1, -(-(pairs.agg(F.sum("n").alias("n")).first().n or 0) // max(PASS_SHINGLES, shingles // PASSES)))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -175,7 +199,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
                     keep.append(common * den >= (len(x) + len(y) - common) * num)
                 yield pa.RecordBatch.from_arrays(b.columns[:2], names=schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return tables.map_arrow(both, linked, schema)
+    def parts() -> Iterator[DataFrame]:
+        for k in range(passes):
+            own = (pairs.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == k) if passes > 1 else pairs).select("a", "b")
+            with_b = own.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+            leads = own.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+            leads = _saved(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(leads, "a"), "lead-texts")
+            yield tables.map_arrow(tables.join_hot(with_b, leads, ["a"], ["b"], "m").select("a", "b", "ta", "tb"), linked, schema)
+            tables.drop(leads)
+
+    links = tables.saved_parts(parts(), "links")
+    tables.drop(ids, texts)
+    return links
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -184,47 +219,51 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     if named.groupBy("id").count().where("count > 1").limit(1).count():
         named = named.groupBy("id").agg(F.min("text").alias("text"))
-    signed = tables.saved(signatures(named, size, bands), "signatures")
+    signed = _saved(signatures(named, size, bands), "signatures")
     told = ["n", "s1", "s2"]
     single = signed.select("id", *told)
-    classes = single.where("n > 0 and id is not null").groupBy(*told).agg(F.min("id").alias("head"))
-    standing = tables.saved(signed.join(classes.select(F.col("head").alias("id")), "id", "left_semi"), "class-heads")
+    shingles = single.agg(F.sum("n").alias("n")).first().n or 0
+    sets = "n > 0 and id is not null"
+    classes = single.where(sets).groupBy(*told).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("m"))
+    equal = _saved(single.where(sets).join(classes.where("m > 1"), told).where("id <> head").select("id"), "equal-sets")
+    few = equal.limit(WANTED_ROWS + 1).count() <= WANTED_ROWS
+    standing = signed.where(sets).select("id", "keys").join(F.broadcast(equal) if few else equal, "id", "left_anti")
+    standing = standing if few else _saved(standing, "class-heads")
     bits = ["id", "n", *[f"b{i}" for i in range(BITMAP_WORDS)]]
-    sketch = standing.select(*bits)
-
-    keyed = standing.select("id", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")  # a set has a key once
-    leaders = tables.saved(leaders, "leaders")
-    tiles = tables.saved(tables.join_hot(keyed, leaders, ["key"], ["id"], "m").where("id <> lead").select("key", "id", "lead", "m"), "tiles")
+    sketch = signed.select(*bits)
+    tiles = _tiles(standing, shingles)
+    tables.drop(equal, standing)
 
     first = tiles.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = tables.saved(tiles.select("id").union(tiles.select("lead")).distinct(), "wanted")
-    texts = tables.saved(named.join(tables.small(wanted, WANTED_ROWS), "id", "left_semi"), "texts")
     met = first.alias("p").join(sketch.alias("x"), F.col("p.a") == F.col("x.id")).join(sketch.alias("y"), F.col("p.b") == F.col("y.id"))
-    passed = tables.saved(met.where(_may_link("x", "y", num, den)).select("p.a", "p.b"), "pairs")
-    links = tables.saved(_verified(passed, texts, size, num, den), "links")
-    found = tables.saved(graph.components(links), "components")
+    passed = _saved(met.where(_may_link("x", "y", num, den)).select("p.a", "p.b", "y.n"), "pairs")
+    links = _verified(passed, named, shingles, size, num, den)
+    found = _saved(graph.components(links), "components")
 
     # tiles with more than one component left: their members by block, without the leader
     comp = F.coalesce("component", "id")
     labelled = tiles.where("m > 2").join(found, tiles["id"] == found["node"], "left").select("key", "m", "id", comp.alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo <> hi").select("key", "held")
-    mixed = tables.saved(mixed, "mixed")
+    mixed = _saved(mixed, "mixed")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     left = tables.join_hot(labelled, mixed, ["key"], ["id"], "held").select("key", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    left = tables.saved(left.join(sketch, "id"), "mixed-tiles")
+    left = _saved(left.join(sketch, "id"), "mixed-tiles")
+    tables.drop(tiles, mixed)
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     x = left.select("*", others.alias("other"), F.col("block").alias("own"))
     x = x.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", *bits)
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.i") == F.col("x.j")))
-    second = x.alias("x").join(x.alias("y"), meets & apart & _may_link("x", "y", num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = tables.saved(_verified(tables.saved(second, "pairs"), texts, size, num, den), "links")
+    second = x.alias("x").join(x.alias("y"), meets & apart & _may_link("x", "y", num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "y.n").distinct()
+    second = _saved(second, "pairs")
+    tables.drop(left)
+    more = _verified(second, named, shingles, size, num, den)
     if more.limit(1).count():
         found = graph.components(links.unionByName(more))
 
-    membership = single.join(classes, told, "left").select("id", "n", F.coalesce("head", "id").alias("head"))
-    return membership.join(found, F.col("head") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("head").alias("class_id"), F.coalesce("component", "head").alias("component_id"))
+    members = _saved(single.join(classes, told, "left").select("id", "n", F.coalesce("head", "id").alias("head")), "members")
+    tables.drop(signed)
+    return members.join(found, F.col("head") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("head").alias("class_id"), F.coalesce("component", "head").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -234,10 +273,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     found = ngram_join(docs.select(id_col, text_col), id_col, text_col, size, num, den)
     name = tables.unused("_copy", docs.columns)
-    rest = tables.saved(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)), "copies")
+    rest = _saved(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)), "copies")
     kept = docs.join(tables.small(rest, WANTED_ROWS), docs[id_col] == rest[name], "left_anti")
     again = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name)).count().where("count > 1").select(name)
-    again = tables.saved(again, "repeated")
+    again = _saved(again, "repeated")
     if not again.limit(1).count():
         return kept
     told = tables.small(again, WANTED_ROWS)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import new_path, saved, saved_few, saved_parts, shared_dir
+from ..scratch import drop, new_path, saved, saved_few, saved_parts, shared_dir
 from ..shipping import ship
 
-__all__ = ["join_hot", "map_arrow", "new_path", "read", "saved", "saved_few", "saved_parts", "shared_dir", "small", "unused"]
+__all__ = ["drop", "join_hot", "map_arrow", "new_path", "read", "saved", "saved_few", "saved_parts", "shared_dir", "small", "unused"]
 
 #: Rows of (at most a few hundred bytes) up to which a side is broadcast, once counted.
 BROADCAST_ROWS = 100_000

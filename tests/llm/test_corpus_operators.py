@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillflow import scratch
 from rillflow.llm import decontaminate, embedding_dedup, graph, line_dedup, mixing, ngram_join, quality, tables
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,6 +123,42 @@ def test_ngram_join_of_long_texts(spark, monkeypatch, num, size):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 6
 
 
+@pytest.mark.parametrize("wanted", [3, 10**6])
+def test_ngram_join_in_passes(spark, monkeypatch, wanted):
+    """Keys in four passes and texts of pairs in several, with ids broadcast and joined, give the same components."""
+    texts = near_texts(4)
+    plain = sorted(ngram_join.ngram_join(table(spark, texts), size=5, num=80).collect())
+    monkeypatch.setattr(ngram_join, "PASS_SHINGLES", 100)
+    monkeypatch.setattr(ngram_join, "WANTED_ROWS", wanted)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    monkeypatch.setattr(tables, "saved_parts", lambda parts, name, write=tables.saved_parts: write((passes.append(name) or df for df in parts), name))
+    passes = []
+    assert sorted(ngram_join.ngram_join(table(spark, texts), size=5, num=80).collect()) == plain
+    assert passes.count("tiles") == 4 and passes.count("links") > 2
+    assert len({r.component_id for r in plain}) < len(texts) - 40
+
+
+def test_keep_one_leaves_no_keys_texts_or_shuffles(spark):
+    """What the join has read no more is deleted, and so are the shuffles of sets and texts (many times the texts before)."""
+    sizes = lambda: sum(Path(p).stat().st_size for p in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in p and Path(p).exists())
+    r = random.Random(8)
+    texts = []
+    for _ in range(20):
+        text = [f"w{r.randrange(10**6)}" for _ in range(2000)]
+        texts += [" ".join(text[:at] + ["other"] + text[at:]) for at in (0, 700, 1400, 1400)]
+    docs = table(spark, texts).localCheckpoint()
+    n, before = len(scratch._WRITTEN), sizes()
+    kept = ngram_join.keep_one(docs)
+    assert {x.doc_id for x in kept.collect()} == set(range(0, 80, 4))
+    names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._WRITTEN[n:]}
+    assert "copies" in names and not names & {"signatures", "class-heads", "equal-sets", "leaders", "tiles", "wanted", "texts", "lead-texts", "mixed", "mixed-tiles"}
+    until = time.time() + 10
+    while sizes() - before > sum(map(len, texts)) / 10 and time.time() < until:
+        time.sleep(0.1)
+    assert sizes() - before < sum(map(len, texts)) / 10
+
+
 def test_stages_carry_columns_of_any_name(spark):
     names = ["_held", "_copy", "_score", "_quality_score", "_text", "k1", "k2", "key", "row", "score", "label", "_size", "_of", "n"]
     texts = ["one two three four five six seven", "one two three four five six seven", None, "", "other words here now and then too"]

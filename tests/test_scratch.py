@@ -37,3 +37,14 @@ def test_parts_are_one_table_and_leave_no_shuffles(spark):
     while shuffle_files(spark) > before + 2 and time.time() < until:
         time.sleep(0.1)
     assert shuffle_files(spark) <= before + 2
+
+
+def test_a_dropped_table_is_gone_and_others_stay(spark):
+    scratch.clear(spark)
+    one, other, given = scratch.saved(spark.range(5), "numbers"), scratch.saved_parts([spark.range(3), spark.range(4)], "numbers"), spark.range(2)
+    scratch.drop(one, given)
+    scratch.drop(one)
+    assert other.count() == 7 and given.count() == 2
+    with pytest.raises(Exception):  # noqa: B017
+        one.collect()
+    assert scratch.clear(spark) == 1
