@@ -14,8 +14,8 @@ whole numbers, tested without rounding).
 4. Only tiles that still hold more than one component are worked on further: blocks of such a tile are
    paired with each other under the same bounds, leaving out what is connected already.
 
-Tile keys of all sets are shuffled in passes by key, and texts of pairs in passes by pair; the shuffles of each pass
-are deleted before the next, and tables that are read no more too, so the disk holds the sets' keys once and a pass.
+Shuffles are deleted when what they made is written, and tables when they are read no more, so the disk holds the sets'
+keys once and one shuffle of them; texts are kept for pairs alone, and where those are many they go in passes.
 
 The members of a hot tile are dealt to several tasks, and so are the pairs of a text that leads many.
 
@@ -44,8 +44,8 @@ BAND, BITMAP_WORDS, BLOCK = 1.5, 16, 2048
 SLACK = 2
 #: Ids (one number each) up to which they are broadcast to pick texts, once counted.
 WANTED_ROWS = 1_000_000
-#: Passes over the tile keys, one more each so many shingles of all sets up to the most; texts of pairs have a pass for each such part of all.
-PASSES, PASS_SHINGLES = 4, 30_000_000
+#: Texts of pairs go in a pass for each such part of all sets' shingles, and for so many at least.
+PASS_PART, PASS_SHINGLES = 4, 30_000_000
 
 
 class Bands:
@@ -167,27 +167,12 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     return tables.saved_parts([df], name)
 
 
-def _tiles(standing: DataFrame, shingles: int) -> DataFrame:
-    """(key, id, lead, m) of the sets (id, keys): the smallest id of each tile with its other members, and their number."""
-    keyed = standing.select("id", F.explode("keys").alias("key"))
-    passes = min(PASSES, max(1, -(-shingles // PASS_SHINGLES)))
-
-    def parts() -> Iterator[DataFrame]:
-        for k in range(passes):
-            own = keyed.where(F.pmod("key", F.lit(passes)) == k) if passes > 1 else keyed
-            leaders = _saved(own.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1"), "leaders")  # a set has a key once
-            yield tables.join_hot(own, leaders, ["key"], ["id"], "m").where("id <> lead").select("key", "id", "lead", "m")
-            tables.drop(leaders)
-
-    return tables.saved_parts(parts(), "tiles")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, shingles: int, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts link, by intersecting sorted arrays; pairs has the size n of b's set, docs the texts."""
     ids = _saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     texts = _saved(docs.join(tables.small(ids, WANTED_ROWS), "id", "left_semi"), "texts")
     schema = T.StructType(pairs.select("a", "b").schema.fields)
-    passes = max(1, -(-(pairs.agg(F.sum("n").alias("n")).first().n or 0) // max(PASS_SHINGLES, shingles // PASSES)))
+    passes = max(1, -(-(pairs.agg(F.sum("n").alias("n")).first().n or 0) // max(PASS_SHINGLES, shingles // PASS_PART)))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -231,8 +216,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     standing = standing if few else _saved(standing, "class-heads")
     bits = ["id", "n", *[f"b{i}" for i in range(BITMAP_WORDS)]]
     sketch = signed.select(*bits)
-    tiles = _tiles(standing, shingles)
-    tables.drop(equal, standing)
+
+    keyed = standing.select("id", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")  # a set has a key once
+    leaders = _saved(leaders, "leaders")
+    tiles = _saved(tables.join_hot(keyed, leaders, ["key"], ["id"], "m").where("id <> lead").select("key", "id", "lead", "m"), "tiles")
+    tables.drop(equal, standing, leaders)
 
     first = tiles.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     met = first.alias("p").join(sketch.alias("x"), F.col("p.a") == F.col("x.id")).join(sketch.alias("y"), F.col("p.b") == F.col("y.id"))
